@@ -22,10 +22,12 @@ def not_nan(c: str | Column) -> Column:
 
 
 def to_number(c: str | Column) -> Column:
-    """Text to double; a Java-style type suffix such as ``12d`` is not a number."""
+    """Text to double; NaN and a Java-style type suffix such as ``12d`` give NULL."""
     text = column(c)
     value = text.try_cast("double")
-    return F.when(~F.isnan(value) & ~text.rlike(r"[0-9.][dDfF]\s*$"), value)
+    suffixed = F.right(F.rtrim(text), F.lit(1)).isin("d", "D", "f", "F")
+    finite = F.abs(value) < float("inf")
+    return F.when(~F.isnan(value) & ~(suffixed & finite), value)
 
 
 def to_integer(c: str | Column) -> Column:

@@ -14,16 +14,29 @@ def stack(*dfs: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, dfs)
 
 
-def unique_cell(name_col: str, name: str, value: str | Column) -> Column:
+def unique_cell(name_col: str, name: str, value: str | Column, row: Column | None = None) -> Column:
     """The single value of one pivot cell; evaluating a cell with two rows fails.
 
-    Counting inside the same aggregate makes the check free of a second pass.
+    Checking inside the same aggregate needs no second pass. With ``row``, a fingerprint
+    of the whole row, exact copies count as one row and only different rows fail.
     """
     value = F.col(value) if isinstance(value, str) else value
     hit = F.col(name_col) == name
-    return F.when(
-        F.count_if(hit) > 1, F.raise_error(F.lit(f"more than one value for one key in column {name}"))
-    ).otherwise(F.max(F.when(hit, value)))
+    if row is None:
+        ambiguous = F.count_if(hit) > 1
+    else:
+        ambiguous = F.min(F.when(hit, row)) != F.max(F.when(hit, row))
+    message = F.lit(f"more than one value for one key in column {name}")
+    return F.when(ambiguous, F.raise_error(message)).otherwise(F.max(F.when(hit, value)))
+
+
+def row_fingerprint(cols: Sequence[str]) -> Column:
+    """A 64-bit hash of a row; the mask of NULLs is hashed too, as hashing skips them."""
+    mask = reduce(
+        lambda a, b: a + b,
+        [F.col(f"`{c}`").isNull().cast("long") * (1 << i) for i, c in enumerate(cols)],
+    )
+    return F.xxhash64(mask, *[F.col(f"`{c}`") for c in cols])
 
 
 def pivot_strict(

@@ -22,7 +22,7 @@ from strandline.model import (
 )
 from strandline.operators.joins import null_safe_join
 from strandline.operators.ranking import row_numbers
-from strandline.operators.reshape import unique_cell
+from strandline.operators.reshape import row_fingerprint, unique_cell
 
 NAME = "PARAMETER_NAME"
 
@@ -53,7 +53,8 @@ def _category_cells(rules: Sequence[CategoryRule]) -> list[Column]:
 
 def _cells(df: DataFrame, keys: Sequence[str], cells: Sequence[Column]) -> DataFrame:
     """One row per matching cell. Rules are independent: a row may match several."""
-    return df.select(*keys, F.inline(F.array_compact(F.array(*cells))))
+    # A filter after the generator stays in generated code; compacting the array would not.
+    return df.select(*keys, F.inline(F.array(*cells))).filter(F.col(NAME).isNotNull())
 
 
 def extract_categories(
@@ -135,21 +136,26 @@ def merge_variables(
 
 
 def widen(
-    clean: DataFrame,
+    typed: DataFrame,
     keys: Sequence[str] = SAMPLE_KEYS,
     categorical: Sequence[str] = CATEGORICAL_NAMES,
     numeric: Sequence[str] = NUMERIC_NAMES,
 ) -> DataFrame:
-    """Both extractions and their merge with one scan and one shuffle.
+    """Typed raw rows to wide rows with one scan and one shuffle.
 
-    A single grouped pivot: equal to merging two strict pivots, as each has one row per
-    key and grouping keeps NULL keys.
+    A single grouped pivot stands for whole-row dedup, two strict pivots and their full
+    merge: each side has one row per key, grouping keeps NULL keys, and exact copies of
+    a row share its fingerprint, so they combine map-side instead of being shuffled.
     """
     cells = [*_category_cells(CATEGORY_RULES), *_numeric_cells(NUMERIC_RULES)]
-    long = _cells(clean, keys, cells).filter(F.col(NAME).isin(*categorical, *numeric))
+    marked = typed.withColumn("__row", row_fingerprint(typed.columns))
+    long = _cells(marked, [*keys, "__row"], cells).filter(
+        F.col(NAME).isin(*categorical, *numeric)
+    )
+    row = F.col("__row")
     return long.groupBy(*keys).agg(
-        *[unique_cell(NAME, n, "TEXT").alias(n) for n in categorical],
-        *[unique_cell(NAME, n, "NUMBER").alias(n) for n in numeric],
+        *[unique_cell(NAME, n, "TEXT", row).alias(n) for n in categorical],
+        *[unique_cell(NAME, n, "NUMBER", row).alias(n) for n in numeric],
         (F.count_if(F.col(NAME).isin(*categorical)) == 0).alias("NUMERIC_ONLY"),
     )
 
@@ -177,11 +183,11 @@ def assign_ids(
 
 
 def build_samples(
-    clean: DataFrame, season: tuple[int, int] | None = SEASON_WEEKS, result: str = "ENTEROCOCCI"
+    typed: DataFrame, season: tuple[int, int] | None = SEASON_WEEKS, result: str = "ENTEROCOCCI"
 ) -> DataFrame:
-    """Clean long rows to the sample table: merge, ids, calendar; then drop rows
-    without a result, so ids keep their gaps."""
-    numbered = assign_ids(widen(clean)).drop("NUMERIC_ONLY")
+    """Typed raw rows to the sample table: merge, ids, calendar; then drop rows without
+    a result, so ids keep their gaps."""
+    numbered = assign_ids(widen(typed)).drop("NUMERIC_ONLY")
     return with_result(add_calendar(numbered, season=season), result)
 
 

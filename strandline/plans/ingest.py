@@ -43,6 +43,11 @@ def distinct_values(df: DataFrame, col: str) -> DataFrame:
     return df.select(col).filter(F.col(col).isNotNull()).distinct().orderBy(col)
 
 
-def standardise(df: DataFrame, drop: Sequence[int | str] = ("REMARKS",)) -> DataFrame:
+def typed_rows(raw: DataFrame, drop: Sequence[int | str] = ("REMARKS",)) -> DataFrame:
+    """Names and types; copies stay, for consumers that combine them anyway."""
+    return standardise_types(standardise_names(raw, drop))
+
+
+def standardise(raw: DataFrame, drop: Sequence[int | str] = ("REMARKS",)) -> DataFrame:
     """Names, then types, then duplicates."""
-    return dedup_rows(standardise_types(standardise_names(df, drop)))
+    return dedup_rows(typed_rows(raw, drop))

@@ -14,13 +14,13 @@ STATION_COLUMNS = (
 )
 
 
-def station_rows(clean: DataFrame) -> DataFrame:
-    """Distinct planar station rows of the clean measurements."""
-    return clean.select(*STATION_COLUMNS).distinct()
+def station_rows(typed: DataFrame) -> DataFrame:
+    """Distinct planar station rows of the measurements."""
+    return typed.select(*STATION_COLUMNS).distinct()
 
 
-def build_stations(clean: DataFrame, zone: int = 19) -> DataFrame:
-    return add_latlon(station_rows(clean), zone=zone)
+def build_stations(typed: DataFrame, zone: int = 19) -> DataFrame:
+    return add_latlon(station_rows(typed), zone=zone)
 
 
 def attach_station(

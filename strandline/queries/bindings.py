@@ -14,7 +14,7 @@ from strandline.functions.calendar import add_calendar
 from strandline.functions.classify import decorate
 from strandline.model import NONDETECT_QUALIFIER, Limits
 from strandline.plans.assembly import widen, with_result
-from strandline.plans.ingest import standardise
+from strandline.plans.ingest import standardise, typed_rows
 
 ORDER_LIMITS = Limits(350000.0, 425000.0)
 EVENT_SEASON = (2, 4)
@@ -144,10 +144,10 @@ ORDERS_SQL = (
 # --- raw measurements ---------------------------------------------------------
 
 
-def _mapped(col: str, values: dict[str, str]) -> Column:
+def _mapped(col: str, values: dict[str, str], prefix: str, suffix: str = "") -> Column:
     out = F.lit(None).cast("string")
     for key, value in values.items():
-        out = F.when(F.col(col) == key, value).otherwise(out)
+        out = F.when(F.col(col) == key, f"{prefix}{value}{suffix}").otherwise(out)
     return out
 
 
@@ -191,50 +191,65 @@ def raw_rows(spark: SparkSession, sf: str) -> DataFrame:
 
     status, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
     numeric = ~((status == "P") & (priority == "3-MEDIUM"))
-    categorical = ~((status == "O") & (priority == "2-HIGH"))
-    tested = numeric & ~((status == "F") & (priority == "1-URGENT"))
-    result = F.when((status == "P") & (priority == "4-NOT SPECIFIED"), "<10").otherwise(part(4000))
-    qualifier = F.when((status == "O") & (priority == "5-LOW"), NONDETECT_QUALIFIER)
-
-    def row(when: Column, kind: str, name: Column | str, value: Column | None = None,
-            note: Column | None = None, limit: str | None = None) -> Column:
-        name = F.lit(name) if isinstance(name, str) else name
-        empty = F.lit(None).cast("string")
+    unparseable = (status == "P") & (priority == "4-NOT SPECIFIED")
+    # Computed once per order, ahead of the generator, which keeps its code small.
+    base = base.withColumns(
+        {
+            "is_num": numeric,
+            "is_cat": ~((status == "O") & (priority == "2-HIGH")),
+            "tested": numeric & ~((status == "F") & (priority == "1-URGENT")),
+            "gauged": numeric & F.col("c_mktsegment").isin("BUILDING", "MACHINERY"),
+            "result": F.when(unparseable, "<10").otherwise(part(4000)),
+            "qualifier": F.when((status == "O") & (priority == "5-LOW"), NONDETECT_QUALIFIER),
+            "air": part(20000),
+            "water": part(30000),
+            "salinity": F.concat(part(15000), F.lit(".5")),
+            "rain_24": part(100000),
+            "rain_48": F.concat(part(50000), F.lit(".25")),
+            "rain_72": F.when(numeric & (priority == "2-HIGH"), part(50000)),
+            "weather": _mapped("o_orderpriority", _WEATHER, "CURRENT WEATHER "),
+            "past_24": _mapped("o_orderstatus", _PAST_24, "PAST 24HR WEATHER "),
+            "past_48": _mapped("o_orderstatus", _PAST_48, "PAST 48HR WEATHER "),
+            "tide": _mapped("c_mktsegment", _TIDE, "TIDE STAGE: "),
+            "current": _mapped("o_orderstatus", _CURRENT, "WATER SURFACE ", " CURRENT"),
+            "surface": _mapped("c_mktsegment", _SURFACE, "WATER SURFACE "),
+            "depth": F.when(priority == "5-LOW", "SAMPLE DEPTH INTERVAL 0-1 FT"),
+        }
+    )
+
+    def cell(when: str, kind: str, name: Column, value: str | None = None,
+             note: str | None = None, limit: str | None = None) -> Column:
         return F.when(
-            when & name.isNotNull(),
+            F.col(when),
             F.struct(
                 F.lit(kind).alias("SAMPLE TYPE"),
                 name.alias("PARAMETER NAME"),
-                (empty if value is None else value).alias("CONCENTRATION"),
-                (empty if note is None else note).alias("CONCENTRATION QUALIFIER"),
+                (F.col(value) if value else F.lit(None).cast("string")).alias("CONCENTRATION"),
+                (F.col(note) if note else F.lit(None).cast("string")).alias(
+                    "CONCENTRATION QUALIFIER"
+                ),
                 F.lit(limit).cast("string").alias("QUANITATION LIMIT"),
             ),
         )
 
-    def observed(prefix: str, value: Column, suffix: str = "") -> Column:
-        return row(categorical, "FIELD", F.concat(F.lit(prefix), value, F.lit(suffix)))
+    def measured(when: str, kind: str, name: str, value: str, *rest: str) -> Column:
+        return cell(when, kind, F.lit(name), value, *rest)
 
     rows = F.array(
-        row(tested, "SURFACE WATER", "ENTEROCOCCI", result, qualifier, "10"),
-        row(numeric, "AIR", "TEMPERATURE", part(20000)),
-        row(numeric, "SURFACE WATER", "TEMPERATURE", part(30000)),
-        row(numeric, "SURFACE WATER", "SALINITY (FROM SODIUM)", F.concat(part(15000), F.lit(".5"))),
-        row(
-            numeric & F.col("c_mktsegment").isin("BUILDING", "MACHINERY"),
-            "GAUGE", "ACCUMULATION LAST 24 HOURS", part(100000),
-        ),
-        row(numeric, "GAUGE", "ACCUMULATION LAST 48 HOURS", F.concat(part(50000), F.lit(".25"))),
-        row(numeric & (priority == "2-HIGH"), "GAUGE", "ACCUMULATION LAST 72 HOURS", part(50000)),
-        observed("CURRENT WEATHER ", _mapped("o_orderpriority", _WEATHER)),
-        observed("PAST 24HR WEATHER ", _mapped("o_orderstatus", _PAST_24)),
-        observed("PAST 48HR WEATHER ", _mapped("o_orderstatus", _PAST_48)),
-        observed("TIDE STAGE: ", _mapped("c_mktsegment", _TIDE)),
-        observed("WATER SURFACE ", _mapped("o_orderstatus", _CURRENT), " CURRENT"),
-        observed("WATER SURFACE ", _mapped("c_mktsegment", _SURFACE)),
-        row(categorical & (priority == "5-LOW"), "FIELD", "SAMPLE DEPTH INTERVAL 0-1 FT"),
+        measured("tested", "SURFACE WATER", "ENTEROCOCCI", "result", "qualifier", "10"),
+        measured("is_num", "AIR", "TEMPERATURE", "air"),
+        measured("is_num", "SURFACE WATER", "TEMPERATURE", "water"),
+        measured("is_num", "SURFACE WATER", "SALINITY (FROM SODIUM)", "salinity"),
+        measured("gauged", "GAUGE", "ACCUMULATION LAST 24 HOURS", "rain_24"),
+        measured("is_num", "GAUGE", "ACCUMULATION LAST 48 HOURS", "rain_48"),
+        cell("is_num", "GAUGE", F.when(F.col("rain_72").isNotNull(), "ACCUMULATION LAST 72 HOURS"), "rain_72"),
+        *[
+            cell("is_cat", "FIELD", F.col(c))
+            for c in ("weather", "past_24", "past_48", "tide", "current", "surface", "depth")
+        ],
     )
     key = F.col("c_nationkey")
-    return base.select(
+    out = base.select(
         F.concat(key.cast("string"), F.lit(".0")).alias("SITE SEQUENCE NUMBER"),
         F.col("o_orderkey").cast("string").alias("SAMPLE SEQUENCE NUMBER"),
         "TOWN",
@@ -245,8 +260,9 @@ def raw_rows(spark: SparkSession, sf: str) -> DataFrame:
         (4770000 + key * 1000).cast("string").alias("SITE LATITUDE (UTM)"),
         (300000 + key * 3000).cast("string").alias("SITE LONGITUDE (UTM)"),
         F.lit("checked").alias("REMARKS"),
-        F.inline(F.array_compact(rows)),
+        F.inline(rows),
     )
+    return out.filter(F.col("PARAMETER NAME").isNotNull())
 
 
 _BASE_SQL = """b AS (SELECT *, NOT (o_orderstatus = 'P' AND o_orderpriority = '3-MEDIUM') AS is_num,
@@ -373,13 +389,17 @@ WIDE_SQL = ", ".join(
 )
 
 
+def typed(spark: SparkSession, sf: str) -> DataFrame:
+    return typed_rows(raw_rows(spark, sf))
+
+
 def clean_rows(spark: SparkSession, sf: str) -> DataFrame:
     return standardise(raw_rows(spark, sf))
 
 
 def wide_samples(spark: SparkSession, sf: str) -> DataFrame:
     """Wide samples with a result and with the covariates, without ids."""
-    wide = with_result(widen(clean_rows(spark, sf)))
+    wide = with_result(widen(typed(spark, sf)))
     return wide.withColumn("YEAR", F.year("SAMPLE_DATE"))
 
 

@@ -301,7 +301,7 @@ def _(spark, sf):
   SELECT {b.KEYS_SQL}, PARAMETER_NAME, VALUE FROM u""",
 )
 def _(spark, sf):
-    return unpivot(widen(b.clean_rows(spark, sf)), SAMPLE_KEYS, NUMERIC_NAMES, drop_null=True)
+    return unpivot(widen(b.typed(spark, sf)), SAMPLE_KEYS, NUMERIC_NAMES, drop_null=True)
 
 
 @query(
@@ -310,7 +310,7 @@ def _(spark, sf):
   UNION ALL SELECT {b.KEYS_SQL}, 'CURRENT', CURRENT FROM w0""",
 )
 def _(spark, sf):
-    return unpivot(widen(b.clean_rows(spark, sf)), SAMPLE_KEYS, ["TIDE", "CURRENT"])
+    return unpivot(widen(b.typed(spark, sf)), SAMPLE_KEYS, ["TIDE", "CURRENT"])
 
 
 @query(
@@ -363,7 +363,7 @@ def _(spark, sf):
 
 @query("j1_single_pivot", f"WITH {b.WIDE_SQL} SELECT {WIDE_COLUMNS_SQL}, NUMERIC_ONLY FROM w0")
 def _(spark, sf):
-    return widen(b.clean_rows(spark, sf))
+    return widen(b.typed(spark, sf))
 
 
 IDS_SQL = """ids AS (SELECT *, row_number() OVER (ORDER BY NUMERIC_ONLY, SAMPLE_POINT_NAME,
@@ -375,7 +375,7 @@ IDS_SQL = """ids AS (SELECT *, row_number() OVER (ORDER BY NUMERIC_ONLY, SAMPLE_
     f"WITH {b.WIDE_SQL}, {IDS_SQL} SELECT {b.KEYS_SQL}, NUMERIC_ONLY, id FROM ids",
 )
 def _(spark, sf):
-    merged = widen(b.clean_rows(spark, sf)).select(*SAMPLE_KEYS, "NUMERIC_ONLY")
+    merged = widen(b.typed(spark, sf)).select(*SAMPLE_KEYS, "NUMERIC_ONLY")
     return assign_ids(merged)
 
 
@@ -399,7 +399,7 @@ def _(spark, sf):
   FROM cal WHERE ENTEROCOCCI IS NOT NULL""",
 )
 def _(spark, sf):
-    return build_samples(b.clean_rows(spark, sf))
+    return build_samples(b.typed(spark, sf))
 
 
 # --- calendar ------------------------------------------------------------------------
@@ -441,5 +441,5 @@ def _(spark, sf):
     f"WITH {b.WIDE_SQL} SELECT {b.KEYS_SQL}, ENTEROCOCCI FROM w0 WHERE ENTEROCOCCI IS NOT NULL",
 )
 def _(spark, sf):
-    kept = with_result(widen(b.clean_rows(spark, sf)))
+    kept = with_result(widen(b.typed(spark, sf)))
     return kept.select(*SAMPLE_KEYS, "ENTEROCOCCI")

@@ -43,12 +43,12 @@ def _coverage_sql(names) -> str:
 
 @query("a1_coverage_categorical", _coverage_sql(CATEGORICAL_NAMES))
 def _(spark, sf):
-    return ex.coverage_by_variable(widen(b.clean_rows(spark, sf)), CATEGORICAL_NAMES)
+    return ex.coverage_by_variable(widen(b.typed(spark, sf)), CATEGORICAL_NAMES)
 
 
 @query("a1_coverage_numeric", _coverage_sql(NUMERIC_NAMES))
 def _(spark, sf):
-    return ex.coverage_by_variable(widen(b.clean_rows(spark, sf)), NUMERIC_NAMES)
+    return ex.coverage_by_variable(widen(b.typed(spark, sf)), NUMERIC_NAMES)
 
 
 @query("a2_coverage_by_site", f"WITH {O} SELECT SAMPLE_POINT_NAME, YEAR, count(*) AS n FROM o GROUP BY ALL")

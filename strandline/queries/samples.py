@@ -406,7 +406,7 @@ def _(spark, sf):
   round(LONGITUDE, 6) AS LONGITUDE FROM ll""",
 )
 def _(spark, sf):
-    return rounded(stations.build_stations(b.clean_rows(spark, sf)))
+    return rounded(stations.build_stations(b.typed(spark, sf)))
 
 
 @query(
