@@ -23,7 +23,8 @@ def calweek(c: str | Column) -> Column:
 
 
 def weekday_label(c: str | Column) -> Column:
-    return F.element_at(F.array(*[F.lit(d) for d in WEEKDAYS]), F.dayofweek(column(c)))
+    # ``get`` rather than ``element_at``, which takes a NULL index for the last element.
+    return F.get(F.array(*[F.lit(d) for d in WEEKDAYS]), F.dayofweek(column(c)) - 1)
 
 
 def weekday_index(c: str | Column) -> Column:

@@ -63,7 +63,7 @@ def class_by_sum(
 ) -> Column:
     """The class whose index is the number of limits exceeded."""
     exceeded = column(low_flag) + column(high_flag)
-    return F.element_at(F.array(*[F.lit(label) for label in labels]), exceeded + 1)
+    return F.get(F.array(*[F.lit(label) for label in labels]), exceeded)
 
 
 def cut(x: str | Column, breaks: Sequence[float], labels: Sequence[str]) -> Column:

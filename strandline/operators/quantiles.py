@@ -23,7 +23,8 @@ _SHIFT = 2_000_000  # larger than 1024 buckets for each of the 1074 octaves belo
 def value_counts(df: DataFrame, group: Sequence[str], x: str) -> DataFrame:
     """(group, x, w): how often each known value occurs. Combines before the shuffle."""
     return (
-        df.select(*group, not_nan(x).cast("double").alias(x))
+        df.filter(F.col(x).isNotNull())
+        .select(*group, not_nan(x).cast("double").alias(x))
         .filter(F.col(x).isNotNull())
         .groupBy(*group, x)
         .agg(F.count(F.lit(1)).alias("w"))

@@ -185,7 +185,7 @@ def capped_histogram(
 def _box_parts(df: DataFrame, group: Sequence[str], x: str, log10: bool) -> DataFrame:
     """Distinct values with counts, next to their group's quartiles."""
     if log10:
-        df = df.withColumn(x, F.when(F.col(x) > 0, F.log10(x)))
+        df = df.filter(F.col(x) > 0).withColumn(x, F.log10(x))
     counts = value_counts(df, group, x)
     quartiles = quantiles_of_counts(counts, group, x, (0.25, 0.5, 0.75), ("q1", "median", "q3"))
     reach = (F.col("q3") - F.col("q1")) * 1.5
@@ -211,15 +211,28 @@ def box_stats(
         *[F.max(c).alias(c) for c in ("q1", "median", "q3")],
         F.min(end).alias("whisker_lo"),
         F.max(end).alias("whisker_hi"),
-        F.max("n").alias("n"),
+        # From the counts, so that all parts of the plan read the same shuffled table.
+        F.sum("w").alias("n"),
     )
-    if levels is None:
-        return stats
+    return stats if levels is None else _with_all_levels(stats, group, levels)
+
+
+def _with_all_levels(stats: DataFrame, group: Sequence[str], levels: Sequence[str]) -> DataFrame:
+    """Add a box with n = 0 for each level a group lacks; a group has few boxes."""
     *outer, category = group
-    every_level = F.explode(F.array(*[F.lit(v) for v in levels])).alias(category)
-    base = df.select(*outer).distinct() if outer else df.sparkSession.range(1)
-    complete = null_safe_join(base.select(*outer, every_level), stats, group, "full_outer")
-    return complete.fillna(0, subset=["n"])
+    cells = [c for c in stats.columns if c not in outer]
+    types = dict(stats.dtypes)
+    boxes = stats.groupBy(*outer).agg(F.collect_list(F.struct(*cells)).alias("boxes"))
+
+    def empty(level: Column) -> Column:
+        known = {category: level, "n": F.lit(0)}
+        return F.struct(
+            *[known.get(c, F.lit(None)).cast(types[c]).alias(c) for c in cells]
+        )
+
+    present = F.transform("boxes", lambda box: box[category])
+    missing = F.array_except(F.array(*[F.lit(v) for v in levels]), present)
+    return boxes.select(*outer, F.inline(F.concat("boxes", F.transform(missing, empty))))
 
 
 def box_outliers(
