@@ -40,7 +40,6 @@ def as_set(df, *cols):
     return {tuple(row) for row in df.select(*cols).collect()}
 
 
-def plan_of(df) -> str:
-    return df._jdf.queryExecution().explainString(
-        df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
-    )
+def plan_of(df, mode: str = "formatted") -> str:
+    explain = df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode
+    return df._jdf.queryExecution().explainString(explain.fromString(mode))

@@ -90,16 +90,17 @@ def test_override_ignores_unknown(spark):
 
 def test_tolerant_casts(spark):
     df = spark.createDataFrame(
-        [(0, "1.0"), (1, " 12.9 "), (2, "<10"), (3, ""), (4, None), (5, "12d"), (6, "NaN"), (7, "1e3")],
+        [(0, "1.0"), (1, " 12.9 "), (2, "<10"), (3, ""), (4, None), (5, "12d"), (6, "NaN"), (7, "1e3"),
+         (8, "12f\t"), (9, "5.\t")],
         "i int, x string",
     )
-    assert column_of(df, to_number("x")) == [1.0, 12.9, None, None, None, None, None, 1000.0]
-    assert column_of(df, to_integer("x")) == [1, 12, None, None, None, None, None, 1000]
+    assert column_of(df, to_number("x")) == [1.0, 12.9, None, None, None, None, None, 1000.0, None, 5.0]
+    assert column_of(df, to_integer("x")) == [1, 12, None, None, None, None, None, 1000, None, 5]
 
 
 def test_trim_takes_all_whitespace(spark):
-    df = spark.createDataFrame([(0, "\t a b \n")], "i int, x string")
-    assert column_of(df, trimmed("x")) == ["a b"]
+    df = spark.createDataFrame([(0, "\t a b \n"), (1, "\u00a0x\u2003"), (2, ""), (3, None)], "i int, x string")
+    assert column_of(df, trimmed("x")) == ["a b", "x", "", None]
 
 
 def python_calweek(day: date) -> int:
