@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strandline.operators.joins import broadcast_if_small, null_safe_join
+from strandline.session import settle
+
 MAX_TASK_ROWS = 5_000_000
 WHOLE, DAY, MINUTE, INSTANT = "WHOLE", "DAY", "MINUTE", "INSTANT"
 INSTANT_ID_BITS = 20
@@ -21,28 +24,28 @@ def _minute(ts: str) -> Column:
     return _day(ts) * 1440 + F.hour(ts) * 60 + F.minute(ts)
 
 
-def choose_grain(
-    df: DataFrame, partition: Sequence[str], ts: str, max_rows: int = MAX_TASK_ROWS
-) -> str:
-    """The coarsest time slice of a group that stays within ``max_rows`` rows.
+def hot_groups(
+    df: DataFrame, partition: Sequence[str], max_rows: int = MAX_TASK_ROWS
+) -> DataFrame:
+    """The groups with more than ``max_rows`` rows: at most (all rows / max_rows) of them."""
+    counted = df.groupBy(*partition).agg(F.count(F.lit(1)).alias("__n"))
+    return settle(counted.filter(F.col("__n") > max_rows).select(*partition))
+
+
+def choose_grain(rows: DataFrame, partition: Sequence[str], ts: str, max_rows: int) -> str:
+    """The coarsest time slice in which every given group stays within ``max_rows`` rows.
 
-    One counting pass over the key columns, combined before each shuffle; three numbers
-    reach the driver.
+    Counts combine before each shuffle; two numbers reach the driver.
     """
-    minutes = df.groupBy(*partition, _day(ts).alias("__d"), _minute(ts).alias("__m")).agg(
+    minutes = rows.groupBy(*partition, _day(ts).alias("__d"), _minute(ts).alias("__m")).agg(
         F.count(F.lit(1)).alias("__n")
     )
     days = minutes.groupBy(*partition, "__d").agg(
         F.sum("__n").alias("__day"), F.max("__n").alias("__minute")
     )
-    groups = days.groupBy(*partition).agg(
-        F.sum("__day").alias("__whole"),
-        F.max("__day").alias("__day"),
-        F.max("__minute").alias("__minute"),
-    )
-    densest = groups.agg(F.max("__whole"), F.max("__day"), F.max("__minute")).first()
-    for grain, rows in zip((WHOLE, DAY, MINUTE), densest, strict=True):
-        if (rows or 0) <= max_rows:
+    densest = days.agg(F.max("__day"), F.max("__minute")).first()
+    for grain, most in zip((DAY, MINUTE), densest, strict=True):
+        if (most or 0) <= max_rows:
             return grain
     return INSTANT
 
@@ -71,37 +74,34 @@ def with_previous(
 ) -> DataFrame:
     """Add PREV_<col> for each of ``cols`` and DIFFTIME, the whole days since then.
 
-    The order is (ts, id). When the densest group fits one task this is a single window.
-    Otherwise each group is cut into time slices; the last row of a slice is carried
-    into the group's next non-empty slice, where it stands before the slice's own rows.
+    The order is (ts, id). Without a group of more than ``max_rows`` rows this is a single
+    window. Otherwise the hot groups alone are cut into time slices: the last row of a
+    slice is carried into the group's next non-empty slice, where it stands before the
+    slice's own rows. A given ``grain`` is applied to all groups without counting.
     """
-    grain = grain or choose_grain(df, partition, ts, max_rows)
     partition = list(partition)
-    carried = list(dict.fromkeys([*cols, ts]))
+    marked = df.withColumn("__hot", F.lit(True))
+    if grain is None:
+        hot = hot_groups(df, partition, max_rows)
+        if hot.isEmpty():
+            grain = WHOLE
+        else:
+            hot = broadcast_if_small(hot.withColumn("__hot", F.lit(True)))
+            grain = choose_grain(
+                null_safe_join(df.select(*partition, ts), hot, partition), partition, ts, max_rows
+            )
+            marked = null_safe_join(df, hot, partition, "left")
     in_time = [F.col(ts).asc_nulls_last(), F.col(id).asc_nulls_last()]
 
     if grain == WHOLE:
         rows, ordered = df, W.partitionBy(*partition).orderBy(*in_time)
     else:
-        own = df.withColumns({"__slice": _slice(ts, id, grain), "__carried": F.lit(0)})
-        last = own.groupBy(*partition, "__slice").agg(
-            F.max_by(
-                F.struct(*carried), F.struct(F.col(ts).isNull(), F.col(ts), F.col(id))
-            ).alias("__row")
+        own = marked.withColumns(
+            {"__slice": F.when(F.col("__hot"), _slice(ts, id, grain)), "__carried": F.lit(0)}
         )
-        # One row per group and slice: bounded by the calendar, not by the data.
-        by_slice = W.partitionBy(*partition).orderBy("__slice")
-        carry = (
-            last.withColumn("__next", F.lead("__slice").over(by_slice))
-            .filter(F.col("__next").isNotNull())
-            .select(
-                *partition,
-                F.col("__next").alias("__slice"),
-                F.lit(1).alias("__carried"),
-                *[F.col(f"__row.{c}").alias(c) for c in carried if c not in partition],
-            )
+        rows = own.unionByName(
+            _carried(own, partition, [*cols, ts], ts, id), allowMissingColumns=True
         )
-        rows = own.unionByName(carry, allowMissingColumns=True)
         ordered = W.partitionBy(*partition, "__slice").orderBy(F.col("__carried").desc(), *in_time)
 
     out = rows.withColumns(
@@ -113,4 +113,32 @@ def with_previous(
     if grain != WHOLE:
         out = out.filter(F.col("__carried") == 0)
     days = F.date_diff(F.to_date(F.col(ts)), F.to_date(F.col("__prev_ts")))
-    return out.withColumn("DIFFTIME", days).drop("__prev_ts", "__slice", "__carried")
+    return out.select(*df.columns, *[f"PREV_{c}" for c in cols], days.alias("DIFFTIME"))
+
+
+def _carried(
+    own: DataFrame, partition: Sequence[str], cols: Sequence[str], ts: str, id: str
+) -> DataFrame:
+    """The last row of every slice of a hot group, moved to the group's next slice."""
+    cols = list(dict.fromkeys(cols))
+    last = (
+        own.filter(F.col("__hot"))
+        .groupBy(*partition, "__slice")
+        .agg(
+            F.max_by(F.struct(*cols), F.struct(F.col(ts).isNull(), F.col(ts), F.col(id))).alias(
+                "__row"
+            )
+        )
+    )
+    # One row per group and slice: bounded by the calendar, not by the data.
+    by_slice = W.partitionBy(*partition).orderBy("__slice")
+    return (
+        last.withColumn("__next", F.lead("__slice").over(by_slice))
+        .filter(F.col("__next").isNotNull())
+        .select(
+            *partition,
+            F.col("__next").alias("__slice"),
+            F.lit(1).alias("__carried"),
+            *[F.col(f"__row.{c}").alias(c) for c in cols if c not in partition],
+        )
+    )

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from strandline.operators.groups import with_group_count, with_group_share, with_group_total
 from strandline.operators.joins import broadcast_if_small, null_safe_join
-from strandline.operators.previous import choose_grain, with_previous
+from strandline.operators.previous import choose_grain, hot_groups, with_previous
 from strandline.operators.quantiles import group_quantiles
 from strandline.operators.ranking import rank_by, rank_levels, row_numbers
 from strandline.operators.reshape import (
@@ -136,12 +136,20 @@ def test_previous_equals_a_plain_window(visits, grain, partition):
     assert as_set(got, *cols) == as_set(want, *cols)
 
 
-def test_grain_follows_the_densest_slice(visits):
-    assert choose_grain(visits, ["s"], "ts", max_rows=10_000) == "WHOLE"
-    assert choose_grain(visits, ["s"], "ts", max_rows=1) == "INSTANT"
-    got = with_previous(visits, ["s"], ["x"], "ts", "id", max_rows=1)
-    want = with_previous(visits, ["s"], ["x"], "ts", "id", grain="WHOLE")
-    assert as_set(got, "id", "PREV_x") == as_set(want, "id", "PREV_x")
+@pytest.mark.parametrize("max_rows", [1, 3, 40, 300, 700, 10_000])
+def test_only_hot_groups_are_sliced(visits, max_rows):
+    got = with_previous(visits, ["s"], ["x", "y"], "ts", "id", max_rows=max_rows)
+    want = with_previous(visits, ["s"], ["x", "y"], "ts", "id", grain="WHOLE")
+    cols = ["id", "s", "y", "PREV_x", "PREV_y", "DIFFTIME"]
+    assert got.columns == want.columns
+    assert as_set(got, *cols) == as_set(want, *cols)
+
+
+def test_hot_groups_and_their_grain(visits):
+    assert as_set(hot_groups(visits, ["s"], 600), "s") == {("hot",)}
+    assert hot_groups(visits, ["s"], 10_000).isEmpty()
+    assert choose_grain(visits, ["s"], "ts", 10_000) == "DAY"
+    assert choose_grain(visits, ["s"], "ts", 1) == "INSTANT"
 
 
 def test_gap_counts_calendar_days(spark):
