@@ -66,6 +66,7 @@ RAW_COLUMNS = (
     "PARAMETER NAME", "CONCENTRATION", "CONCENTRATION QUALIFIER",
     "QUANITATION LIMIT", "SITE LATITUDE (UTM)", "SITE LONGITUDE (UTM)", "REMARKS",
 )
+RAW_DROPPED = ("REMARKS",)
 RAW_RENAMES = {
     "SITE_LATITUDE_(UTM)": "SITE_LATITUDE_UTM",
     "SITE_LONGITUDE_(UTM)": "SITE_LONGITUDE_UTM",

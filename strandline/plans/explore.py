@@ -88,14 +88,14 @@ def covariate_pairs(
     limits: Limits = Limits(),
     site: str = SITE,
 ) -> DataFrame:
-    """(covariate, value, class), optionally with a grouping variable."""
-    facet = F.lit(None).cast("string") if group is None else F.col(group)
+    """(covariate, value, class), and the grouping variable as FACET when one is named."""
+    facet = [] if group is None else [F.col(group).alias("FACET")]
     return df.filter(F.col(covariate).isNotNull()).select(
         site,
         F.col(covariate).alias("COVARIATE"),
         x,
         binned_class_of(x, limits).alias("CLASS"),
-        facet.alias("FACET"),
+        *facet,
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions.text import to_integer, to_number, trimmed
-from strandline.model import RAW_RENAMES, RAW_TYPES
+from strandline.model import RAW_DROPPED, RAW_RENAMES, RAW_TYPES
 
 _CONVERSIONS = {"number": to_number, "integer": to_integer, "trim": trimmed}
 
@@ -43,11 +43,11 @@ def distinct_values(df: DataFrame, col: str) -> DataFrame:
     return df.select(col).filter(F.col(col).isNotNull()).distinct().orderBy(col)
 
 
-def typed_rows(raw: DataFrame, drop: Sequence[int | str] = ("REMARKS",)) -> DataFrame:
+def typed_rows(raw: DataFrame, drop: Sequence[int | str] = RAW_DROPPED) -> DataFrame:
     """Names and types; copies stay, for consumers that combine them anyway."""
     return standardise_types(standardise_names(raw, drop))
 
 
-def standardise(raw: DataFrame, drop: Sequence[int | str] = ("REMARKS",)) -> DataFrame:
+def standardise(raw: DataFrame, drop: Sequence[int | str] = RAW_DROPPED) -> DataFrame:
     """Names, then types, then duplicates."""
     return dedup_rows(typed_rows(raw, drop))

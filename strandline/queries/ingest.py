@@ -256,7 +256,7 @@ def _(spark, sf):
 # --- pivots over users and days -------------------------------------------------
 
 TYPES = ["click", "error", "purchase", "signup", "view"]
-CELLS_SQL = """cells AS (SELECT user_id, CAST(ts AS DATE) AS day, event_type, max(value) AS value
+CELLS_SQL = """cells AS (SELECT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, max(value) AS value
   FROM events GROUP BY ALL)"""
 
 
@@ -395,11 +395,11 @@ def _(spark, sf):
     f"""WITH {b.WIDE_SQL}, {IDS_SQL}, cal AS (SELECT *, {b.calweek_sql('SAMPLE_DATE')} AS wk FROM ids)
   SELECT {WIDE_COLUMNS_SQL}, id, CAST(year(SAMPLE_DATE) AS INTEGER) AS YEAR,
   CAST(month(SAMPLE_DATE) AS INTEGER) AS MONTH, CASE WHEN wk BETWEEN 20 AND 46 THEN wk END AS WEEK,
-  {b.weekday_sql('SAMPLE_DATE')} AS WEEKDAY, CAST(SAMPLE_DATE AS DATE) AS DATE
+  {b.weekday_sql('SAMPLE_DATE')} AS WEEKDAY, CAST(CAST(SAMPLE_DATE AS DATE) AS VARCHAR) AS DATE
   FROM cal WHERE ENTEROCOCCI IS NOT NULL""",
 )
 def _(spark, sf):
-    return build_samples(b.typed(spark, sf))
+    return rounded(build_samples(b.typed(spark, sf)))
 
 
 # --- calendar ------------------------------------------------------------------------
@@ -410,11 +410,11 @@ def _(spark, sf):
     f"""WITH o1 AS (SELECT *, {b.calweek_sql('o_orderdate')} AS wk FROM orders)
   SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS YEAR, CAST(month(o_orderdate) AS INTEGER) AS MONTH,
   CASE WHEN wk BETWEEN 20 AND 46 THEN wk END AS WEEK, {b.weekday_sql('o_orderdate')} AS WEEKDAY,
-  CAST(o_orderdate AS DATE) AS DATE FROM o1""",
+  CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS DATE FROM o1""",
 )
 def _(spark, sf):
     dated = add_calendar(b.table(spark, sf, "orders"), "o_orderdate")
-    return dated.select("o_orderkey", "YEAR", "MONTH", "WEEK", "WEEKDAY", "DATE")
+    return rounded(dated.select("o_orderkey", "YEAR", "MONTH", "WEEK", "WEEKDAY", "DATE"))
 
 
 @query(

@@ -32,10 +32,12 @@ def query(name: str, sql: str | None = None) -> Callable[[Job], Job]:
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round every double, so that two engines' last bits do not matter."""
+    """Round doubles and print dates, so that engines' last bits and types do not matter."""
 
     def shown(name: str, kind: str) -> Column:
         col = F.col(f"`{name}`")
-        return F.round(col, digits).alias(name) if kind == "double" else col
+        if kind == "double":
+            return F.round(col, digits).alias(name)
+        return col.cast("string").alias(name) if kind == "date" else col
 
     return df.select(*[shown(name, kind) for name, kind in df.dtypes])

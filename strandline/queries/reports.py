@@ -685,8 +685,8 @@ def _(spark, sf):
 
 @query(
     "h9_covariate_pairs_ungrouped",
-    f"""WITH {b.WIDE_SQL} SELECT SAMPLE_POINT_NAME, SALINITY AS COVARIATE, ENTEROCOCCI, {BINNED} AS CLASS,
-  CAST(NULL AS VARCHAR) AS FACET FROM w WHERE SALINITY IS NOT NULL""",
+    f"""WITH {b.WIDE_SQL} SELECT SAMPLE_POINT_NAME, SALINITY AS COVARIATE, ENTEROCOCCI, {BINNED} AS CLASS
+  FROM w WHERE SALINITY IS NOT NULL""",
 )
 def _(spark, sf):
     return xp.covariate_pairs(b.wide_samples(spark, sf), "SALINITY")

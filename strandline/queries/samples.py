@@ -289,11 +289,11 @@ def _(spark, sf):
 
 @query(
     "q6_multiple_per_day",
-    f"""WITH {E} SELECT SAMPLE_POINT_NAME, CAST(SAMPLE_DATE AS DATE) AS DATE, count(*) AS n FROM e
+    f"""WITH {E} SELECT SAMPLE_POINT_NAME, CAST(CAST(SAMPLE_DATE AS DATE) AS VARCHAR) AS DATE, count(*) AS n FROM e
   GROUP BY ALL HAVING count(*) > 1""",
 )
 def _(spark, sf):
-    return checks.multiple_per_day(b.event_samples(spark, sf))
+    return rounded(checks.multiple_per_day(b.event_samples(spark, sf)))
 
 
 @query(
@@ -309,12 +309,12 @@ def _(spark, sf):
 
 @query(
     "q8_duplicate_cells",
-    """SELECT user_id, CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events
+    """SELECT user_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, count(*) AS n FROM events
   GROUP BY ALL HAVING count(*) > 1""",
 )
 def _(spark, sf):
     events = b.table(spark, sf, "events").withColumn("day", F.to_date(F.col("ts")))
-    return checks.duplicate_cells(events, ["user_id", "day"], "event_type")
+    return rounded(checks.duplicate_cells(events, ["user_id", "day"], "event_type"))
 
 
 # --- dimensions ----------------------------------------------------------------------------
@@ -348,14 +348,14 @@ def _(spark, sf):
 SPINE_SQL = f"""days AS (SELECT YEAR, unnest(generate_series(make_date(YEAR, 1, 1)::TIMESTAMP, make_date(YEAR, 12, 31)::TIMESTAMP,
   INTERVAL 1 DAY)) AS d FROM (SELECT DISTINCT CAST(year(o_orderdate) AS INTEGER) AS YEAR FROM orders)),
   wk AS (SELECT YEAR, d, {b.calweek_sql('d')} AS WEEK FROM days),
-  spine AS (SELECT YEAR, WEEK, CAST(min(d) AS DATE) AS START_DATE, strftime(min(d), '%b %d') AS START_LABEL,
+  spine AS (SELECT YEAR, WEEK, CAST(CAST(min(d) AS DATE) AS VARCHAR) AS START_DATE, strftime(min(d), '%b %d') AS START_LABEL,
   CAST(WEEK - 22 AS INTEGER) AS label_rank FROM wk WHERE WEEK BETWEEN 23 AND 36 GROUP BY YEAR, WEEK)"""
 
 
 @query("d4_week_spine", f"WITH {SPINE_SQL} SELECT * FROM spine")
 def _(spark, sf):
     years = b.table(spark, sf, "orders").select(F.year("o_orderdate").alias("YEAR"))
-    return stations.week_spine(years)
+    return rounded(stations.week_spine(years))
 
 
 @query(
@@ -368,7 +368,7 @@ def _(spark, sf):
     orders = b.table(spark, sf, "orders").select(
         "o_orderkey", F.year("o_orderdate").alias("YEAR"), calweek("o_orderdate").alias("WEEK")
     )
-    return stations.attach_weeks(orders, stations.week_spine(orders))
+    return rounded(stations.attach_weeks(orders, stations.week_spine(orders)))
 
 
 def _latlon_sql() -> str:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from strandline.model import RAW_COLUMNS, RAW_DATE_COLUMN
+from strandline.model import RAW_COLUMNS, RAW_DATE_COLUMN, RAW_DROPPED
 
 FLAG_SCHEMA = T.StructType(
     [T.StructField("id", T.LongType()), T.StructField("stn", T.StringType())]
@@ -30,19 +30,34 @@ def read_raw(
     spark: SparkSession,
     path: str,
     fmt: str = "csv",
-    columns: Sequence[str] = RAW_COLUMNS,
+    columns: Sequence[str] | None = None,
     date_column: str = RAW_DATE_COLUMN,
+    timestamp_format: str | None = None,
 ) -> DataFrame:
-    """Raw measurement rows, one per parameter, without inference."""
+    """Raw measurement rows, one per parameter, without type inference.
+
+    Columns are those of the header unless given; a needed one that is missing is an error.
+    """
+    if fmt == "csv" and columns is None:
+        columns = spark.read.option("header", True).csv(path).columns
+    elif columns is None:
+        columns = spark.read.format(fmt).load(path).columns
+    missing = [c for c in RAW_COLUMNS if c not in columns and c not in RAW_DROPPED]
+    if missing:
+        raise ValueError(f"raw table lacks {missing}")
     reader = spark.read.schema(raw_schema(columns, date_column))
-    if fmt == "csv":
-        # Leading and trailing blanks are data here: cleaning removes them later.
-        return reader.options(
-            header=True,
-            ignoreLeadingWhiteSpace=False,
-            ignoreTrailingWhiteSpace=False,
-        ).csv(path)
-    return reader.format(fmt).load(path)
+    if fmt != "csv":
+        return reader.format(fmt).load(path)
+    if timestamp_format is not None:
+        reader = reader.option("timestampNTZFormat", timestamp_format)
+    # Blanks are data here: cleaning removes them later. A header that differs from the
+    # schema must fail, not shift the columns.
+    return reader.options(
+        header=True,
+        enforceSchema=False,
+        ignoreLeadingWhiteSpace=False,
+        ignoreTrailingWhiteSpace=False,
+    ).csv(path)
 
 
 def read_flags(spark: SparkSession, path: str) -> DataFrame:
