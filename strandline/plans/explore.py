@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from strandline.functions.classify import VALUE, binned_class_of, class_of, two_class_of
 from strandline.model import (
-    CLASS_LABELS,
     SEASON_WEEKS,
     STATION_INFO_LABELS,
     WEEKDAYS,
@@ -19,6 +18,8 @@ from strandline.operators.joins import null_safe_join
 from strandline.operators.reshape import record_as_rows
 
 SITE = "SAMPLE_POINT_NAME"
+# "three" is the nested test, "binned" the interval classes, which leave zero out.
+CLASSIFIERS = {"three": class_of, "two": two_class_of, "binned": binned_class_of}
 METRICS = ("COUNT", "FRAC_GT_SSM", "FRAC_GT_BAV", "FRAC_BAV_SSM", "MEDIAN", "GEOMEAN")
 
 
@@ -43,14 +44,13 @@ def calendar_cells(
 ) -> DataFrame:
     """One cell per sample: week, weekday, class and sample type.
 
-    ``classes`` is "three" (nested test), "two", or "binned" (interval classes). With
-    ``max_week`` samples out of season drop out, as their week is unknown.
+    With ``max_week`` samples out of season drop out, as their week is unknown.
     """
-    by = {"three": class_of, "two": two_class_of, "binned": binned_class_of}[classes]
     cells = df if resamples else df.filter(~F.col("RESAMPLE"))
     if max_week is not None:
         cells = cells.filter(F.col("WEEK") <= max_week)
-    return cells.select(site, "YEAR", "WEEK", "WEEKDAY", by(x, limits).alias("CLASS"), "SAMPLE_TYPE")
+    cls = CLASSIFIERS[classes](x, limits)
+    return cells.select(site, "YEAR", "WEEK", "WEEKDAY", cls.alias("CLASS"), "SAMPLE_TYPE")
 
 
 def calendar_full(
@@ -71,13 +71,13 @@ def calendar_full(
 
 def time_series(
     df: DataFrame,
+    classes: str = "three",
     x: str = VALUE,
     limits: Limits = Limits(),
-    labels: Sequence[str] = CLASS_LABELS,
     site: str = SITE,
     ts: str = "SAMPLE_DATE",
 ) -> DataFrame:
-    return df.select(site, ts, x, class_of(x, limits, labels).alias("CLASS"))
+    return df.select(site, ts, x, CLASSIFIERS[classes](x, limits).alias("CLASS"))
 
 
 def covariate_pairs(

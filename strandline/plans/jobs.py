@@ -90,8 +90,9 @@ def report_tables(
     flagged: DataFrame, stations: DataFrame, limits: Limits = Limits()
 ) -> dict[str, Callable[[], DataFrame]]:
     """Name -> a function that plans the table; nothing runs until one is called."""
-    samples = attach_station(explorer_samples(flagged, limits), stations)
-    dated = add_calendar(samples)
+    # Without stations: a point with several station rows would repeat its samples.
+    explorer = explorer_samples(flagged, limits)
+    samples = attach_station(explorer, stations)
     routine = samples.filter("SAMPLE_TYPE = 'Routine'")
 
     def by_year() -> DataFrame:
@@ -119,7 +120,7 @@ def report_tables(
         "coverage_categorical": lambda: ex.coverage_by_variable(flagged, CATEGORICAL_NAMES),
         "coverage_numeric": lambda: ex.coverage_by_variable(flagged, NUMERIC_NAMES),
         "coverage_by_site": lambda: ex.coverage_by_site(flagged),
-        "type_frequency": lambda: ex.type_frequency(samples),
+        "type_frequency": lambda: ex.type_frequency(explorer),
         "low_limit_by_site_year": lambda: rank_by(low_limit(), "FRAC_BW_70_104", [SITE, "YEAR"]),
         "low_limit_by_site": lambda: rank_by(
             ex.low_limit_by_site(low_limit()), "MEDIAN_N_RESAMPLE_PER_YEAR"
@@ -143,16 +144,18 @@ def report_tables(
         ),
         "log_histogram": lambda: dist.histogram(routine, width=0.3, boundary=0.15, log10=True),
         "linear_histogram": lambda: dist.histogram(routine.filter("ENTEROCOCCI < 200")),
-        "capped_histogram": lambda: dist.capped_histogram(xp.time_series(samples, limits=limits)),
+        "capped_histogram": lambda: dist.capped_histogram(
+            xp.time_series(explorer, "binned", limits=limits)
+        ),
         "repeat_exceedance_by_site": lambda: ps.repeat_exceedance_by_site(previous()),
         "initial_resample_total": lambda: ps.initial_resample_total(followups(True)),
         "initial_resample_by_site": lambda: ps.initial_resample_by_site(followups(True)),
         "followup_pairs": lambda: ps.followup_pairs(followups()),
         "resample_pairs_by_gap": lambda: ps.followup_pairs(previous()),
         "calendar": lambda: xp.calendar_full(
-            xp.calendar_cells(dated, classes="binned", limits=limits)
+            xp.calendar_cells(add_calendar(explorer), classes="binned", limits=limits)
         ),
-        "time_series": lambda: xp.time_series(samples, limits=limits),
+        "time_series": lambda: xp.time_series(explorer, "binned", limits=limits),
         "station_choices": lambda: station_choices(stations),
         "site_info": lambda: xp.site_info(located()),
     }
@@ -165,11 +168,11 @@ def report_tables(
         }
     for covariate, levels in COVARIATE_LEVELS.items():
         tables[f"box_by_{covariate.lower()}"] = lambda c=covariate, v=levels: dist.box_stats(
-            samples, [SITE, c], log10=True, levels=v
+            explorer, [SITE, c], log10=True, levels=v
         )
     for covariate in COVARIATES:
         tables[f"scatter_{covariate.lower()}"] = lambda c=covariate: xp.covariate_pairs(
-            samples, c, limits=limits
+            explorer, c, limits=limits
         )
     for metric in xp.METRICS:
         tables[f"map_{metric.lower()}"] = lambda m=metric: xp.map_metric(

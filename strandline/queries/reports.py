@@ -534,8 +534,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     chosen = xp.explore(b.decorated_events(spark, sf), ["Routine", "Resample"])
-    classed = xp.time_series(chosen)
-    return dist.capped_histogram(classed)
+    return dist.capped_histogram(xp.time_series(chosen, "binned"))
 
 
 def _box_sql(keys: str, source: str) -> str:
