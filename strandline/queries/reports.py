@@ -27,6 +27,12 @@ from strandline.queries.registry import query, rounded
 E, O = b.EVENTS_SQL, b.ORDERS_SQL
 SITE = "SAMPLE_POINT_NAME"
 
+# Interval classes: zero or less has none.
+BINNED = (
+    "CASE WHEN ENTEROCOCCI > 104 THEN '>104' WHEN ENTEROCOCCI > 70 THEN '70-104' "
+    "WHEN ENTEROCOCCI > 0 THEN '<70' END"
+)
+
 
 def _r(expr: str) -> str:
     return f"round({expr}, 6)"
@@ -527,7 +533,7 @@ def _(spark, sf):
 
 @query(
     "h3_capped_histogram",
-    f"""WITH {E}, k AS (SELECT SAMPLE_POINT_NAME, CASE WHEN ENTEROCOCCI > 104 THEN '>104' WHEN ENTEROCOCCI > 70 THEN '70-104' ELSE '<70' END AS CLASS,
+    f"""WITH {E}, k AS (SELECT SAMPLE_POINT_NAME, {BINNED} AS CLASS,
   CAST(ceil(least(ENTEROCOCCI, 400) / 10) AS BIGINT) AS bin, count(*) AS n FROM e
   WHERE SAMPLE_TYPE IN ('Routine', 'Resample') GROUP BY ALL)
   SELECT SAMPLE_POINT_NAME, CLASS, CAST(bin * 10 - 10 AS DOUBLE) AS lo, CAST(bin * 10 AS DOUBLE) AS hi, n FROM k""",
@@ -635,7 +641,7 @@ def _(spark, sf):
 
 @query(
     "h6_calendar_interval_classes",
-    f"WITH {E}, {_cells_sql('cc', 'e', b.class_sql(70, 104, '<70'), 'TRUE', 2, 4)} SELECT * FROM cc",
+    f"WITH {E}, {_cells_sql('cc', 'e', BINNED, 'TRUE', 2, 4)} SELECT * FROM cc",
 )
 def _(spark, sf):
     return xp.calendar_cells(b.calendar_events(spark, sf), classes="binned")
@@ -666,10 +672,6 @@ def _(spark, sf):
     return rounded(xp.time_series(chosen))
 
 
-BINNED = (
-    "CASE WHEN ENTEROCOCCI > 104 THEN '>104' WHEN ENTEROCOCCI > 70 THEN '70-104' "
-    "WHEN ENTEROCOCCI > 0 THEN '<70' END"
-)
 
 
 @query(
