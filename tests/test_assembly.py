@@ -43,9 +43,9 @@ from tests.conftest import as_set, plan_of
 DAY1, DAY2, DAY3 = datetime(2015, 7, 6, 9), datetime(2015, 7, 7, 9), datetime(2015, 1, 5)
 
 
-def raw(sample, when, kind, name, value=None, qualifier=None, limit=None, point="P-01", site="  Long Sands\t"):
+def raw(sample, when, kind, name, value=None, qualifier=None, limit=None, point="P-01", site="  East Beach\t"):
     row = {
-        "SITE SEQUENCE NUMBER": "12.0", "SAMPLE SEQUENCE NUMBER": "7", "TOWN": "York",
+        "SITE SEQUENCE NUMBER": "12.0", "SAMPLE SEQUENCE NUMBER": "7", "TOWN": "Harbour",
         "SITE NAME": site, "SAMPLE POINT NAME": point, "SAMPLE DATE": when, "SAMPLE TYPE": kind,
         "DEP SAMPLE ID": sample, "PARAMETER NAME": name, "CONCENTRATION": value,
         "CONCENTRATION QUALIFIER": qualifier, "QUANITATION LIMIT": limit,
@@ -73,7 +73,7 @@ ROWS = [
     raw("D5", DAY3, "X", "ACCUMULATION LAST 72 HOURS", "9", point="A-01"),       # unlisted name
     raw("D6", DAY3, "X", "ACCUMULATION LAST 72 HOURS", "9"),                     # only unlisted
     raw("D5", DAY3, WATER, "ENTEROCOCCI", "120", None, None, point="A-01"),      # exact copy
-    raw("D5", DAY3, WATER, "ENTEROCOCCI", "120", None, None, point="A-01", site="Long Sands"),  # copy after trim
+    raw("D5", DAY3, WATER, "ENTEROCOCCI", "120", None, None, point="A-01", site="East Beach"),  # copy after trim
 ]
 
 
@@ -86,7 +86,7 @@ def test_names_and_types(rows):
     named = standardise_names(rows, drop=[len(RAW_COLUMNS) - 1])
     assert "SITE_LATITUDE_UTM" in named.columns and "REMARKS" not in named.columns
     first = typed_rows(rows).first()
-    assert (first.SITE_SEQUENCE_NUMBER, first.SITE_NAME, first.SITE_LATITUDE_UTM) == (12, "Long Sands", 4780000.0)
+    assert (first.SITE_SEQUENCE_NUMBER, first.SITE_NAME, first.SITE_LATITUDE_UTM) == (12, "East Beach", 4780000.0)
     assert standardise(rows).count() == len(ROWS) - 2
 
 
@@ -169,7 +169,7 @@ def test_widen_scans_once_and_shuffles_once(spark, rows, tmp_path):
 
 def test_stations(rows):
     stations = build_stations(typed_rows(rows))
-    assert as_set(stations, "SAMPLE_POINT_NAME", "SITE_NAME") == {("P-01", "Long Sands"), ("A-01", "Long Sands")}
+    assert as_set(stations, "SAMPLE_POINT_NAME", "SITE_NAME") == {("P-01", "East Beach"), ("A-01", "East Beach")}
     row = stations.first()
     assert 43 < row.LATITUDE < 43.5 and -71 < row.LONGITUDE < -70
 
