@@ -118,7 +118,7 @@ def tokenized_pieces(
     schema = (
         T.StructType()
         .add("doc_id", kind)
-        .add("piece", "int")
+        .add("piece", "integer")
         .add("start", "long")
         .add("length", "long")
         .add("ids_crc32", "long")
