@@ -11,6 +11,7 @@ from __future__ import annotations
 import functools
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,36 +36,26 @@ def touching(s: str) -> bool:
 
 
 class WordIds(dict):
-    """Blank-led word -> its token ids as little-endian uint32 bytes, learned as met.
-
-    The vocabulary is read from the ``tokenizers`` file; unseen words are encoded by tiktoken's
-    merge loop over that same vocabulary, which gives the same ids at a third of the time.
-    """
+    """Blank-led word -> its token ids as little-endian uint32 bytes, encoded when first met."""
 
     #: Entries kept; beyond it the table is emptied, so a worker's memory is bounded.
     LIMIT = 500_000
 
     def __init__(self, path: str):
-        import public_tokenizers
-        import tiktoken
         from tokenizers import Tokenizer
 
         super().__init__()
-        known = Tokenizer.from_file(path).get_vocab(with_added_tokens=False)
-        added = {t.content for t in Tokenizer.from_file(path).get_added_tokens_decoder().values()}
-        raw = _byte_of()
-        ranks = {
-            bytes(raw[c] for c in token): i for token, i in known.items() if token not in added
-        }
-        self._encode = tiktoken.Encoding(
-            "file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
-        ).encode_ordinary
+        self._tokenizer = Tokenizer.from_file(path)
+        self._tokenizer.encode_special_tokens = True  # their strings in a text are plain text
 
     def text(self, s: str) -> bytes:
-        return b"".join(i.to_bytes(4, "little") for i in self._encode(s))
+        found = self._tokenizer.encode_batch_fast([s], add_special_tokens=False)[0]
+        return array("I", found.ids).tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        ids = self[word] = self.text(" " + word)
+        ids = self.text(" " + word)
+        if len(word) <= 64:
+            self[word] = ids
         return ids
 
     def document(self, s: str) -> bytes:
@@ -78,13 +69,6 @@ class WordIds(dict):
         return self.text(first) + b"".join(map(self.__getitem__, rest))
 
 
-def _byte_of() -> dict[str, int]:
-    """Printable stand-in -> byte, as byte-level vocabularies write their tokens."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [b for b in range(256) if b not in set(shown)]
-    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
-
-
 @functools.lru_cache(maxsize=2)
 def word_ids(path: str) -> WordIds:
     return WordIds(path)
