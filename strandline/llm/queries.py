@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import chat, packing
+from strandline.llm import chat, line_dedup, packing, simhash_dedup
 
 Job = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Job] = {}
@@ -48,3 +48,35 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return chat.digests(chat.examples(rows.unionByName(trial)))
+
+
+OP4_SQL = """
+WITH lines AS (
+    SELECT doc_id, pos, line,
+           translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+    FROM (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos
+          FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents))),
+repeated AS (
+    SELECT k, max(doc_id) AS keep FROM lines WHERE length(k) >= 20
+    GROUP BY k HAVING count(DISTINCT doc_id) >= 3),
+judged AS (
+    SELECT l.doc_id, l.pos, l.line, r.keep IS NOT NULL AND l.doc_id <> r.keep AS lost
+    FROM lines l LEFT JOIN repeated r ON l.k = r.k)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE lost) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT lost), ''))
+           AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
+
+
+@query("op4_line_dedup", OP4_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
+    return line_dedup.drop_repeated_lines(docs).select("doc_id", "n_lines", "n_dropped", kept)
+
+
+@query("op9_simhash_near_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
