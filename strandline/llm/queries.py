@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import chat, line_dedup, packing, simhash_dedup
+from strandline.llm import chat, decontaminate, licenses, line_dedup, packing, simhash_dedup
 
 Job = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Job] = {}
@@ -80,3 +80,16 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_simhash_near_dedup")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op5_license_scan")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op8_simhash_decontamination")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.matches(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+    return found.drop("text_hash")
