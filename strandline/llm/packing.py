@@ -9,6 +9,7 @@ needed and all are open, the fullest one closes. A task keeps the open bins and
 from __future__ import annotations
 
 import functools
+import os
 import re
 import zlib
 from array import array
@@ -25,6 +26,7 @@ from strandline.llm.staging import staged
 _OTHER_SPACES = "".join(
     c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"
 )
+_MARKS = ".,;:!?|*#$%&()[]{}-"
 _TOUCHING = re.compile(r"\s | \s")
 
 
@@ -38,13 +40,15 @@ def touching(s: str) -> bool:
 class WordIds(dict):
     """Blank-led word -> its token ids as little-endian uint32 bytes, encoded when first met."""
 
-    #: Entries kept; beyond it the table is emptied, so a worker's memory is bounded.
-    LIMIT = 500_000
+    #: Entries kept; beyond it the table is emptied before the next text.
+    LIMIT = 1_000_000
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks share the cores
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.marks = functools.lru_cache(maxsize=4096)(self.text)
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True  # their strings in a text are plain text
 
@@ -53,7 +57,11 @@ class WordIds(dict):
         return array("I", found.ids).tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.text(" " + word)
+        core = word.rstrip(_MARKS)
+        if core != word and core[-1:].isalpha():  # marks after a letter are tokens of their own
+            ids = self[core] + self.marks(word[len(core) :])
+        else:
+            ids = self.text(" " + word)
         if len(word) <= 64:
             self[word] = ids
         return ids

@@ -35,6 +35,7 @@ def ids_of(tokenizer, text):
 def test_ids_equal_the_tokenizer(spark, small, tokenizer):
     encode = packing.word_ids(PATH).document
     texts = [t for _, t in TEXTS if t]
+    texts += ["a word, word. é!! x'|| 9.. don't.) ½* ʰ. ... ,a ª. 漢。 漢,", "l'été, d'*** a1### ②! ǅ?"]
     texts += [r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
     for text in texts:
         want = tokenizer.encode(text, add_special_tokens=False).ids
