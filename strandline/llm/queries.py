@@ -8,7 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import chat, decontaminate, licenses, line_dedup, packing, simhash_dedup
+from strandline.llm import (
+    chat,
+    decontaminate,
+    licenses,
+    line_dedup,
+    packing,
+    quality_rules,
+    simhash_dedup,
+)
+from strandline.llm.divergence_sql import divergence_sql
 
 Job = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Job] = {}
@@ -93,3 +102,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     )
     return found.drop("text_hash")
+
+
+@query("op3_divergence_rules", divergence_sql())
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules.judged(table(spark, sf_dir, "documents"))
+    return found.drop("class_distance", "word_distance")
