@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from strandline.llm import (
     chat,
     decontaminate,
+    language_id,
     licenses,
     line_dedup,
     packing,
+    quality_model,
     quality_rules,
     simhash_dedup,
 )
@@ -108,3 +110,14 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules.judged(table(spark, sf_dir, "documents"))
     return found.drop("class_distance", "word_distance")
+
+
+@query("op6_language_bitmask")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+@query("op7_quality_network")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (table(spark, sf_dir, name) for name in ("documents", "labels"))
+    return quality_model.score(docs, quality_model.fit(docs, labels))
