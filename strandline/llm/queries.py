@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from strandline.llm import (
     chat,
     decontaminate,
+    html_text,
     language_id,
     licenses,
     line_dedup,
@@ -121,3 +122,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (table(spark, sf_dir, name) for name in ("documents", "labels"))
     return quality_model.score(docs, quality_model.fit(docs, labels))
+
+
+@query("op1_block_rules")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
