@@ -1,22 +1,55 @@
-"""The corpus pipeline: each stage works on all that its predecessor kept."""
+"""The corpus pipeline: quality classifier, line dedup, SimHash near-dedup, benchmark
+decontamination, best-fit packing. Each stage works on all that its predecessor kept.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strandline.llm import packing
+from strandline.llm import decontaminate, line_dedup, packing, quality_model, simhash_dedup
 from strandline.llm.queries import bpe_path, table
 from strandline.llm.staging import staged
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go; it learns from this stage's documents."""
+    model = quality_model.fit(docs, table(spark, sf_dir, "labels"))
+    return quality_model.keep_predicted(docs, model)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated lines go from the texts; ``n_chars`` is the new length where a text changed."""
+    found = line_dedup.drop_repeated_lines(docs, counts=("__lines", "__dropped"))
+    chars = F.when(F.col("__dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return found.withColumn("n_chars", chars).drop("__lines", "__dropped")
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays, the one with the least id."""
+    return simhash_dedup.keep_one(docs)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, bpe_path())
 
 
-STAGES = [("best-fit packing", packed)]
+STAGES = [
+    ("quality classifier", quality),
+    ("line dedup", lines),
+    ("SimHash near-dedup", near_copies),
+    ("benchmark decontamination", benchmark),
+    ("best-fit packing", packed),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply the stages to ``documents``; what each keeps is written as Parquet and read again."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir))

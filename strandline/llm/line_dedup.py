@@ -126,15 +126,17 @@ def drop_repeated_lines(
     min_docs: int = 3,
     batches: int = 4,
     fanout: int = 2,
+    counts: tuple[str, str] = ("n_lines", "n_dropped"),
 ) -> DataFrame:
-    """``docs`` with the text's repeated lines dropped, and ``n_lines``, ``n_dropped`` added.
+    """``docs`` with the text's repeated lines dropped, and its lines and dropped lines counted
+    in two columns named by ``counts``, which replace columns of these names.
 
     A line's key is the line without blanks at its ends and with A-Z in lower case. Keys of at
     least ``min_chars`` code points in at least ``min_docs`` documents lose their lines except
     in the largest id holding them. A NULL text is one empty line; a text that lost nothing
     stays NULL or as it was. Rows with a NULL id are counted in no key and lose nothing.
-    Repeated rows of an id are one document and are treated alike. Ids must be numbers. Columns
-    named ``n_lines`` or ``n_dropped`` are replaced; all others pass.
+    Repeated rows of an id are one document and are treated alike. Ids must be numbers. All
+    other columns pass.
     """
     spark = docs.sparkSession
     line = F.btrim(F.col("col"), F.lit(BLANKS))
@@ -186,8 +188,8 @@ def drop_repeated_lines(
     )
     return joined.withColumns(
         {
-            "n_lines": F.size(lines_of(text)).cast("long"),
-            "n_dropped": F.coalesce(F.size("__lost"), F.lit(0)).cast("long"),
+            counts[0]: F.size(lines_of(text)).cast("long"),
+            counts[1]: F.coalesce(F.size("__lost"), F.lit(0)).cast("long"),
             text_col: F.when(F.col("__lost").isNull(), text).otherwise(kept),
         }
     ).drop("__doc", "__row", "__lost", "__text_row")
