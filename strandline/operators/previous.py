@@ -1,66 +1,18 @@
-"""The previous row of each site in time order, also for a site too large for one task."""
+"""The previous row of each site in time order, without bringing a site to one task."""
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandline.operators.joins import broadcast_if_small, null_safe_join
 from strandline.session import settle
 
-MAX_TASK_ROWS = 5_000_000
-WHOLE, DAY, MINUTE, INSTANT = "WHOLE", "DAY", "MINUTE", "INSTANT"
-INSTANT_ID_BITS = 20
-
-
-def _day(ts: str) -> Column:
-    return F.unix_date(F.to_date(F.col(ts))).cast("long")
-
-
-def _minute(ts: str) -> Column:
-    return _day(ts) * 1440 + F.hour(ts) * 60 + F.minute(ts)
-
-
-def hot_groups(
-    df: DataFrame, partition: Sequence[str], max_rows: int = MAX_TASK_ROWS
-) -> DataFrame:
-    """The groups with more than ``max_rows`` rows: at most (all rows / max_rows) of them."""
-    counted = df.groupBy(*partition).agg(F.count(F.lit(1)).alias("__n"))
-    return settle(counted.filter(F.col("__n") > max_rows).select(*partition))
-
-
-def choose_grain(rows: DataFrame, partition: Sequence[str], ts: str, max_rows: int) -> str:
-    """The coarsest time slice in which every given group stays within ``max_rows`` rows.
-
-    Counts combine before each shuffle; two numbers reach the driver.
-    """
-    minutes = rows.groupBy(*partition, _day(ts).alias("__d"), _minute(ts).alias("__m")).agg(
-        F.count(F.lit(1)).alias("__n")
-    )
-    days = minutes.groupBy(*partition, "__d").agg(
-        F.sum("__n").alias("__day"), F.max("__n").alias("__minute")
-    )
-    densest = days.agg(F.max("__day"), F.max("__minute")).first()
-    for grain, most in zip((DAY, MINUTE), densest, strict=True):
-        if (most or 0) <= max_rows:
-            return grain
-    return INSTANT
-
-
-def _slice(ts: str, id: str, grain: str) -> Column:
-    """A sortable slice key that never decreases in (ts, id) order; NULL times are last."""
-    if grain == DAY:
-        return F.struct(F.col(ts).isNull().alias("u"), _day(ts).alias("t"))
-    if grain == MINUTE:
-        return F.struct(F.col(ts).isNull().alias("u"), _minute(ts).alias("t"))
-    if grain == INSTANT:
-        # Integer ids are unique, so a slice holds at most 2^20 rows.
-        block = F.shiftright(F.col(id).cast("long"), INSTANT_ID_BITS)
-        return F.struct(F.col(ts).isNull().alias("u"), F.col(ts).alias("t"), block.alias("b"))
-    raise ValueError(f"unknown grain {grain!r}")
+#: Where monotonically_increasing_id counts within a partition.
+_PLACE = (1 << 33) - 1
 
 
 def with_previous(
@@ -69,76 +21,39 @@ def with_previous(
     cols: Sequence[str],
     ts: str = "SAMPLE_DATE",
     id: str = "id",
-    grain: str | None = None,
-    max_rows: int = MAX_TASK_ROWS,
 ) -> DataFrame:
     """Add PREV_<col> for each of ``cols`` and DIFFTIME, the whole days since then.
 
-    The order is (ts, id). Without a group of more than ``max_rows`` rows this is a single
-    window. Otherwise the hot groups alone are cut into time slices: the last row of a
-    slice is carried into the group's next non-empty slice, where it stands before the
-    slice's own rows. A given ``grain`` is applied to all groups without counting.
+    The order within a group is (ts, id), NULLs last, as in a window by group. Rows are
+    range-partitioned on (group, ts, id), whatever the groups' sizes, and written once, as a
+    second evaluation could choose other bounds. A row's predecessor is the one before it in
+    its range chunk; a chunk's first row gets the last row of the chunk before. A predecessor
+    of another group is none.
     """
-    partition = list(partition)
-    marked = df.withColumn("__hot", F.lit(True))
-    if grain is None:
-        hot = hot_groups(df, partition, max_rows)
-        if hot.isEmpty():
-            grain = WHOLE
-        else:
-            hot = broadcast_if_small(hot.withColumn("__hot", F.lit(True)))
-            grain = choose_grain(
-                null_safe_join(df.select(*partition, ts), hot, partition), partition, ts, max_rows
-            )
-            marked = null_safe_join(df, hot, partition, "left")
-    in_time = [F.col(ts).asc_nulls_last(), F.col(id).asc_nulls_last()]
-
-    if grain == WHOLE:
-        rows, ordered = df, W.partitionBy(*partition).orderBy(*in_time)
-    else:
-        own = marked.withColumns(
-            {"__slice": F.when(F.col("__hot"), _slice(ts, id, grain)), "__carried": F.lit(0)}
-        )
-        rows = own.unionByName(
-            _carried(own, partition, [*cols, ts], ts, id), allowMissingColumns=True
-        )
-        ordered = W.partitionBy(*partition, "__slice").orderBy(F.col("__carried").desc(), *in_time)
-
-    out = rows.withColumns(
-        {
-            **{f"PREV_{c}": F.lag(c).over(ordered) for c in cols},
-            "__prev_ts": F.lag(ts).over(ordered),
-        }
+    partition, wanted = list(partition), list(dict.fromkeys([*partition, *cols, ts]))
+    sort = [F.col(c).asc_nulls_last() for c in [*partition, ts, id]]
+    placed = settle(
+        df.repartitionByRange(*sort)
+        .sortWithinPartitions(*sort)
+        .withColumns({"__chunk": F.spark_partition_id(), "__pos": F.monotonically_increasing_id()})
     )
-    if grain != WHOLE:
-        out = out.filter(F.col("__carried") == 0)
-    days = F.date_diff(F.to_date(F.col(ts)), F.to_date(F.col("__prev_ts")))
-    return out.select(*df.columns, *[f"PREV_{c}" for c in cols], days.alias("DIFFTIME"))
-
-
-def _carried(
-    own: DataFrame, partition: Sequence[str], cols: Sequence[str], ts: str, id: str
-) -> DataFrame:
-    """The last row of every slice of a hot group, moved to the group's next slice."""
-    cols = list(dict.fromkeys(cols))
-    last = (
-        own.filter(F.col("__hot"))
-        .groupBy(*partition, "__slice")
-        .agg(
-            F.max_by(F.struct(*cols), F.struct(F.col(ts).isNull(), F.col(ts), F.col(id))).alias(
-                "__row"
-            )
-        )
+    row = F.struct(*wanted)
+    # One row per range chunk: bounded by the shuffle partition count.
+    ends = placed.groupBy("__chunk").agg(F.max_by(row, "__pos").alias("__end"))
+    carried = ends.select("__chunk", F.lag("__end").over(W.orderBy("__chunk")).alias("__carried"))
+    in_chunk = W.partitionBy("__chunk").orderBy("__pos")
+    first = F.col("__pos").bitwiseAND(F.lit(_PLACE)) == 0
+    joined = placed.withColumn("__lag", F.lag(row).over(in_chunk)).join(
+        F.broadcast(carried), "__chunk", "left"
+    )
+    before = joined.withColumn("__prev", F.when(first, F.col("__carried")).otherwise(F.col("__lag")))
+    same = functools.reduce(
+        Column.__and__,
+        [F.col(p).eqNullSafe(F.col(f"__prev.`{p}`")) for p in partition],
+        F.col("__prev").isNotNull(),
     )
-    # One row per group and slice: bounded by the calendar, not by the data.
-    by_slice = W.partitionBy(*partition).orderBy("__slice")
-    return (
-        last.withColumn("__next", F.lead("__slice").over(by_slice))
-        .filter(F.col("__next").isNotNull())
-        .select(
-            *partition,
-            F.col("__next").alias("__slice"),
-            F.lit(1).alias("__carried"),
-            *[F.col(f"__row.{c}").alias(c) for c in cols if c not in partition],
-        )
+    prev = lambda c: F.when(same, F.col(f"__prev.`{c}`"))
+    days = F.date_diff(F.to_date(F.col(ts)), F.to_date(prev(ts)))
+    return before.select(
+        *df.columns, *[prev(c).alias(f"PREV_{c}") for c in cols], days.alias("DIFFTIME")
     )

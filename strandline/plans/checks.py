@@ -93,14 +93,13 @@ def resample_without_exceedance(
     id: str = "id",
     x: str = "ENTEROCOCCI",
     limits: Limits = Limits(),
-    **slicing,
 ) -> DataFrame:
     """Resamples whose previous sample of the site, in any year, was not an exceedance.
 
     A resample with nothing before it is not a violation.
     """
     flagged = df.select(site, id, ts, "RESAMPLE", above(x, limits.high).alias("GT_104"))
-    previous = with_previous(flagged, [site], ["GT_104"], ts, id, **slicing)
+    previous = with_previous(flagged, [site], ["GT_104"], ts, id)
     return previous.filter(F.col("RESAMPLE") & (F.col("PREV_GT_104") == 0)).select(
         site, id, ts, calweek(ts).alias("WEEK")
     )

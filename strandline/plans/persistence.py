@@ -22,14 +22,13 @@ def with_previous_sample(
     year: str = "YEAR",
     ts: str = "SAMPLE_DATE",
     id: str = "id",
-    **slicing,
 ) -> DataFrame:
     """The previous flag, value, class and resample mark within site and year.
 
     Must see every sample: a filter may only follow, or "previous" would change meaning.
     """
     cols = ["GT_104", x, "CLASS", "RESAMPLE"]
-    return with_previous(df, [site, year], cols, ts, id, **slicing)
+    return with_previous(df, [site, year], cols, ts, id)
 
 
 def followups(

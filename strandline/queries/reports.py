@@ -397,8 +397,7 @@ def _(spark, sf):
 
 @query("w3_previous_sample_events", f"WITH {E}, {_w3_sql('e')} SELECT {W3_COLUMNS} FROM w3")
 def _(spark, sf):
-    # Cut into days, as for a site with too many rows for one task.
-    previous = ps.with_previous_sample(b.decorated_events(spark, sf), grain="DAY")
+    previous = ps.with_previous_sample(b.decorated_events(spark, sf))
     return rounded(previous.select(*W3_NAMES))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from strandline.operators.groups import with_group_count, with_group_share, with_group_total
 from strandline.operators.joins import broadcast_if_small, null_safe_join
-from strandline.operators.previous import choose_grain, hot_groups, with_previous
+from strandline.operators.previous import with_previous
 from strandline.operators.quantiles import group_quantiles
 from strandline.operators.ranking import rank_by, rank_levels, row_numbers
 from strandline.operators.reshape import (
@@ -119,37 +119,51 @@ def visits(spark):
     return df.withColumn("y", F.year("ts"))
 
 
-@pytest.mark.parametrize("grain", ["WHOLE", "DAY", "MINUTE", "INSTANT"])
-@pytest.mark.parametrize("partition", [["s"], ["s", "y"]])
-def test_previous_equals_a_plain_window(visits, grain, partition):
-    got = with_previous(visits, partition, ["x", "r"], "ts", "id", grain=grain)
-    w = W.partitionBy(*partition).orderBy(F.col("ts").asc_nulls_last(), "id")
-    want = visits.withColumns(
+@pytest.fixture(params=[1, 3, 8])
+def partitions(spark, request):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(request.param))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield request.param
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def _plain_previous(df, partition):
+    w = W.partitionBy(*partition).orderBy(F.col("ts").asc_nulls_last(), F.col("id").asc_nulls_last())
+    return df.withColumns(
         {
             "PREV_x": F.lag("x").over(w),
             "PREV_r": F.lag("r").over(w),
             "DIFFTIME": F.date_diff(F.to_date("ts"), F.to_date(F.lag("ts").over(w))),
         }
     )
-    cols = ["id", "s", "ts", "x", "r", "PREV_x", "PREV_r", "DIFFTIME"]
-    assert got.count() == visits.count()
-    assert as_set(got, *cols) == as_set(want, *cols)
-
 
-@pytest.mark.parametrize("max_rows", [1, 3, 40, 300, 700, 10_000])
-def test_only_hot_groups_are_sliced(visits, max_rows):
-    got = with_previous(visits, ["s"], ["x", "y"], "ts", "id", max_rows=max_rows)
-    want = with_previous(visits, ["s"], ["x", "y"], "ts", "id", grain="WHOLE")
-    cols = ["id", "s", "y", "PREV_x", "PREV_y", "DIFFTIME"]
-    assert got.columns == want.columns
-    assert as_set(got, *cols) == as_set(want, *cols)
 
-
-def test_hot_groups_and_their_grain(visits):
-    assert as_set(hot_groups(visits, ["s"], 600), "s") == {("hot",)}
-    assert hot_groups(visits, ["s"], 10_000).isEmpty()
-    assert choose_grain(visits, ["s"], "ts", 10_000) == "DAY"
-    assert choose_grain(visits, ["s"], "ts", 1) == "INSTANT"
+@pytest.mark.parametrize("partition", [["s"], ["s", "y"]])
+def test_previous_equals_a_plain_window(visits, partitions, partition):
+    got = with_previous(visits, partition, ["x", "r"], "ts", "id")
+    cols = ["id", "s", "ts", "x", "r", "PREV_x", "PREV_r", "DIFFTIME"]
+    assert got.columns == [*visits.columns, "PREV_x", "PREV_r", "DIFFTIME"]
+    assert got.count() == visits.count()
+    assert as_set(got, *cols) == as_set(_plain_previous(visits, partition), *cols)
+
+
+@pytest.mark.parametrize("kind", ["text id", "NULL id", "one instant"])
+def test_previous_with_odd_ids_and_a_hot_instant(visits, partitions, kind):
+    if kind == "text id":
+        df = visits.withColumn("id", F.concat(F.lit("k"), F.col("id")))
+    elif kind == "NULL id":
+        # One NULL id per site and instant at most, so that the order is total.
+        first = W.partitionBy("s", "ts").orderBy("id")
+        df = visits.withColumn("id", F.when(F.row_number().over(first) > 1, F.col("id")))
+    else:
+        df = visits.withColumn("ts", F.lit("2015-06-01 10:00:00").cast("timestamp_ntz"))
+    cols = ["id", "s", "ts", "x", "r", "PREV_x", "PREV_r", "DIFFTIME"]
+    got = with_previous(df, ["s"], ["x", "r"], "ts", "id")
+    assert sorted(map(repr, got.select(*cols).collect())) == sorted(
+        map(repr, _plain_previous(df, ["s"]).select(*cols).collect())
+    )
 
 
 def test_gap_counts_calendar_days(spark):

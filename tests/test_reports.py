@@ -255,7 +255,7 @@ def test_site_year_table_shuffles_once(spark, small):
 def test_no_window_over_a_single_partition(spark, small):
     events = b.decorated_events(spark, small)
     jobs = [
-        ps.with_previous_sample(events, grain="DAY"),
+        ps.with_previous_sample(events),
         ex.site_statistics(events),
         dist.box_stats(events, ["SAMPLE_POINT_NAME"]),
         dist.share_cdf(events, "SAMPLE_POINT_NAME"),
