@@ -44,11 +44,9 @@ def pivot_strict(
 ) -> DataFrame:
     """One column per listed name; a second row for a (key, name) cell is an error.
 
-    Rows with other names are left out before grouping, so a key that has only such
-    rows does not appear.
+    Rows with other names fill no column, but their keys appear; ``unlisted`` has them.
     """
-    listed = df.filter(F.col(name).isin(*names))
-    return listed.groupBy(*keys).agg(*[unique_cell(name, n, value).alias(n) for n in names])
+    return df.groupBy(*keys).agg(*[unique_cell(name, n, value).alias(n) for n in names])
 
 
 def unlisted(df: DataFrame, name: str, names: Sequence[str]) -> DataFrame:

@@ -146,12 +146,11 @@ def widen(
     A single grouped pivot stands for whole-row dedup, two strict pivots and their full
     merge: each side has one row per key, grouping keeps NULL keys, and exact copies of
     a row share its fingerprint, so they combine map-side instead of being shuffled.
+    A key whose cells all have unlisted names stays, with NULLs; see ``rejected_cells``.
     """
     cells = [*_category_cells(CATEGORY_RULES), *_numeric_cells(NUMERIC_RULES)]
     marked = typed.withColumn("__row", row_fingerprint(typed.columns))
-    long = _cells(marked, [*keys, "__row"], cells).filter(
-        F.col(NAME).isin(*categorical, *numeric)
-    )
+    long = _cells(marked, [*keys, "__row"], cells)
     row = F.col("__row")
     return long.groupBy(*keys).agg(
         *[unique_cell(NAME, n, "TEXT", row).alias(n) for n in categorical],
@@ -160,6 +159,18 @@ def widen(
     )
 
 
+def rejected_cells(
+    typed: DataFrame,
+    keys: Sequence[str] = SAMPLE_KEYS,
+    categorical: Sequence[str] = CATEGORICAL_NAMES,
+    numeric: Sequence[str] = NUMERIC_NAMES,
+) -> DataFrame:
+    """Distinct cells that match a rule but have no column: keys, name, text or number."""
+    cells = [*_category_cells(CATEGORY_RULES), *_numeric_cells(NUMERIC_RULES)]
+    found = _cells(typed, keys, cells)
+    return found.filter(~F.col(NAME).isin(*categorical, *numeric)).distinct()
+
+
 def assign_ids(
     df: DataFrame,
     site: str = "SAMPLE_POINT_NAME",
@@ -187,8 +198,15 @@ def build_samples(
 ) -> DataFrame:
     """Typed raw rows to the sample table: merge, ids, calendar; then drop rows without
     a result, so ids keep their gaps."""
+    return with_result(merged_samples(typed, season), result)
+
+
+def merged_samples(
+    typed: DataFrame, season: tuple[int, int] | None = SEASON_WEEKS
+) -> DataFrame:
+    """All merged samples with ids and calendar, also those without a result."""
     numbered = assign_ids(widen(typed)).drop("NUMERIC_ONLY")
-    return with_result(add_calendar(numbered, season=season), result)
+    return add_calendar(numbered, season=season)
 
 
 def with_result(df: DataFrame, result: str = "ENTEROCOCCI") -> DataFrame:

@@ -43,16 +43,27 @@ def unmatched_keys(
     return null_safe_join(categorical, numeric.select(*keys), keys, "left_anti")
 
 
+def flagged_samples(
+    flags: DataFrame, df: DataFrame, id: str = "id", point: str = "SAMPLE_POINT_NAME"
+) -> DataFrame:
+    """(id, sample_point) of the samples a list names: no larger than the list, but for copies.
+
+    The list is the small side of the join, so the samples are only scanned.
+    """
+    samples = df.select(F.col(id).alias("id"), F.col(point).alias("sample_point"))
+    return samples.join(flags.select("id"), "id", "left_semi")
+
+
 def dangling_flags(flags: DataFrame, df: DataFrame, id: str = "id") -> DataFrame:
     """Flagged ids that no sample has."""
-    return flags.join(df.select(F.col(id).alias("id")), "id", "left_anti").select("id", "stn")
+    return flags.join(flagged_samples(flags, df, id, id), "id", "left_anti").select("id", "stn")
 
 
 def inconsistent_flags(
     flags: DataFrame, df: DataFrame, id: str = "id", point: str = "SAMPLE_POINT_NAME"
 ) -> DataFrame:
     """Ids flagged more than once, and flags whose point is not the sample's."""
-    samples = df.select(F.col(id).alias("id"), F.col(point).alias("sample_point"))
+    samples = flagged_samples(flags, df, id, point)
     joined = flags.select("id", F.col("stn").alias("flag_point")).join(samples, "id")
     differs = joined.filter(~F.col("flag_point").eqNullSafe(F.col("sample_point"))).withColumn(
         "reason", F.lit("point differs")
@@ -60,8 +71,8 @@ def inconsistent_flags(
     duplicate_flags = flags.groupBy("id").agg(
         F.count(F.lit(1)).alias("n"), F.min("stn").alias("flag_point")
     )
-    duplicate_samples = df.groupBy(F.col(id).alias("id")).agg(
-        F.count(F.lit(1)).alias("n_samples"), F.min(point).alias("sample_point")
+    duplicate_samples = samples.groupBy("id").agg(
+        F.count(F.lit(1)).alias("n_samples"), F.min("sample_point").alias("sample_point")
     )
     repeated = (
         duplicate_flags.join(duplicate_samples, "id")

@@ -14,7 +14,6 @@ from strandline.model import (
     WEEKDAYS,
     Limits,
 )
-from strandline.operators.joins import null_safe_join
 from strandline.operators.reshape import record_as_rows
 
 SITE = "SAMPLE_POINT_NAME"
@@ -59,14 +58,23 @@ def calendar_full(
     weekdays: Sequence[str] = WEEKDAYS,
     site: str = SITE,
 ) -> DataFrame:
-    """The in-season grid of every site and year, with empty cells present."""
-    grid = (
-        cells.select(site, "YEAR")
-        .distinct()
-        .withColumn("WEEK", F.explode(F.sequence(F.lit(weeks[0]), F.lit(weeks[1]))))
-        .withColumn("WEEKDAY", F.explode(F.array(*[F.lit(d) for d in weekdays])))
+    """All cells, and an empty one for each in-season week and weekday a site and year lacks.
+
+    The cells themselves are not shuffled: a site and year only names the places it has, at
+    most the season's, and the missing ones are added.
+    """
+    grid = F.array(
+        *[
+            F.struct(F.lit(w).alias("WEEK"), F.lit(d).alias("WEEKDAY"))
+            for w in range(weeks[0], weeks[1] + 1)
+            for d in weekdays
+        ]
     )
-    return null_safe_join(grid, cells, [site, "YEAR", "WEEK", "WEEKDAY"], "left")
+    season = F.col("WEEK").between(*weeks) & F.col("WEEKDAY").isin(*weekdays)
+    place = F.struct(F.col("WEEK").cast("int").alias("WEEK"), "WEEKDAY")
+    had = cells.groupBy(site, "YEAR").agg(F.collect_set(F.when(season, place)).alias("had"))
+    missing = had.select(site, "YEAR", F.inline(F.array_except(grid, "had")))
+    return cells.unionByName(missing, allowMissingColumns=True)
 
 
 def time_series(
@@ -104,15 +112,14 @@ def map_metric(stations: DataFrame, stats: DataFrame, metric: str, site: str = S
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
     factor = 100.0 if metric.startswith("FRAC") else 1.0
-    lowest = stats.agg(F.min(metric)).scalar()
-    highest = stats.agg(F.max(metric)).scalar()
+    ends = stats.agg(F.struct(F.min(metric).alias("lo"), F.max(metric).alias("hi"))).scalar()
     return stations.select(
         site,
         "LATITUDE",
         "LONGITUDE",
         (F.col(metric) * factor).alias("value"),
-        (lowest * factor).alias("domain_lo"),
-        (highest * factor).alias("domain_hi"),
+        (ends["lo"] * factor).alias("domain_lo"),
+        (ends["hi"] * factor).alias("domain_hi"),
     )
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandline.operators.joins import null_safe_join
+
 
 def assign_flags(
     df: DataFrame,
@@ -13,15 +15,15 @@ def assign_flags(
     id: str = "id",
     site: str = "SAMPLE_POINT_NAME",
 ) -> DataFrame:
-    """Add RESAMPLE and OTHER by (id, point); absent from a list means false."""
+    """Add RESAMPLE and OTHER by (id, point), NULL points match; absent from a list means false."""
 
     def flagged(flags: DataFrame, name: str) -> DataFrame:
         return flags.select(
             F.col("id").alias(id), F.col("stn").alias(site), F.lit(True).alias(name)
         )
 
-    out = df.join(flagged(resamples, "RESAMPLE"), [id, site], "left")
-    out = out.join(flagged(others, "OTHER"), [id, site], "left")
+    out = null_safe_join(df, flagged(resamples, "RESAMPLE"), [id, site], "left")
+    out = null_safe_join(out, flagged(others, "OTHER"), [id, site], "left")
     return out.withColumns(
         {c: F.coalesce(F.col(c), F.lit(False)) for c in ("RESAMPLE", "OTHER")}
     ).select(*df.columns, "RESAMPLE", "OTHER")

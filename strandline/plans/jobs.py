@@ -17,6 +17,7 @@ from strandline.model import (
     CURRENT_WEATHER_LEVELS,
     NUMERIC_NAMES,
     PAST_WEATHER_LEVELS,
+    RAW_DROPPED,
     TIDE_LEVELS,
     Limits,
 )
@@ -27,7 +28,7 @@ from strandline.plans import distribution as dist
 from strandline.plans import exceedance as ex
 from strandline.plans import explore as xp
 from strandline.plans import persistence as ps
-from strandline.plans.assembly import build_samples
+from strandline.plans.assembly import merged_samples, rejected_cells, with_result
 from strandline.plans.flags import assign_flags
 from strandline.plans.ingest import typed_rows
 from strandline.plans.stations import (
@@ -54,11 +55,37 @@ COVARIATE_LEVELS = {
 COVARIATES = ("ACCUMULATION", "TEMP_WATER", "TEMP_AIR", "SALINITY")
 
 
-def assemble(spark: SparkSession, raw_path: str, out: str, fmt: str = "csv", zone: int = 19) -> None:
-    """Raw rows to the stages ``samples`` and ``stations``, also exported as CSV."""
-    typed = typed_rows(read_raw(spark, raw_path, fmt))
-    write_stage(build_samples(typed), f"{out}/samples", ["YEAR"])
+#: The raw file's free-text column, by position: its name varies.
+REMARKS_AT = 30
+
+
+def assemble(
+    spark: SparkSession,
+    raw_path: str,
+    out: str,
+    fmt: str = "csv",
+    zone: int = 19,
+    timestamp_format: str | None = None,
+    drop: Sequence[int | str] | None = None,
+) -> None:
+    """Raw rows to the stages ``samples`` and ``stations``, also exported as CSV.
+
+    ``rejects`` holds cells without a column, ``coverage_*`` counts all merged samples, also
+    those without a result. ``drop`` names raw columns, or their positions, to leave out; by
+    default the 31st, or in a narrower file the one called like it.
+    """
+    raw = read_raw(spark, raw_path, fmt, timestamp_format=timestamp_format)
+    if drop is None:
+        wide = len(raw.columns) > REMARKS_AT
+        drop = [REMARKS_AT] if wide else [c for c in RAW_DROPPED if c in raw.columns]
+    typed = typed_rows(raw, drop)
+    write_stage(merged_samples(typed), f"{out}/merged", ["YEAR"])
+    merged = read_stage(spark, f"{out}/merged")
+    write_stage(with_result(merged), f"{out}/samples", ["YEAR"])
     write_stage(build_stations(typed, zone), f"{out}/stations")
+    write_stage(rejected_cells(typed), f"{out}/rejects")
+    for name, columns in (("categorical", CATEGORICAL_NAMES), ("numeric", NUMERIC_NAMES)):
+        write_stage(ex.coverage_by_variable(merged, columns), f"{out}/coverage_{name}")
     write_csv(read_stage(spark, f"{out}/samples"), f"{out}/csv/samples")
     write_csv(read_stage(spark, f"{out}/stations"), f"{out}/csv/stations")
 
@@ -87,38 +114,61 @@ def explorer_samples(flagged: DataFrame, limits: Limits = Limits()) -> DataFrame
 
 
 def report_tables(
-    flagged: DataFrame, stations: DataFrame, limits: Limits = Limits()
+    flagged: DataFrame,
+    stations: DataFrame,
+    limits: Limits = Limits(),
+    keep: Callable[[str, DataFrame], DataFrame] = lambda name, df: df,
 ) -> dict[str, Callable[[], DataFrame]]:
-    """Name -> a function that plans the table; nothing runs until one is called."""
+    """Name -> a function that plans the table; nothing runs until one is called.
+
+    Intermediate tables that several report tables share pass through ``keep`` once; a job
+    writes them there and lets the report tables read the copies.
+    """
+    shared: dict[str, DataFrame] = {}
+
+    def once(name: str, plan: Callable[[], DataFrame]) -> DataFrame:
+        if name not in shared:
+            shared[name] = keep(name, plan())
+        return shared[name]
+
     # Without stations: a point with several station rows would repeat its samples.
     explorer = explorer_samples(flagged, limits)
     samples = attach_station(explorer, stations)
     routine = samples.filter("SAMPLE_TYPE = 'Routine'")
 
     def by_year() -> DataFrame:
-        return ex.class_counts_by_site_year(samples, limits=limits)
+        return once(
+            "site_year_classes", lambda: ex.class_counts_by_site_year(samples, limits=limits)
+        )
 
     def low_limit() -> DataFrame:
-        return ex.low_limit_by_site_year(flagged, limits=limits)
+        return once(
+            "site_year_limits", lambda: ex.low_limit_by_site_year(flagged, limits=limits)
+        )
 
     def previous() -> DataFrame:
-        return ps.with_previous_sample(decorate(flagged, limits=limits))
+        return once(
+            "previous", lambda: ps.with_previous_sample(decorate(flagged, limits=limits))
+        )
 
     def followups(initial_only: bool = False) -> DataFrame:
         return ps.followups(previous(), limits=limits, initial_only=initial_only)
 
     def statistics() -> DataFrame:
-        return ex.site_statistics(flagged, limits=limits)
+        return once("statistics", lambda: ex.site_statistics(flagged, limits=limits))
 
     def class_means() -> DataFrame:
-        return ex.class_means_by_site(by_year())
+        return once("class_means", lambda: ex.class_means_by_site(by_year()))
 
     def located() -> DataFrame:
         return station_stats_dim(stations, statistics())
 
+    def calendar(classes: str, resamples: bool) -> DataFrame:
+        return xp.calendar_cells(
+            add_calendar(explorer), classes, max_week=38, resamples=resamples, limits=limits
+        )
+
     tables = {
-        "coverage_categorical": lambda: ex.coverage_by_variable(flagged, CATEGORICAL_NAMES),
-        "coverage_numeric": lambda: ex.coverage_by_variable(flagged, NUMERIC_NAMES),
         "coverage_by_site": lambda: ex.coverage_by_site(flagged),
         "type_frequency": lambda: ex.type_frequency(explorer),
         "low_limit_by_site_year": lambda: rank_by(low_limit(), "FRAC_BW_70_104", [SITE, "YEAR"]),
@@ -155,7 +205,17 @@ def report_tables(
         "calendar": lambda: xp.calendar_full(
             xp.calendar_cells(add_calendar(explorer), classes="binned", limits=limits)
         ),
+        "calendar_three_classes": lambda: calendar("three", resamples=True),
+        "calendar_two_classes": lambda: calendar("two", resamples=True),
+        "calendar_without_resamples": lambda: calendar("three", resamples=False),
         "time_series": lambda: xp.time_series(explorer, "binned", limits=limits),
+        "ambiguous_stations": lambda: checks.ambiguous_stations(
+            stations, coords=("LATITUDE", "LONGITUDE")
+        ),
+        "multiple_per_day": lambda: checks.multiple_per_day(flagged),
+        "resample_without_exceedance": lambda: checks.resample_without_exceedance(
+            flagged, limits=limits
+        ),
         "station_choices": lambda: station_choices(stations),
         "site_info": lambda: xp.site_info(located()),
     }
@@ -170,10 +230,20 @@ def report_tables(
         tables[f"box_by_{covariate.lower()}"] = lambda c=covariate, v=levels: dist.box_stats(
             explorer, [SITE, c], log10=True, levels=v
         )
+        tables[f"box_outliers_by_{covariate.lower()}"] = lambda c=covariate: dist.box_outliers(
+            explorer, [SITE, c], log10=True
+        )
+    tables["box_by_water_surface"] = lambda: dist.box_stats(
+        explorer, [SITE, "WATER_SURFACE"], log10=True
+    )
     for covariate in COVARIATES:
         tables[f"scatter_{covariate.lower()}"] = lambda c=covariate: xp.covariate_pairs(
             explorer, c, limits=limits
         )
+        for group in (*COVARIATE_LEVELS, "WATER_SURFACE"):
+            tables[f"scatter_{covariate.lower()}_by_{group.lower()}"] = (
+                lambda c=covariate, g=group: xp.covariate_pairs(explorer, c, g, limits=limits)
+            )
     for metric in xp.METRICS:
         tables[f"map_{metric.lower()}"] = lambda m=metric: xp.map_metric(
             located(), statistics(), m
@@ -184,9 +254,17 @@ def report_tables(
 def report(
     spark: SparkSession, out: str, names: Sequence[str] | None = None, limits: Limits = Limits()
 ) -> None:
-    """Write report tables from the stages, each under ``reports/<name>``."""
+    """Write report tables from the stages, each under ``reports/<name>``.
+
+    What several of them share is written once, under ``shared/<name>``.
+    """
+
+    def keep(name: str, df: DataFrame) -> DataFrame:
+        write_stage(df, f"{out}/shared/{name}")
+        return read_stage(spark, f"{out}/shared/{name}")
+
     tables = report_tables(
-        read_stage(spark, f"{out}/flagged"), read_stage(spark, f"{out}/stations"), limits
+        read_stage(spark, f"{out}/flagged"), read_stage(spark, f"{out}/stations"), limits, keep
     )
     for name in names or tables:
         tables[name]().write.mode("overwrite").parquet(f"{out}/reports/{name}")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions.calendar import calweek
 from strandline.functions.geo import add_latlon
+from strandline.operators.joins import null_safe_join
 
 STATION_COLUMNS = (
     "SITE_SEQUENCE_NUMBER", "TOWN", "SITE_NAME", "SAMPLE_POINT_NAME",
@@ -26,19 +27,19 @@ def build_stations(typed: DataFrame, zone: int = 19) -> DataFrame:
 def attach_station(
     df: DataFrame, stations: DataFrame, point: str = "SAMPLE_POINT_NAME", beach: str = "SITE_NAME"
 ) -> DataFrame:
-    """Left join to the distinct (point, town, beach); several such rows fan out.
+    """Left join to the distinct (point, town, beach); several such rows fan out, NULL points match.
 
     The station table is read by size: a broadcast when small, else a shuffle join.
     """
     names = stations.select(point, "TOWN", F.col("SITE_NAME").alias(beach)).distinct()
-    return df.join(names, point, "left")
+    return null_safe_join(df, names, [point], "left")
 
 
 def station_stats_dim(
     stations: DataFrame, stats: DataFrame, point: str = "SAMPLE_POINT_NAME"
 ) -> DataFrame:
     """Stations with their site statistics; NULLs for stations without samples."""
-    return stations.join(stats, point, "left")
+    return null_safe_join(stations, stats, [point], "left")
 
 
 def week_spine(years: DataFrame, lo: int = 23, hi: int = 36, year: str = "YEAR") -> DataFrame:

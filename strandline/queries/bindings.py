@@ -386,10 +386,8 @@ _NUMS = ["ACCUMULATION_24HR", "ACCUMULATION_48HR", "ENTEROCOCCI", "SALINITY", "T
 
 
 def _pivot_sql(name: str, source: str, names: list[str]) -> str:
-    listed = ", ".join(f"'{n}'" for n in names)
     cells = ", ".join(f"max(CASE WHEN PARAMETER_NAME = '{n}' THEN VALUE END) AS {n}" for n in names)
-    return f"""{name} AS (SELECT {KEYS_SQL}, {cells} FROM {source}
-  WHERE PARAMETER_NAME IN ({listed}) GROUP BY ALL)"""
+    return f"""{name} AS (SELECT {KEYS_SQL}, {cells} FROM {source} GROUP BY ALL)"""
 
 
 WIDE_CAT_SQL = _pivot_sql("wcat", "cat", _CATS)

@@ -88,12 +88,11 @@ STAGE_SQL = f"""WITH {b.ORDERS_SQL} SELECT id, SAMPLE_POINT_NAME, SAMPLE_DATE,
   ENTEROCOCCI, RESAMPLE, OTHER, YEAR FROM o"""
 
 
-@query("io3_stage_scan", STAGE_SQL + " WHERE YEAR >= 1998")
+@query("io3_stage_scan", STAGE_SQL)
 def _(spark, sf):
     path = _scratch(spark, "stage")
     write_stage(b.order_samples(spark, sf).drop("SITE_NAME"), path, ["YEAR"])
-    # YEAR is a folder: the other years are not opened.
-    return read_stage(spark, path).filter("YEAR >= 1998")
+    return read_stage(spark, path)
 
 
 @query("io4_csv_export", f"WITH {b.EVENTS_SQL} SELECT id, SAMPLE_POINT_NAME, ENTEROCOCCI FROM e")
@@ -356,8 +355,10 @@ def _(spark, sf):
 )
 def _(spark, sf):
     cells, keys = _cells(spark, sf), ["user_id", "day"]
-    left = pivot_strict(cells, keys, "event_type", "value", ["click", "view"])
-    right = pivot_strict(cells, keys, "event_type", "value", ["error", "purchase", "signup"])
+    left, right = (
+        pivot_strict(cells.filter(F.col("event_type").isin(*types)), keys, "event_type", "value", types)
+        for types in (["click", "view"], ["error", "purchase", "signup"])
+    )
     return rounded(merge_variables(left, right, keys))
 
 

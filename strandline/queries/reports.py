@@ -118,11 +118,11 @@ def _(spark, sf):
 @query(
     "a7_ranked_by_extra_resamples",
     f"""WITH {O}, {A4_SQL}, {A6_SQL} SELECT {A6_COLUMNS} FROM a6
-  ORDER BY a6.MEDIAN_N_RESAMPLE_PER_YEAR DESC, SAMPLE_POINT_NAME LIMIT 10""",
+  ORDER BY a6.MEDIAN_N_RESAMPLE_PER_YEAR DESC, SAMPLE_POINT_NAME""",
 )
 def _(spark, sf):
     by_site = ex.low_limit_by_site(_a4(spark, sf))
-    return rounded(rank_by(by_site, "MEDIAN_N_RESAMPLE_PER_YEAR", [SITE], k=10))
+    return rounded(rank_by(by_site, "MEDIAN_N_RESAMPLE_PER_YEAR", [SITE]))
 
 
 @query(
@@ -651,7 +651,10 @@ def _(spark, sf):
     f"""WITH {O}, {_cells_sql('cc', 'o', THREE)},
   grid AS (SELECT SAMPLE_POINT_NAME, YEAR, CAST(wk.w AS INTEGER) AS WEEK, wd.d AS WEEKDAY FROM (SELECT DISTINCT SAMPLE_POINT_NAME, YEAR FROM cc)
   CROSS JOIN (SELECT unnest(range(20, 47)) AS w) wk CROSS JOIN (SELECT unnest(['Sun', 'Mon', 'Tue', 'Wed', 'Thu', 'Fri', 'Sat']) AS d) wd)
-  SELECT grid.*, cc.CLASS, cc.SAMPLE_TYPE FROM grid LEFT JOIN cc USING (SAMPLE_POINT_NAME, YEAR, WEEK, WEEKDAY)""",
+  SELECT SAMPLE_POINT_NAME, YEAR, WEEK, WEEKDAY, CLASS, SAMPLE_TYPE FROM cc UNION ALL
+  SELECT grid.*, NULL, NULL FROM grid WHERE NOT EXISTS (SELECT 1 FROM cc
+    WHERE cc.SAMPLE_POINT_NAME IS NOT DISTINCT FROM grid.SAMPLE_POINT_NAME AND cc.YEAR IS NOT DISTINCT FROM grid.YEAR
+      AND cc.WEEK = grid.WEEK AND cc.WEEKDAY = grid.WEEKDAY)""",
 )
 def _(spark, sf):
     cells = xp.calendar_cells(b.calendar_orders(spark, sf), limits=b.ORDER_LIMITS)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandline.model import RAW_COLUMNS, RAW_DATE_COLUMN, RAW_DROPPED
@@ -45,24 +46,43 @@ def read_raw(
     missing = [c for c in RAW_COLUMNS if c not in columns and c not in RAW_DROPPED]
     if missing:
         raise ValueError(f"raw table lacks {missing}")
-    reader = spark.read.schema(raw_schema(columns, date_column))
     if fmt != "csv":
-        return reader.format(fmt).load(path)
-    if timestamp_format is not None:
-        reader = reader.option("timestampNTZFormat", timestamp_format)
+        return spark.read.schema(raw_schema(columns, date_column)).format(fmt).load(path)
+    text = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     # Blanks are data here: cleaning removes them later. A header that differs from the
     # schema must fail, not shift the columns.
-    return reader.options(
+    rows = spark.read.schema(text).options(
         header=True,
         enforceSchema=False,
         ignoreLeadingWhiteSpace=False,
         ignoreTrailingWhiteSpace=False,
     ).csv(path)
+    return rows.withColumn(date_column, _read_date(F.col(f"`{date_column}`"), timestamp_format))
+
+
+def _read_date(text: Column, timestamp_format: str | None) -> Column:
+    """The date a text holds, NULL for a blank one; any other text is an error."""
+    blank = F.trim(text) == ""
+    if timestamp_format is None:
+        read = F.to_timestamp_ntz(F.when(~blank, text))
+    else:
+        read = F.to_timestamp_ntz(F.when(~blank, text), F.lit(timestamp_format))
+    message = F.concat(F.lit("unreadable date: "), text)
+    return F.when(read.isNull() & ~blank, F.raise_error(message)).otherwise(read)
 
 
 def read_flags(spark: SparkSession, path: str) -> DataFrame:
-    """A flag list: sample id and sample point name."""
-    return spark.read.schema(FLAG_SCHEMA).option("header", True).csv(path)
+    """A flag list: sample id and sample point name, by the header's names, in any order.
+
+    A list without these columns, and an id that is no number, are errors.
+    """
+    rows = spark.read.option("header", True).csv(path)
+    missing = [f.name for f in FLAG_SCHEMA if f.name not in rows.columns]
+    if missing:
+        raise ValueError(f"flag list lacks {missing}")
+    number = F.expr("try_cast(trim(id) AS bigint)")
+    bad = F.concat(F.lit("flag id is no number: "), F.coalesce("id", F.lit("NULL")))
+    return rows.select(F.when(number.isNull(), F.raise_error(bad)).otherwise(number).alias("id"), "stn")
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:

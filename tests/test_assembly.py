@@ -129,7 +129,7 @@ def test_single_pivot_equals_two_pivots_and_a_merge(rows):
     )
     wide = widen(typed_rows(rows))
     assert as_set(wide, *merged.columns) == as_set(merged, *merged.columns)
-    assert wide.count() == 6
+    assert wide.count() == 7
 
 
 def test_differing_rows_in_one_cell_fail(spark, rows):
@@ -151,10 +151,10 @@ def test_ids_follow_merge_order_and_keep_gaps(rows):
     ids = assign_ids(widen(typed_rows(rows)))
     order = [r.DEP_SAMPLE_ID for r in ids.orderBy("id").collect()]
     # categorical side by (point, sample, date), then numeric only by (point, date, sample)
-    assert order == ["D1", "D2", "D3", "D5", "D4", "D0"]
+    assert order == ["D1", "D2", "D3", "D5", "D4", "D6", "D0"]
     samples = build_samples(typed_rows(rows))
     assert as_set(samples, "id", "DEP_SAMPLE_ID", "WEEK", "WEEKDAY") == {
-        (1, "D1", 28, "Mon"), (2, "D2", 28, "Tue"), (4, "D5", None, "Mon"), (6, "D0", 28, "Tue"),
+        (1, "D1", 28, "Mon"), (2, "D2", 28, "Tue"), (4, "D5", None, "Mon"), (7, "D0", 28, "Tue"),
     }
 
 

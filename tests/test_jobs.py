@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from strandline.plans import jobs
 from strandline.plans.checks import CheckFailed
 from strandline.model import RAW_COLUMNS
 from strandline.queries import bindings as b
-from strandline.sources.tables import read_raw, read_stage, write_csv
+from strandline.sources.tables import read_flags, read_raw, read_stage, write_csv
 
 
 @pytest.fixture(scope="module")
@@ -36,12 +37,77 @@ def test_stages(spark, out, small):
     assert read_stage(spark, f"{out}/stations").count() > 0
 
 
+def test_rejects_and_coverage(spark, out):
+    merged, samples = (read_stage(spark, f"{out}/{n}") for n in ("merged", "samples"))
+    assert merged.filter("ENTEROCOCCI IS NOT NULL").count() == samples.count() < merged.count()
+    rejects = read_stage(spark, f"{out}/rejects")
+    assert {r.PARAMETER_NAME for r in rejects.select("PARAMETER_NAME").distinct().collect()} == {
+        "ACCUMULATION LAST 72 HOURS"
+    }
+    keys = ["SAMPLE_POINT_NAME", "DEP_SAMPLE_ID", "SAMPLE_DATE"]
+    assert rejects.select(keys).subtract(merged.select(keys)).count() == 0
+    counted = read_stage(spark, f"{out}/coverage_numeric").filter("PARAMETER_NAME = 'SALINITY'")
+    assert counted.agg(F.sum("n")).first()[0] == merged.agg(F.count("SALINITY")).first()[0]
+
+
+def test_dates_in_another_form(spark, tmp_path, small):
+    raw = b.raw_rows(spark, small)
+    shown = F.date_format("SAMPLE DATE", "M/d/yyyy HH:mm:ss")
+    write_csv(raw.withColumn("SAMPLE DATE", shown), str(tmp_path / "raw"))
+    jobs.assemble(spark, str(tmp_path / "raw"), str(tmp_path), timestamp_format="M/d/yyyy HH:mm:ss")
+    years = {r[0] for r in read_stage(spark, f"{tmp_path}/merged").select("YEAR").distinct().collect()}
+    assert years and years <= {r[0] for r in raw.select(F.year("SAMPLE DATE")).distinct().collect()}
+    assert None not in years
+    with pytest.raises(PySparkException):
+        jobs.assemble(spark, str(tmp_path / "raw"), str(tmp_path / "x"))
+
+
+def test_dropped_column_by_position(spark, tmp_path, small):
+    raw = b.raw_rows(spark, small).withColumnRenamed("REMARKS", "FREE TEXT")
+    twice = raw.unionByName(raw.withColumn("FREE TEXT", F.lit("differs")))
+    write_csv(twice, str(tmp_path / "raw"))
+    jobs.assemble(spark, str(tmp_path / "raw"), str(tmp_path), drop=[raw.columns.index("FREE TEXT")])
+    with pytest.raises(PySparkException, match="more than one value"):
+        jobs.assemble(spark, str(tmp_path / "raw"), str(tmp_path / "x"), drop=[])
+
+
+def test_flag_list_binds_by_header(spark, tmp_path):
+    write_csv(spark.createDataFrame([("P", 7)], "stn string, id long"), str(tmp_path / "f"))
+    assert [tuple(r) for r in read_flags(spark, str(tmp_path / "f")).collect()] == [(7, "P")]
+    write_csv(spark.createDataFrame([("x", "P")], "id string, stn string"), str(tmp_path / "g"))
+    with pytest.raises(PySparkException, match="no number"):
+        read_flags(spark, str(tmp_path / "g")).collect()
+    write_csv(spark.createDataFrame([("x",)], "id string"), str(tmp_path / "h"))
+    with pytest.raises(ValueError, match="stn"):
+        read_flags(spark, str(tmp_path / "h"))
+
+
+def test_shared_tables_are_planned_once(spark, out):
+    seen = []
+
+    def keep(name, df):
+        seen.append(name)
+        return df
+
+    tables = jobs.report_tables(
+        read_stage(spark, f"{out}/flagged"), read_stage(spark, f"{out}/stations"), keep=keep
+    )
+    for name in ("map_median", "map_count", "site_info", "rank_curve", "mean_extra_total",
+                 "followup_pairs", "resample_pairs_by_gap", "low_limit_by_site"):
+        tables[name]()
+    assert sorted(seen) == sorted(set(seen))
+
+
 def test_every_report_table(spark, out):
     jobs.report(spark, out)
     tables = jobs.report_tables(read_stage(spark, f"{out}/flagged"), read_stage(spark, f"{out}/stations"))
     assert len(tables) > 50
     counts = {name: spark.read.parquet(f"{out}/reports/{name}").count() for name in tables}
-    may_be_empty = {"repeat_exceedance_by_site", "initial_resample_by_site", "followup_pairs"}
+    may_be_empty = {
+        "repeat_exceedance_by_site", "initial_resample_by_site", "followup_pairs",
+        "ambiguous_stations", "multiple_per_day", "resample_without_exceedance",
+        "calendar_three_classes", "calendar_two_classes", "calendar_without_resamples",
+    } | {n for n in tables if n.startswith("box_outliers")}
     assert [n for n, c in counts.items() if c == 0 and n not in may_be_empty] == []
     proportions = spark.read.parquet(f"{out}/reports/class_proportions")
     assert proportions.agg(F.sum("FREQ")).first()[0] == pytest.approx(1.0)

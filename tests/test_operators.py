@@ -188,10 +188,12 @@ def cells(spark):
 
 def test_strict_pivot_and_back(cells):
     wide = pivot_strict(cells, ["k"], "name", "v", ["A", "B"])
-    assert as_set(wide, "k", "A", "B") == {("k1", 1.0, None), ("k2", 3.0, None), (None, None, 4.0)}
+    assert as_set(wide, "k", "A", "B") == {
+        ("k1", 1.0, None), ("k2", 3.0, None), (None, None, 4.0), ("k3", None, None),
+    }
     back = unpivot(wide, ["k"], ["A", "B"], drop_null=True, name="name", value="v")
     assert as_set(back, "k", "name", "v") == {("k1", "A", 1.0), ("k2", "A", 3.0), (None, "B", 4.0)}
-    assert unpivot(wide, ["k"], ["A", "B"]).count() == 6
+    assert unpivot(wide, ["k"], ["A", "B"]).count() == 8
     assert as_set(unlisted(cells, "name", ["A", "B"]), "k") == {("k3",)}
 
 
@@ -203,7 +205,7 @@ def test_strict_pivot_fails_on_a_second_row(cells):
 
 def test_pivot_fill(cells):
     wide = pivot_fill(cells, ["k"], "name", "v", ["A", "B"], fill=0.0)
-    assert as_set(wide, "k", "A", "B") == {("k1", 1.0, 0.0), ("k2", 3.0, 0.0), (None, 0.0, 4.0)}
+    assert as_set(wide, "k", "A", "B") == {("k1", 1.0, 0.0), ("k2", 3.0, 0.0), (None, 0.0, 4.0), ("k3", 0.0, 0.0)}
 
 
 def test_fingerprint_sees_where_nulls_are(spark):

@@ -185,6 +185,10 @@ def test_calendar_grid_has_every_cell(visits):
     full = xp.calendar_full(cells)
     assert full.select("SAMPLE_POINT_NAME", "YEAR", "WEEK", "WEEKDAY").distinct().count() == 2 * 27 * 7
     assert full.filter("CLASS IS NOT NULL").count() == cells.count()
+    # A sample out of season, whose week is unknown, stays a cell of the full calendar.
+    undated = cells.unionByName(cells.limit(1).withColumn("WEEK", F.lit(None).cast("int")))
+    assert undated.exceptAll(xp.calendar_full(undated).select(undated.columns)).count() == 0
+    assert xp.calendar_full(undated).count() == full.count() + 1
     early = xp.calendar_cells(add_calendar(visits), classes="two", max_week=23, resamples=False)
     assert as_set(early, "WEEK", "CLASS") == {(23, ">104"), (23, "<104")}
 
