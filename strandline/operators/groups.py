@@ -7,16 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.operators.joins import broadcast_if_small, null_safe_join
-from strandline.session import settle
+from strandline.operators.joins import null_safe_join
 
 
 def _with_group(df: DataFrame, group: Sequence[str], value: Column) -> DataFrame:
-    # A window would bring each group to one task. Broadcasting the counted per-group table
-    # leaves the rows where they are; with too many groups for that, the shuffle join
-    # remains, whose hot partitions adaptive execution splits.
-    totals = settle(df.groupBy(*group).agg(value.alias("__total")))
-    return null_safe_join(df, broadcast_if_small(totals), list(group), "left")
+    # A window would bring each group to one task. The per-group table is joined instead: it
+    # is broadcast when it turns out small, and else adaptive execution splits hot partitions.
+    totals = df.groupBy(*group).agg(value.alias("__total"))
+    return null_safe_join(df, totals, list(group), "left")
 
 
 def with_group_count(df: DataFrame, group: Sequence[str], name: str = "n") -> DataFrame:

@@ -1,4 +1,4 @@
-"""Joins in which NULL keys match each other, and size-checked broadcasts."""
+"""Joins in which NULL keys match each other."""
 
 from __future__ import annotations
 
@@ -9,19 +9,6 @@ from operator import and_
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 200_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting; a larger side keeps the shuffle join.
-
-    The count stops one row past the bound. Pass a settled or file-backed table, since
-    its plan runs once more for the count.
-    """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
-
 
 def null_safe_join(
     left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner"

@@ -56,6 +56,21 @@ def class_table(
     return counted.withColumn("N_GROUP", _row_sum(levels))
 
 
+def class_counts_present(
+    df: DataFrame,
+    group: str,
+    cls: str = "CLASS",
+    levels: Sequence[str] = CLASS_LABELS_INCLUSIVE,
+) -> DataFrame:
+    """(group, CLASS, N, N_GROUP, FRAC) of the classes a group has; FRAC is within the group.
+
+    All from one row per group, so the samples are read once and no group is gathered.
+    """
+    wide = class_table(df, group, cls, levels)
+    long = unpivot(wide, [group, "N_GROUP"], levels, name="CLASS", value="N").filter(F.col("N") > 0)
+    return long.withColumn("FRAC", F.try_divide("N", "N_GROUP"))
+
+
 def _shares(wide: DataFrame, levels: Sequence[str]) -> DataFrame:
     return wide.withColumns({v: F.try_divide(F.col(f"`{v}`"), F.col("N_GROUP")) for v in levels})
 

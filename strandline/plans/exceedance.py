@@ -195,20 +195,3 @@ def site_statistics(
     medians = quantiles_of_counts(counts, [site], x, [0.5], ["MEDIAN"]).drop("n")
     return null_safe_join(stats, medians, [site])
 
-
-__all__ = [
-    "class_counts_by_site_year",
-    "class_means_by_site",
-    "coverage_by_site",
-    "coverage_by_variable",
-    "extra_by_year",
-    "low_limit_by_site",
-    "low_limit_by_site_year",
-    "mean_exceedances_by_site",
-    "mean_extra_by_site",
-    "mean_extra_total",
-    "programme_totals",
-    "rank_by",
-    "site_statistics",
-    "type_frequency",
-]

@@ -11,7 +11,7 @@ from strandline.model import (
     TIDE_LEVELS,
     Limits,
 )
-from strandline.operators.groups import with_group_count, with_group_share, with_group_total
+from strandline.operators.groups import with_group_count
 from strandline.operators.previous import with_previous
 from strandline.operators.ranking import rank_by
 from strandline.operators.reshape import unpivot
@@ -484,7 +484,7 @@ K_SQL = """k AS (SELECT SAMPLE_POINT_NAME, CLASS, count(*) AS N FROM e GROUP BY
 
 
 def _class_counts(spark, sf):
-    return b.decorated_events(spark, sf).groupBy(SITE, "CLASS").agg(F.count(F.lit(1)).alias("N"))
+    return dist.class_counts_present(b.decorated_events(spark, sf), SITE)
 
 
 @query(
@@ -493,7 +493,7 @@ def _class_counts(spark, sf):
   {_r('N / sum(N) OVER (PARTITION BY SAMPLE_POINT_NAME)')} AS FRAC FROM k""",
 )
 def _(spark, sf):
-    return rounded(with_group_share(_class_counts(spark, sf), [SITE]))
+    return rounded(_class_counts(spark, sf).drop("N_GROUP"))
 
 
 @query(
@@ -502,7 +502,7 @@ def _(spark, sf):
   CAST(sum(N) OVER (PARTITION BY SAMPLE_POINT_NAME) AS BIGINT) AS N_GROUP FROM k""",
 )
 def _(spark, sf):
-    return with_group_total(_class_counts(spark, sf), [SITE])
+    return _class_counts(spark, sf).drop("FRAC")
 
 
 # --- histograms and boxes --------------------------------------------------------------------------

@@ -14,6 +14,8 @@ def get_spark(app: str = "strandline", master: str | None = None, **conf: str) -
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # Written copies that no plan refers to any more are removed.
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         # The call site of every column expression costs milliseconds each on the driver.
         "spark.python.sql.dataFrameDebugging.enabled": "false",
         **conf,
