@@ -1,8 +1,9 @@
 """Exact interpolated quantiles of groups of any size.
 
 ``percentile`` keeps every distinct value of a group in one task's memory. Here the
-distinct values are counted first, located by a cumulative count over value buckets,
-and only the buckets that hold a wanted rank are ordered.
+distinct values are counted first and located by a cumulative count over value buckets.
+The buckets that hold a wanted rank are split evenly between their ends, and only the parts
+that hold the rank are ordered.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from strandline.functions.text import not_nan
 from strandline.operators.joins import null_safe_join
 
 BUCKETS_PER_OCTAVE = 1024
+#: A wanted bucket is split into so many parts, whatever it holds; one part is ordered.
+PARTS = 1 << 16
 _SHIFT = 2_000_000  # larger than 1024 buckets for each of the 1074 octaves below one
 
 
@@ -39,6 +42,34 @@ def value_bucket(x: str) -> Column:
     ).cast("long")
 
 
+def _refined(rows: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
+    """Split each bucket evenly between its least and greatest value, and keep the parts that
+    hold a wanted rank. ``keys`` ends with the bucket, which becomes the part."""
+    span = rows.groupBy(*keys).agg(F.min(x).alias("__lo"), F.max(x).alias("__hi"))
+    place = F.try_divide(F.col(x) - F.col("__lo"), F.col("__hi") - F.col("__lo")) * PARTS
+    part = F.coalesce(F.floor(F.nanvl(place, F.lit(0.0))).cast("long"), F.lit(0))
+    split = null_safe_join(rows, span, keys).withColumn("__part", part).drop("__lo", "__hi")
+    by_part = [*keys, "__part"]
+    sums = split.groupBy(*by_part).agg(
+        F.sum("w").alias("__w"), *[F.first(c).alias(c) for c in ("__start", "__n", "__wanted")]
+    )
+    before = W.partitionBy(*keys).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    first = F.col("__start") + F.coalesce(F.sum("__w").over(before), F.lit(0))
+    held = sums.withColumn("__first", first).withColumn(
+        "__held",
+        F.filter(
+            "__wanted",
+            lambda t: (t["rank"] >= F.col("__first")) & (t["rank"] < F.col("__first") + F.col("__w")),
+        ),
+    )
+    kept = held.filter(F.size("__held") > 0).select(
+        *by_part, F.col("__first").alias("__start"), "__n", F.col("__held").alias("__wanted")
+    )
+    narrowed = null_safe_join(split.drop("__start", "__n", "__wanted"), kept, by_part)
+    bucket = keys[-1]
+    return narrowed.withColumn(bucket, F.struct(bucket, "__part")).drop("__part")
+
+
 def quantiles_of_counts(
     counts: DataFrame,
     group: Sequence[str],
@@ -87,10 +118,10 @@ def quantiles_of_counts(
         .select(*group, "__bucket", "__start", "__n", "__wanted")
     )
 
+    rows = _refined(null_safe_join(bucketed, hits, [*group, "__bucket"]), [*group, "__bucket"], x)
     in_bucket = W.partitionBy(*group, "__bucket").orderBy(x)
     located = (
-        null_safe_join(bucketed, hits, [*group, "__bucket"])
-        .withColumn(
+        rows.withColumn(
             "__to",
             F.col("__start")
             + F.sum("w").over(in_bucket.rowsBetween(W.unboundedPreceding, W.currentRow)),

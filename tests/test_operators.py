@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from strandline.operators.groups import with_group_count, with_group_share, with_group_total
 from strandline.operators.joins import null_safe_join
 from strandline.operators.previous import with_previous
+from strandline.operators import quantiles
 from strandline.operators.quantiles import group_quantiles
 from strandline.operators.ranking import rank_by, rank_levels, row_numbers
 from strandline.operators.reshape import (
@@ -96,6 +97,20 @@ def test_quantiles_equal_numpy(spark):
             assert got[g][name] == pytest.approx(np.quantile(values, p), rel=1e-12, abs=1e-300)
 
 
+def test_quantiles_of_values_that_share_a_bucket(spark):
+    # Distinct seconds of a day and a bit: all lie in one value bucket.
+    df = spark.range(100_000).select(F.lit("g").alias("g"), (F.col("id") * 0.5 + 1.7e9).alias("x"))
+    counts = quantiles.value_counts(df, ["g"], "x")
+    bucket = counts.withColumn("b", quantiles.value_bucket("x"))
+    assert bucket.select("b").distinct().count() == 1
+    hit = bucket.select("g", "b", "x", "w", F.lit(0).alias("__start"), F.lit(100_000).alias("__n"),
+                        F.expr("array(named_struct('i', 0, 'side', 0, 'rank', 49999L))").alias("__wanted"))
+    assert quantiles._refined(hit, ["g", "b"], "x").count() < 10
+    got = group_quantiles(df, ["g"], "x", [0.1, 0.5, 0.99], ["a", "b", "c"]).first()
+    values = np.arange(100_000) * 0.5 + 1.7e9
+    assert [got.a, got.b, got.c] == pytest.approx(np.quantile(values, [0.1, 0.5, 0.99]), rel=1e-12)
+
+
 def test_quantiles_of_null_group_and_of_all(spark):
     df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 5.0)], "g string, x double")
     got = {r.g: r.m for r in group_quantiles(df, ["g"], "x", [0.5], ["m"]).collect()}
