@@ -10,6 +10,12 @@ from strandline.queries.registry import REGISTRY
 from tests.conftest import SMALL
 
 
+# At this size no site has the support these ask for, and no point has two station rows.
+MAY_BE_EMPTY = {
+    "a21_repeat_exceedance_by_site", "a23_initial_resample_by_site", "q1_ambiguous_stations",
+}
+
+
 @pytest.fixture(scope="module")
 def con():
     return check.connect(SMALL)
@@ -18,7 +24,8 @@ def con():
 @pytest.mark.parametrize("name", sorted(REGISTRY))
 def test_query_matches_sql(spark, con, name):
     outcome = check.compare(spark, con, name, SMALL)
-    assert outcome.startswith(("ok", "rows only", "EMPTY")), outcome
+    good = ("ok", "EMPTY") if name in MAY_BE_EMPTY else ("ok",)
+    assert outcome.startswith(good), outcome
 
 
 def test_every_query_has_an_oracle():
