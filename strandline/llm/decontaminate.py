@@ -117,16 +117,27 @@ def seeds(items: DataFrame, similarity: float, shingle: int) -> DataFrame:
     )
 
 
+def _places(h: Column, log2: int) -> list[tuple[Column, Column]]:
+    """The two (slot, bit) places of a key in a bitmap of 2**log2 bits."""
+    mask = F.lit((1 << log2) - 1)
+    halves = [h.bitwiseAND(mask), F.shiftrightunsigned(h, 32).bitwiseAND(mask)]
+    return [
+        (F.shiftright(x, 6).cast("int"), x.bitwiseAND(F.lit(63)).cast("int")) for x in halves
+    ]
+
+
 def bitmap(keys: DataFrame, log2: int) -> list[int]:
-    """2**log2 bits as longs, set where a key's low bits point; collected, of fixed size."""
-    words = 1 << (log2 - 6)
-    slot = F.shiftright("h", 6).bitwiseAND(F.lit(words - 1)).cast("int")
-    bit = F.call_function(
-        "shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)).cast("int")
+    """A Bloom filter of 2**log2 bits as longs; what is collected has a fixed size."""
+    one = F.lit(1).cast("long")
+    places = F.array(
+        *[
+            F.struct(slot.alias("slot"), F.call_function("shiftleft", one, low).alias("bit"))
+            for slot, low in _places(F.col("h"), log2)
+        ]
     )
-    found = keys.groupBy(slot.alias("slot")).agg(F.bit_or(bit).alias("bits")).collect()
-    out = [0] * words
-    for r in found:
+    found = keys.select(F.inline(places)).groupBy("slot").agg(F.bit_or("bit").alias("bits"))
+    out = [0] * (1 << (log2 - 6))
+    for r in found.collect():
         out[r.slot] = r.bits
     return out
 
@@ -154,13 +165,15 @@ def matches(
         prepared_items(items, id_col=item_id_col, text_col=item_text_col, shingle=shingle)
     )
     wanted = staged(seeds(known, similarity, shingle))
-    log2 = min(MAX_BITMAP, max(12, (16 * wanted.count()).bit_length()))
+    log2 = min(MAX_BITMAP, max(12, (512 * wanted.count()).bit_length()))
     bits = F.from_json(F.lit(json.dumps(bitmap(wanted, log2))), "array<bigint>")
 
     def marked(h: Column) -> Column:
-        slot = F.shiftright(h, 6).bitwiseAND(F.lit((1 << (log2 - 6)) - 1)).cast("int")
-        low = h.bitwiseAND(F.lit(63)).cast("int")
-        return _shift_right(F.get(bits, slot), low).bitwiseAND(F.lit(1)) == 1
+        first, second = (
+            _shift_right(F.get(bits, slot), low).bitwiseAND(F.lit(1)) == 1
+            for slot, low in _places(h, log2)
+        )
+        return first & second
 
     def hits(words: Column) -> Column:
         hashes = F.transform(
