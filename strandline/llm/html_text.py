@@ -56,7 +56,7 @@ STOP_WORDS = set(
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<!\[CDATA\[(?P<cdata>.*?)\]\]>"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>"
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^<>=]|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*+)>"
     r"|<[!?/][^>]*>?",
     re.S,
 )

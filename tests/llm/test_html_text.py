@@ -49,6 +49,8 @@ def test_broken_and_long_pages():
     for page in ["<", "<p", "<p>" + LONG, "<!-- open", "<script>x", "a<b>c</div></div>", "<p a='>'>x", "\x00<p>"]:
         assert isinstance(main_text(page), str)
     assert main_text("<p>" + LONG) == LONG
+    for tag in ("<a title='a > b' x>", '<a title="5" tall">', "<a d=it's>", '<img alt="<b>" src=x>', "<a =\"'>"):
+        assert main_text(f"<p>{LONG} {tag}end</p><p>{LONG}</p>") == f"{LONG} end\n\n{LONG}"
     body = "".join(f"<p>{LONG} {i}</p>" for i in range(20_000))
     assert main_text(f"<article>{body}</article>").count("\n\n") == 19_999
     assert main_text("<div>" * 20_000 + f"<p>{LONG}</p>") == LONG
