@@ -4,13 +4,13 @@ A window has as many words as the item it may match. Its similarity to an item i
 sum(w * min) / sum(w * max) over the multisets of five-word shingles, where a shingle weighs its
 code points. Steps:
 
-1. Windows. Every window that reaches the similarity shares one of the item's seed shingles
-   (the heaviest ones, until their weight exceeds the share that may be missing), so windows are
-   laid only where a shingle of the text meets a seed. A bitmap of fixed size, whatever the
-   benchmark's, thins the texts' shingles in the scan; the exact join follows.
-2. Fingerprints. Windows and items get a 64-bit SimHash of their weighted shingles. It is cut into ``radius + 1`` blocks;
-   two fingerprints within the radius agree in one of them, so a join on (size, block, value)
-   finds all of them. A pair is emitted under its first agreeing block only. Shingle sets at a
+1. Windows. Every window that reaches the similarity holds one of the item's seed shingles
+   (the heaviest ones, until their weight exceeds the share that may be missing), at any offset:
+   words may be inserted, left out or moved before it. So wherever a text meets a seed, all
+   windows of the item's size that hold it are laid, each once. A bitmap of fixed size, whatever
+   the benchmark's, thins the texts' shingles in the scan; the exact join follows.
+2. Fingerprints. Windows and items get a 64-bit SimHash of their weighted shingles. A window meets
+   the items of its seeds alone, and pairs within ``radius`` bits go on. Shingle sets at a
    similarity of 0.8 differ in 9 bits on average; 3 in 10,000 exceed the radius of 20.
 3. Verification by the exact similarity.
 
@@ -48,8 +48,12 @@ def weights(parts: Column) -> Column:
     return F.aggregate(parts, F.lit(0), lambda total, s: total + F.length(s))
 
 
-def simhash(parts: Column) -> Column:
-    """64 bits over the parts' hashes; a bit is set if parts of over half the weight have it."""
+def weighted(parts: Column) -> Column:
+    return F.transform(parts, lambda s: F.struct(F.xxhash64(s).alias("h"), F.length(s).alias("w")))
+
+
+def simhash(pairs: Column) -> Column:
+    """64 bits over hashes and weights; a bit is set if parts of over half the weight have it."""
 
     def of(pairs: Column) -> Column:
         total = F.aggregate(pairs, F.lit(0), lambda acc, x: acc + x["w"])
@@ -66,8 +70,7 @@ def simhash(parts: Column) -> Column:
 
         return F.aggregate(F.sequence(F.lit(0), F.lit(BITS - 1)), F.lit(0).cast("long"), bit)
 
-    pair = lambda s: F.struct(F.xxhash64(s).alias("h"), F.length(s).alias("w"))
-    return let(F.transform(parts, pair), of)
+    return let(pairs, of)
 
 
 def _shift_right(value: Column, by: Column) -> Column:
@@ -85,20 +88,20 @@ def prepared_items(
         .where(F.size("words") >= shingle)
         .distinct()
         .select("item_id", F.size("words").alias("size"), shingles(F.col("words"), shingle).alias("parts"))
-        .select("*", weights(F.col("parts")).alias("weight"), simhash(F.col("parts")).alias("fp"))
+        .select("*", weights(F.col("parts")).alias("weight"), simhash(weighted(F.col("parts"))).alias("fp"))
     )
 
 
 def seeds(items: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """(h, size, at): the heaviest shingles of every item, until those left out weigh less than
+    """(h, item_id, size): the heaviest shingles of every item, until those left out weigh less than
     the similarity needs."""
     ranked = F.reverse(
         F.array_sort(
-            F.transform("parts", lambda s, i: F.struct(F.length(s).alias("n"), i.alias("at"), s.alias("s")))
+            F.transform("parts", lambda s: F.struct(F.length(s).alias("n"), s.alias("s")))
         )
     )
     start = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("taken"))
-    spare = (1 - similarity) * F.col("weight")
+    spare = (1 - similarity + 1e-9) * F.col("weight")  # rounding may not end the list early
     counted = F.aggregate(
         "ranked",
         start,
@@ -108,10 +111,10 @@ def seeds(items: DataFrame, similarity: float, shingle: int) -> DataFrame:
         ),
     )
     return (
-        items.select("size", "weight", ranked.alias("ranked"))
-        .select("size", F.inline(F.slice("ranked", 1, counted["taken"])))
+        items.select("item_id", "size", "weight", ranked.alias("ranked"))
+        .select("item_id", "size", F.inline(F.slice("ranked", 1, counted["taken"])))
         .select(
-            let(F.split("s", " "), lambda w: gram_hash(w, F.lit(0), shingle)).alias("h"), "size", "at"
+            let(F.split("s", " "), lambda w: gram_hash(w, F.lit(0), shingle)).alias("h"), "item_id", "size"
         )
         .distinct()
     )
@@ -198,61 +201,53 @@ def matches(
     laid = (
         read.select("row", F.inline("hits"))
         .join(wanted, "h")
-        .select("row", "size", (F.col("pos") - F.col("at")).alias("start"))
-        .distinct()
-    )
-    first = F.greatest("start", F.lit(0))
-    window = F.slice(
-        "words", first + 1, F.least(F.col("start") + F.col("size"), F.size("words")) - first
-    )
-    windows = (
-        laid.join(read.drop("hits"), "row")
-        .select("row", "doc_id", "text_hash", "size", first.alias("first"), window.alias("window"))
-        .select("*", shingles(F.col("window"), shingle).alias("parts"))
-        .drop("window")
-        .select("*", simhash(F.col("parts")).alias("fp"))
-    )
-    edges = [round(BITS * k / (radius + 1)) for k in range(radius + 2)]
-    masks = [
-        ((1 << hi) - (1 << lo)) - (1 << 64 if hi == BITS else 0)
-        for lo, hi in zip(edges, edges[1:], strict=False)
-    ]
-    blocks = F.array(
-        *[F.struct(F.lit(k).alias("block"), F.lit(m).alias("mask")) for k, m in enumerate(masks)]
+        .groupBy("row", "item_id", "size")
+        .agg(F.array_sort(F.collect_set("pos")).alias("pos"))
     )
 
-    def blocked(df: DataFrame) -> DataFrame:
-        return df.select("*", F.inline(blocks)).withColumn(
-            "value", F.col("fp").bitwiseAND(F.col("mask"))
-        ).drop("mask")
+    def span(pos: Column, i: Column) -> Column:
+        """Starts of the windows that hold the hit at ``pos`` and no hit before it."""
+        low = pos - F.col("size") + shingle
+        before = F.when(i > 0, F.get("pos", i - 1) + 1)
+        return F.struct(F.greatest(low, before).alias("low"), pos.alias("high"))
 
-    differ = F.col("fp").bitwiseXOR(F.col("item_fp"))
-    agreeing = F.coalesce(
-        *[F.when(differ.bitwiseAND(F.lit(m)) == 0, F.lit(k)) for k, m in enumerate(masks)]
-    )
-    targets = blocked(known).select(
-        "size", "block", "value", "item_id", F.col("parts").alias("item_parts"),
-        F.col("weight").alias("item_weight"), F.col("fp").alias("item_fp"),
+    base = F.greatest("low", F.lit(0))
+    length = F.least(F.col("high") + F.col("size"), "n_words") - base
+    spans = (
+        laid.join(read.drop("hits"), "row")
+        .select("doc_id", "text_hash", "item_id", "size", "words", F.size("words").alias("n_words"),
+                F.inline(F.transform("pos", span)))
+        .select("*", F.transform(positions(length), lambda i: F.get("words", base + i)).alias("near"))
+        .select("doc_id", "text_hash", "item_id", "size", "n_words", "low", "high",
+                base.alias("base"), shingles(F.col("near"), shingle).alias("parts"))
+        .select("*", weighted(F.col("parts")).alias("pairs"))
+        .join(
+            known.select("item_id", "size", F.col("parts").alias("item_parts"),
+                         F.col("weight").alias("item_weight"), F.col("fp").alias("item_fp")),
+            ["item_id", "size"],
+        )
     )
+    first = F.greatest("start", F.lit(0))
+    inside = first - F.col("base") + 1
+    count = F.least(F.col("start") + F.col("size"), "n_words") - first - (shingle - 1)
+    fp = simhash(F.slice("pairs", inside, count))
     candidates = (
-        blocked(windows)
-        .join(targets, ["size", "block", "value"])
-        .where((agreeing == F.col("block")) & (F.bit_count(differ) <= radius))
+        spans.select("*", F.explode(F.sequence("low", "high")).alias("start"))
+        .where(F.bit_count(fp.bitwiseXOR(F.col("item_fp"))) <= radius)
+        .withColumn("first", first)
+        .withColumn("parts", F.slice("parts", inside, count))
     )
-    count = lambda parts, s: F.size(F.filter(parts, lambda x: x == s))
+    times = lambda parts, s: F.size(F.filter(parts, lambda x: x == s))
     shared = F.aggregate(
         F.array_distinct("item_parts"),
         F.lit(0),
         lambda total, s: total
-        + F.length(s) * F.least(count(F.col("parts"), s), count(F.col("item_parts"), s)),
+        + F.length(s) * F.least(times(F.col("parts"), s), times(F.col("item_parts"), s)),
     )
+    both = weights(F.col("parts")) + F.col("item_weight")
+    similar = let(shared, lambda n: n / (both - n))
     return (
-        candidates.select("row", "doc_id", "text_hash", "item_id", "first", "item_weight",
-                          weights(F.col("parts")).alias("weight"), shared.alias("shared"))
-        .withColumn(
-            "similarity",
-            F.col("shared") / (F.col("weight") + F.col("item_weight") - F.col("shared")),
-        )
+        candidates.select("doc_id", "text_hash", "item_id", "first", similar.alias("similarity"))
         .where(F.col("similarity") >= similarity)
         .groupBy("doc_id", "text_hash", "item_id")
         .agg(

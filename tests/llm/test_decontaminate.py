@@ -122,3 +122,44 @@ def test_query_finds_planted_items(spark, small):
     want = {(d, i) for d, t in docs for i, b in items if " ".join(words_of(b)) in " ".join(words_of(t))}
     assert want and want <= found
     assert found <= brute(docs, items).keys()
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_every_window_without_allowance(rows, seed):
+    """Words moved, inserted, left out and changed: the best window of all is found."""
+    rng = random.Random(seed)
+    docs, items = corpus(seed)
+    vocabulary = [f"v{k}{'y' * (k % 7)}" for k in range(300)]
+    text = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    for d, (_, item) in enumerate(items[:30] * 4):
+        words = words_of(item)
+        cut = (len(words) // 2, rng.randrange(len(words)))[d % 2]
+        kind = d // 30
+        if kind == 0:
+            words = words[cut:] + words[:cut]
+        if kind in (1, 3):
+            words.insert(cut, "inserted")
+        if kind in (2, 3):
+            del words[rng.randrange(len(words))]
+        docs.append((1000 + d, " ".join(text(rng.randrange(80)) + words + text(rng.randrange(80)))))
+    got = dc.matches(
+        rows(DOCS, [(*d, "a", "b") for d in docs]), rows(ITEMS, [(*i, "c") for i in items])
+    ).collect()
+    found = {(r.doc_id, r.item_id): r.similarity for r in got}
+    assert len(found) == len(got)
+    want = brute(docs, items)
+    assert found.keys() == want.keys()
+    assert all(abs(found[k] - s) < 1e-9 for k, s in want.items())
+
+
+def test_seeds_outweigh_what_may_be_missing(rows):
+    """An item of 25 equal shingles without the five heaviest is at 0.8 exactly."""
+    words = [f"{k:04d}" for k in range(29)]
+    doc = " ".join(words[:24])  # 20 of 25 shingles, in a window that the text's ends shorten
+    for item in (words, words[::-1]):
+        text = doc if item is words else " ".join(words[::-1][:24])
+        docs, items = [(1, text, "", "")], [(1, " ".join(item), "")]
+        assert [r.similarity for r in dc.matches(rows(DOCS, docs), rows(ITEMS, items)).collect()] == [0.8]
+    for item in (words, words[::-1]):
+        docs, items = [(1, " ".join(item[5:]), "", "")], [(1, " ".join(item), "")]
+        assert [r.similarity for r in dc.matches(rows(DOCS, docs), rows(ITEMS, items)).collect()] == [0.8]
