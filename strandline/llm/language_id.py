@@ -1,6 +1,7 @@
 """Language identification with bit-sliced Bloom filters of character n-grams.
 
-One table of m slots holds a 64-bit mask each; bit l belongs to the Bloom filter of language l.
+A table of m slots holds a 64-bit mask each; bit l belongs to the Bloom filter of language l.
+There is one such table for every 64 languages, so their number has no bound.
 The AND of an n-gram's slots is the set of all languages that contain it. A text's score for a
 language is its share of n-grams in that filter, corrected for the filter's false positives:
 (share - f) / (1 - f), where f is the language's slot density to the power of the hashes.
@@ -17,7 +18,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,7 +27,8 @@ from strandline.llm.sampling import held_out, spread_sample
 from strandline.llm.staging import staged
 
 SIZES = (3, 4)
-MAX_LANGUAGES = 64
+#: Languages in a mask.
+WORD = 64
 #: Characters worked on at a time.
 BLOCK = 1 << 20
 #: Odd multipliers of the hashes.
@@ -94,7 +97,8 @@ def grams(points: np.ndarray, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np
 
 @dataclass(frozen=True)
 class Model:
-    """``slots`` has a power of two of masks; ``languages`` are by bit."""
+    """``slots`` has a row for every 64 languages with a power of two of masks; ``languages`` are
+    by row and bit."""
 
     languages: list[str]
     slots: np.ndarray
@@ -106,12 +110,13 @@ class Model:
         return self.density() ** self.hashes
 
     def density(self) -> np.ndarray:
-        bits = np.arange(len(self.languages), dtype=np.uint64)
-        return np.array([((self.slots >> b) & np.uint64(1)).mean() for b in bits])
+        return np.array(
+            [has_bit(self.slots[b // WORD], b % WORD).mean() for b in range(len(self.languages))]
+        )
 
-    def masks(self, codes: np.ndarray) -> np.ndarray:
-        """The languages whose filters contain each n-gram."""
-        return bloom_and(self.slots, codes, self.hashes)
+    def masks(self, codes: np.ndarray, word: int = 0) -> np.ndarray:
+        """The languages of row ``word`` whose filters contain each n-gram."""
+        return bloom_and(self.slots[word], codes, self.hashes)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         count = len(self.languages)
@@ -120,10 +125,11 @@ class Model:
         for points, rows in blocks(texts):
             lettered[rows[letters()[points]]] = True
             for codes, owner in grams(points, rows):
-                found = self.masks(codes)
                 total += np.bincount(owner, minlength=len(texts))
                 for b in range(count):
-                    bit = ((found >> np.uint64(b)) & np.uint64(1)).astype(bool)
+                    if b % WORD == 0:
+                        found = self.masks(codes, b // WORD)
+                    bit = has_bit(found, b % WORD)
                     hits[:, b] += np.bincount(owner[bit], minlength=len(texts))
         f = self.false_positives if count else np.zeros(0)
         share = np.maximum((hits / np.maximum(total, 1)[:, None] - f) / (1 - f), 0)
@@ -139,6 +145,10 @@ class Model:
         return names, score
 
 
+def has_bit(masks: np.ndarray, bit: int) -> np.ndarray:
+    return ((masks >> np.uint64(bit)) & np.uint64(1)).astype(bool)
+
+
 def slots_of(codes: np.ndarray, log2: int, hashes: int) -> Iterator[np.ndarray]:
     second = (codes * _STEP) | np.uint64(1)
     for k in range(hashes):
@@ -155,16 +165,24 @@ def bloom_and(slots: np.ndarray, codes: np.ndarray, hashes: int) -> np.ndarray:
 
 def build_model(
     languages: list[str], codes: np.ndarray, masks: np.ndarray, largest: int, fallback: int,
-    hashes: int = 3,
+    hashes: int = 3, words: np.ndarray | int = 0,
 ) -> Model:
-    """``largest``: most n-grams in one language; slots are sized for about 1 % false positives."""
+    """``masks`` are those of the rows ``words``. ``largest``: most n-grams in one language; slots
+    are sized for about 1 % false positives."""
     log2 = max(10, int(np.ceil(np.log2(max(largest, 1) * hashes / 0.24))))
-    slots = np.zeros(1 << log2, np.uint64)
+    slots = np.zeros((max(1, -(-len(languages) // WORD)), 1 << log2), np.uint64)
     for at in slots_of(codes, log2, hashes):
-        np.bitwise_or.at(slots, at, masks)
+        np.bitwise_or.at(slots, (words, at), masks)
     return Model(languages, slots, hashes, fallback)
 
 
+def _by_language(values: dict[str, float]) -> Column:
+    """The value of the row's language; NULL for one that is not listed."""
+    parts = [F.lit(x) for pair in values.items() for x in pair]
+    known = F.create_map(*parts) if parts else F.create_map().cast("map<string,double>")
+    return F.try_element_at(known, F.col("lang"))
+
+
 def fit(
     docs: DataFrame,
     *,
@@ -175,18 +193,16 @@ def fit(
     grams_per_language: int = 50_000,
     typical: float = 0.2,
 ) -> Model:
-    """Learn from rows with a text, a language and an id that are not held out. About
+    """Learn all languages of rows with a text, a language and an id that are not held out. About
     ``texts_per_language`` whole texts of each language are read, chosen by a hash of the id."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     rows = rows.where(F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     rows = rows.where(~held_out(F.col("id")))
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     if not sizes:
-        return Model([], np.zeros(1024, np.uint64), 3, 0)
+        return Model([], np.zeros((1, 1024), np.uint64), 3, 0)
     languages = sorted(r["lang"] for r in sizes)
-    wanted = F.lit(0.0)
-    for r in sizes:
-        wanted = F.when(F.col("lang") == r["lang"], texts_per_language / r["count"]).otherwise(wanted)
+    wanted = _by_language({r["lang"]: texts_per_language / r["count"] for r in sizes})
     sample = spread_sample(rows, F.col("id"), wanted).select("lang", "text")
     schema = T.StructType().add("lang", "string").add("code", "long").add("n", "long")
 
@@ -205,11 +221,8 @@ def fit(
 
     counts = sample.mapInArrow(run, schema).groupBy("lang", "code").agg(F.sum("n").alias("n"))
     counts = staged(counts.where("n >= 3"))
-    totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    total = F.lit(1.0)
-    for lang, n in totals.items():
-        total = F.when(F.col("lang") == lang, F.lit(float(n))).otherwise(total)
-    shares = counts.withColumn("share", F.col("n") / total)
+    totals = {r["lang"]: float(r["n"]) for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    shares = counts.withColumn("share", F.col("n") / _by_language(totals))
     highest = shares.groupBy("code").agg(F.max("share").alias("highest"))
     ranked = (
         shares.join(highest, "code")
@@ -218,12 +231,12 @@ def fit(
         .where(F.col("rank") <= grams_per_language)
     )
     table = ranked.select("lang", "code").toArrow()  # bounded by languages x grams_per_language
-    bit = {name: np.uint64(1) << np.uint64(i) for i, name in enumerate(languages)}
-    named = table.column(0).to_pylist()
+    which = pc.index_in(table.column(0), pa.array(languages, pa.string())).to_numpy().astype(np.int64)
     codes = table.column(1).to_numpy().astype(np.int64).view(np.uint64)
-    masks = np.array([bit[x] for x in named], np.uint64)
-    largest = max((named.count(x) for x in languages), default=1)
-    return build_model(languages, codes, masks, largest, languages.index(sizes[0]["lang"]))
+    masks = np.uint64(1) << (which % WORD).astype(np.uint64)
+    largest = int(np.bincount(which, minlength=1).max())
+    fallback = languages.index(sizes[0]["lang"])
+    return build_model(languages, codes, masks, largest, fallback, words=which // WORD)
 
 
 def predict(

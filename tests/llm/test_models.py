@@ -177,3 +177,20 @@ def test_quality_held_out_accuracy(spark, small):
     right = [r.predicted == marks[r.doc_id] for r in got]
     assert len(right) > 80 and np.mean(right) > 0.95
     assert all(r.predicted for r in got if marks[r.doc_id] == 1)
+
+
+def test_more_languages_than_bits_of_a_mask(spark):
+    rng = np.random.default_rng(5)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    data = []
+    for k in range(70):
+        words = ["".join(rng.choice(list(letters), 6)) for _ in range(12)]
+        for i in range(30 if k < 64 else 20):
+            text = " ".join(rng.choice(words, 15))
+            data.append((100 * k + i, text, f"l{k:02d}", None, "h", "s", "y"))
+    docs = spark.createDataFrame(data, DOCS).repartition(3)
+    model = li.fit(docs)
+    assert model.languages == [f"l{k:02d}" for k in range(70)] and model.slots.shape[0] == 2
+    truth = {d: lang for d, _, lang, *_ in data}
+    got = li.predict(docs, model).collect()
+    assert len(got) == len(data) and all(r.lang_pred == truth[r.doc_id] for r in got)
