@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm import (
+    alignment,
+    bucket_digest,
     chat,
     decontaminate,
     html_text,
@@ -16,6 +18,7 @@ from strandline.llm import (
     licenses,
     line_dedup,
     packing,
+    prefix_trie,
     quality_model,
     quality_rules,
     simhash_dedup,
@@ -45,6 +48,10 @@ def bpe_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def piece_path() -> str:
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 @query("op10_best_fit_packing")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), bpe_path())
@@ -127,3 +134,19 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_block_rules")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op11_token_alignment")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), bpe_path(), piece_path())
+
+
+@query("op12_bucket_digest")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bucket_digest.fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op13_prefix_trie")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.turn_ids(table(spark, sf_dir, "conversations"))
+    return prefix_trie.prefix_trie(prefix_trie.with_shared_starts(turns))
