@@ -84,28 +84,27 @@ def edited(text: str, following: str) -> str:
 
 
 _OUT = (
-    "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
+    "n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, "
     "near_edited double, near_next double"
 )
 
 
 def _figures(text: str, own: bytes, following: str, after: bytes) -> tuple:
     changed = edited(text, following)
-    data = changed.encode()
     other = own if changed == text else digest(changed)
     return (
         len(text),
-        hashlib.sha256(data).hexdigest(),
-        own.hex(),
-        other.hex(),
+        hashlib.sha256(changed.encode()).digest(),
+        own,
+        other,
         likeness(own, other),
         likeness(own, after),
     )
 
 
 def _chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Figures of every row but the last of each range chunk, of which, and of the first, the
-    texts are handed on: ``edge`` is 0 for figures, 1 for a first and 2 for a last row."""
+    """Figures of every row but the last of each range chunk, digests in bytes; of the last and the
+    first row the texts are handed on: ``edge`` is 0 for figures, 1 for a first and 2 for a last row."""
     kind = docs.schema[id_col].dataType
     schema = T.StructType().add("doc_id", kind)
     for field in T.StructType.fromDDL(_OUT).fields + T.StructType.fromDDL(
@@ -118,7 +117,7 @@ def _chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         last, types = None, None
         for batch in batches:
             if types is None:
-                types = [batch.schema.field(0).type, pa.int64(), *[pa.string()] * 3]
+                types = [batch.schema.field(0).type, pa.int64(), *[pa.binary()] * 3]
                 types += [pa.float64()] * 2 + [pa.int32(), pa.string(), pa.int32(), pa.int64()]
             rows = []
             for row, text, chunk, copy in zip(
@@ -186,7 +185,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         schema = schema.add(field)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.int64(), *[pa.string()] * 3, *[pa.float64()] * 2]
+        types = [pa.int64(), *[pa.binary()] * 3, *[pa.float64()] * 2]
         for batch in batches:
             rows = [
                 (row, *_figures(text, digest(text), after, digest(after)))
@@ -198,5 +197,9 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 yield _batch(rows, [batch.schema.field(0).type, *types], schema.names)
 
     closed = ends.select("doc_id", "text", "following").mapInArrow(run, schema)
-    return found.where("edge = 0").select(*schema.names).unionByName(closed)
+    whole = found.where("edge = 0").select(*schema.names).unionByName(closed)
+    digests = ("edited_sha256", "fingerprint", "edited_fingerprint")
+    return whole.select(
+        *[F.lower(F.hex(c)).alias(c) if c in digests else F.col(c) for c in schema.names]
+    )
 
