@@ -9,10 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandline.session import settle
-
-#: Where monotonically_increasing_id counts within a partition.
-_PLACE = (1 << 33) - 1
+from strandline.operators.handover import CHUNK, PLACE, POSITION, in_order
 
 
 def with_previous(
@@ -25,26 +22,22 @@ def with_previous(
     """Add PREV_<col> for each of ``cols`` and DIFFTIME, the whole days since then.
 
     The order within a group is (ts, id), NULLs last, as in a window by group. Rows are
-    range-partitioned on (group, ts, id), whatever the groups' sizes, and written once, as a
-    second evaluation could choose other bounds. A row's predecessor is the one before it in
-    its range chunk; a chunk's first row gets the last row of the chunk before. A predecessor
+    range-partitioned on (group, ts, id), whatever the groups' sizes: the only shuffle of the
+    rows, as the ordered copy is read chunk by chunk. A row's predecessor is the one before it
+    in its range chunk; a chunk's first row gets the last row of the chunk before. A predecessor
     of another group is none.
     """
     partition, wanted = list(partition), list(dict.fromkeys([*partition, *cols, ts]))
     sort = [F.col(c).asc_nulls_last() for c in [*partition, ts, id]]
-    placed = settle(
-        df.repartitionByRange(*sort)
-        .sortWithinPartitions(*sort)
-        .withColumns({"__chunk": F.spark_partition_id(), "__pos": F.monotonically_increasing_id()})
-    )
+    placed = in_order(df, sort)
     row = F.struct(*wanted)
     # One row per range chunk: bounded by the shuffle partition count.
-    ends = placed.groupBy("__chunk").agg(F.max_by(row, "__pos").alias("__end"))
-    carried = ends.select("__chunk", F.lag("__end").over(W.orderBy("__chunk")).alias("__carried"))
-    in_chunk = W.partitionBy("__chunk").orderBy("__pos")
-    first = F.col("__pos").bitwiseAND(F.lit(_PLACE)) == 0
+    ends = placed.groupBy(CHUNK).agg(F.max_by(row, POSITION).alias("__end"))
+    carried = ends.select(CHUNK, F.lag("__end").over(W.orderBy(CHUNK)).alias("__carried"))
+    in_chunk = W.partitionBy(CHUNK).orderBy(POSITION)
+    first = F.col(POSITION).bitwiseAND(F.lit(PLACE)) == 0
     joined = placed.withColumn("__lag", F.lag(row).over(in_chunk)).join(
-        F.broadcast(carried), "__chunk", "left"
+        F.broadcast(carried), CHUNK, "left"
     )
     before = joined.withColumn("__prev", F.when(first, F.col("__carried")).otherwise(F.col("__lag")))
     same = functools.reduce(

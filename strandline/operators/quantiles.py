@@ -1,13 +1,14 @@
 """Exact interpolated quantiles of groups of any size.
 
-``percentile`` keeps every distinct value of a group in one task's memory. Here the
-distinct values are counted first and located by a cumulative count over value buckets.
-The buckets that hold a wanted rank are split evenly between their ends, and only the parts
-that hold the rank are ordered.
+``percentile`` keeps every distinct value of a group in one task's memory. Here distinct values
+are counted, combined before the shuffle, and put in order once, in range chunks. Running totals
+of the weights within a chunk, plus what earlier chunks hold of its first group, give each value
+the ranks it covers.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -15,12 +16,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandline.functions.text import not_nan
-from strandline.operators.joins import null_safe_join
+from strandline.operators.handover import CHUNK, POSITION, in_order
 
-BUCKETS_PER_OCTAVE = 1024
-#: A wanted bucket is split into so many parts, whatever it holds; one part is ordered.
-PARTS = 1 << 16
-_SHIFT = 2_000_000  # larger than 1024 buckets for each of the 1074 octaves below one
+#: Of a value with its weight ``w``: the first rank it covers, counted from 0, and the weight of
+#: its whole group.
+START, TOTAL = "__start", "__total"
 
 
 def value_counts(df: DataFrame, group: Sequence[str], x: str) -> DataFrame:
@@ -34,123 +34,92 @@ def value_counts(df: DataFrame, group: Sequence[str], x: str) -> DataFrame:
     )
 
 
-def value_bucket(x: str) -> Column:
-    """A bucket number that never decreases as ``x`` grows, about 0.07 % wide."""
-    magnitude = F.floor(F.log2(F.abs(F.col(x))) * BUCKETS_PER_OCTAVE) + _SHIFT
-    return (
-        F.when(F.col(x) > 0, magnitude).when(F.col(x) < 0, -magnitude).otherwise(F.lit(0))
-    ).cast("long")
-
-
-def _refined(rows: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
-    """Split each bucket evenly between its least and greatest value, and keep the parts that
-    hold a wanted rank. ``keys`` ends with the bucket, which becomes the part."""
-    span = rows.groupBy(*keys).agg(F.min(x).alias("__lo"), F.max(x).alias("__hi"))
-    place = F.try_divide(F.col(x) - F.col("__lo"), F.col("__hi") - F.col("__lo")) * PARTS
-    part = F.coalesce(F.floor(F.nanvl(place, F.lit(0.0))).cast("long"), F.lit(0))
-    split = null_safe_join(rows, span, keys).withColumn("__part", part).drop("__lo", "__hi")
-    by_part = [*keys, "__part"]
-    sums = split.groupBy(*by_part).agg(
-        F.sum("w").alias("__w"), *[F.first(c).alias(c) for c in ("__start", "__n", "__wanted")]
-    )
-    before = W.partitionBy(*keys).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
-    first = F.col("__start") + F.coalesce(F.sum("__w").over(before), F.lit(0))
-    held = sums.withColumn("__first", first).withColumn(
-        "__held",
-        F.filter(
-            "__wanted",
-            lambda t: (t["rank"] >= F.col("__first")) & (t["rank"] < F.col("__first") + F.col("__w")),
-        ),
-    )
-    kept = held.filter(F.size("__held") > 0).select(
-        *by_part, F.col("__first").alias("__start"), "__n", F.col("__held").alias("__wanted")
-    )
-    narrowed = null_safe_join(split.drop("__start", "__n", "__wanted"), kept, by_part)
-    bucket = keys[-1]
-    return narrowed.withColumn(bucket, F.struct(bucket, "__part")).drop("__part")
-
-
-def quantiles_of_counts(
-    counts: DataFrame,
-    group: Sequence[str],
-    x: str,
-    probs: Sequence[float],
-    names: Sequence[str],
-    n_name: str = "n",
-) -> DataFrame:
-    """Quantiles by linear interpolation at ``p * (n - 1)``, one row per group.
+def ranked_counts(counts: DataFrame, group: Sequence[str], x: str) -> DataFrame:
+    """(group, x, w, START, TOTAL) of :func:`value_counts`, from one copy in order.
 
-    ``counts`` comes from :func:`value_counts`. Every wanted quantile needs the values
-    at two neighbouring ranks. A group has at most a few thousand buckets per decade of
-    its range, whatever its row count.
+    Only the first and the last group of a range chunk can go on in other chunks. Their sums,
+    at most two rows a chunk, are all that is carried between chunks.
     """
     group = list(group)
-    bucketed = counts.withColumn("__bucket", value_bucket(x))
-    per_bucket = bucketed.groupBy(*group, "__bucket").agg(F.sum("w").alias("__w"))
-    by_group = W.partitionBy(*group) if group else W.partitionBy(F.lit(0))
-    spread = per_bucket.withColumns(
-        {
-            "__end": F.sum("__w").over(
-                by_group.orderBy("__bucket").rowsBetween(W.unboundedPreceding, W.currentRow)
-            ),
-            "__n": F.sum("__w").over(by_group),
-        }
-    ).withColumn("__start", F.col("__end") - F.col("__w"))
-
-    def rank(p: float, rounding) -> Column:
-        return rounding(F.lit(float(p)) * (F.col("__n") - 1)).cast("long")
-
-    wanted = F.array(
-        *[
-            F.struct(F.lit(i).alias("i"), F.lit(side).alias("side"), rank(p, fn).alias("rank"))
-            for i, p in enumerate(probs)
-            for side, fn in ((0, F.floor), (1, F.ceil))
-        ]
+    placed = in_order(counts, [F.col(c).asc_nulls_last() for c in [*group, x]])
+    in_chunk, in_part = W.partitionBy(CHUNK), W.partitionBy(CHUNK, *group)
+    parts = placed.groupBy(CHUNK, *group).agg(
+        F.sum("w").alias("__w"), F.min(POSITION).alias("__lo"), F.max(POSITION).alias("__hi")
     )
-    hits = (
-        spread.withColumn(
-            "__wanted",
-            F.filter(
-                wanted, lambda t: (t["rank"] >= F.col("__start")) & (t["rank"] < F.col("__end"))
-            ),
-        )
-        .filter(F.size("__wanted") > 0)
-        .select(*group, "__bucket", "__start", "__n", "__wanted")
+    at_end = (F.col("__lo") == F.min("__lo").over(in_chunk)) | (
+        F.col("__hi") == F.max("__hi").over(in_chunk)
     )
-
-    rows = _refined(null_safe_join(bucketed, hits, [*group, "__bucket"]), [*group, "__bucket"], x)
-    in_bucket = W.partitionBy(*group, "__bucket").orderBy(x)
-    located = (
-        rows.withColumn(
-            "__to",
-            F.col("__start")
-            + F.sum("w").over(in_bucket.rowsBetween(W.unboundedPreceding, W.currentRow)),
-        )
-        .withColumn("__from", F.col("__to") - F.col("w"))
-        .withColumn("__t", F.explode("__wanted"))
-        .filter(
-            (F.col("__t.rank") >= F.col("__from")) & (F.col("__t.rank") < F.col("__to"))
+    by_group = W.partitionBy(*group) if group else W.partitionBy(F.lit(0))
+    earlier = by_group.orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
+    carried = (
+        parts.withColumn("__at_end", at_end)
+        .filter("__at_end")
+        .select(
+            F.col(CHUNK).alias("__in"),
+            *[F.col(c).alias(f"__of_{c}") for c in group],
+            F.coalesce(F.sum("__w").over(earlier), F.lit(0)).alias("__before"),
+            F.sum("__w").over(by_group).alias("__whole"),
         )
     )
+    same = functools.reduce(
+        Column.__and__,
+        [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in group],
+        F.col(CHUNK) == F.col("__in"),
+    )
+    so_far = in_part.orderBy(POSITION).rowsBetween(W.unboundedPreceding, W.currentRow)
+    running = placed.withColumns(
+        {"__to": F.sum("w").over(so_far), "__here": F.sum("w").over(in_part)}
+    ).join(F.broadcast(carried), same, "left")
+    return running.select(
+        *group,
+        x,
+        "w",
+        (F.col("__to") - F.col("w") + F.coalesce("__before", F.lit(0))).alias(START),
+        F.coalesce("__whole", "__here").alias(TOTAL),
+    )
 
-    def at(i: int, side: int) -> Column:
-        return F.max(F.when((F.col("__t.i") == i) & (F.col("__t.side") == side), F.col(x)))
 
-    ends = located.groupBy(*group).agg(
-        F.max("__n").alias(n_name),
-        *[at(i, s).alias(f"__q{i}_{s}") for i in range(len(probs)) for s in (0, 1)],
-    )
+def _position(p: float) -> Column:
+    return F.lit(float(p)) * (F.col(TOTAL) - 1)
+
+
+def rank_values(x: str, probs: Sequence[float]) -> list[Column]:
+    """Aggregates over ranked counts: the values at the ranks next to each quantile."""
 
-    def interpolated(i: int, p: float) -> Column:
-        position = F.lit(float(p)) * (F.col(n_name) - 1)
+    def at(i: int, side: int, rank: Column) -> Column:
+        held = (rank >= F.col(START)) & (rank < F.col(START) + F.col("w"))
+        return F.max(F.when(held, F.col(x))).alias(f"__q{i}_{side}")
+
+    return [
+        at(i, side, rounding(_position(p)).cast("long"))
+        for i, p in enumerate(probs)
+        for side, rounding in ((0, F.floor), (1, F.ceil))
+    ]
+
+
+def interpolated(n: str, probs: Sequence[float], names: Sequence[str]) -> list[Column]:
+    """The quantiles from :func:`rank_values` and the group's weight ``n``, by linear
+    interpolation at ``p * (n - 1)``."""
+    out = []
+    for i, (p, name) in enumerate(zip(probs, names, strict=True)):
+        position = F.lit(float(p)) * (F.col(n) - 1)
         lo, hi = F.col(f"__q{i}_0"), F.col(f"__q{i}_1")
-        return lo + (hi - lo) * (position - F.floor(position))
+        out.append((lo + (hi - lo) * (position - F.floor(position))).alias(name))
+    return out
 
-    return ends.select(
-        *group,
-        n_name,
-        *[interpolated(i, p).alias(name) for i, (p, name) in enumerate(zip(probs, names, strict=True))],
-    )
+
+def quantiles_of_ranked(
+    ranked: DataFrame,
+    group: Sequence[str],
+    x: str,
+    probs: Sequence[float],
+    names: Sequence[str],
+    n_name: str = "n",
+) -> DataFrame:
+    """One row per group: its weight and its quantiles."""
+    ends = ranked.groupBy(*group).agg(F.sum("w").alias(n_name), *rank_values(x, probs))
+    known = ends.filter(F.col(n_name).isNotNull())  # without groups: an empty table has none
+    return known.select(*group, n_name, *interpolated(n_name, probs, names))
 
 
 def group_quantiles(
@@ -160,4 +129,5 @@ def group_quantiles(
     probs: Sequence[float],
     names: Sequence[str],
 ) -> DataFrame:
-    return quantiles_of_counts(value_counts(df, group, x), group, x, probs, names)
+    ranked = ranked_counts(value_counts(df, group, x), group, x)
+    return quantiles_of_ranked(ranked, group, x, probs, names)

@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strandline.operators.handover import CHUNK, POSITION, in_order
 from strandline.operators.joins import null_safe_join
-from strandline.session import settle
 
 
 def row_numbers(
@@ -28,18 +28,14 @@ def row_numbers(
     group's row count.
     """
     sort = [F.col(p).asc_nulls_last() for p in partition] + list(order)
-    placed = settle(
-        df.repartitionByRange(*sort)
-        .sortWithinPartitions(*sort)
-        .withColumns({"__chunk": F.spark_partition_id(), "__pos": F.monotonically_increasing_id()})
-    )
+    placed = in_order(df, sort)
 
     # At most (range chunks + groups) rows.
-    chunks = placed.groupBy(*partition, "__chunk").agg(
-        F.count(F.lit(1)).alias("__n"), F.min("__pos").alias("__first")
+    chunks = placed.groupBy(*partition, CHUNK).agg(
+        F.count(F.lit(1)).alias("__n"), F.min(POSITION).alias("__first")
     )
     by_group = W.partitionBy(*partition) if partition else W.partitionBy(F.lit(0))
-    before = by_group.orderBy("__chunk").rowsBetween(W.unboundedPreceding, -1)
+    before = by_group.orderBy(CHUNK).rowsBetween(W.unboundedPreceding, -1)
     offsets = chunks.withColumns(
         {
             "__before": F.coalesce(F.sum("__n").over(before), F.lit(0)),
@@ -50,8 +46,8 @@ def row_numbers(
         # One row per range chunk: bounded by the shuffle partition count.
         offsets = F.broadcast(offsets)
 
-    numbered = null_safe_join(placed, offsets, [*partition, "__chunk"])
-    number = F.col("__pos") - F.col("__first") + F.col("__before") + 1
+    numbered = null_safe_join(placed, offsets, [*partition, CHUNK])
+    number = F.col(POSITION) - F.col("__first") + F.col("__before") + 1
     extra = [F.col("__size").alias(size_name)] if size_name else []
     return numbered.select(*df.columns, number.alias(name), *extra)
 

@@ -11,49 +11,92 @@ from strandline.functions.classify import cap
 from strandline.functions.text import not_nan
 from strandline.model import CLASS_LABELS_INCLUSIVE
 from strandline.operators.joins import null_safe_join
-from strandline.operators.quantiles import quantiles_of_counts, value_counts
+from strandline.operators.quantiles import quantiles_of_ranked, ranked_counts, value_counts
 from strandline.operators.ranking import rank_levels, row_numbers
 from strandline.operators.reshape import unpivot
 
 VALUE = "ENTEROCOCCI"
 
 
-def class_proportions(
-    df: DataFrame, cls: str = "CLASS", levels: Sequence[str] = CLASS_LABELS_INCLUSIVE
+#: Column of a class table that counts samples without a class.
+UNKNOWN = "__unknown"
+
+
+def _class_counts(cls: str, levels: Sequence[str]) -> list[Column]:
+    return [
+        *[F.count_if(F.col(cls) == v).alias(v) for v in levels],
+        F.count_if(F.col(cls).isNull()).alias(UNKNOWN),
+        F.count(F.lit(1)).alias("N_GROUP"),
+    ]
+
+
+def class_table(
+    df: DataFrame,
+    group: str | None = None,
+    cls: str = "CLASS",
+    levels: Sequence[str] = CLASS_LABELS_INCLUSIVE,
 ) -> DataFrame:
-    """Share of each declared class, empty ones included."""
-    counted = df.agg(*[F.count_if(F.col(cls) == v).alias(v) for v in levels])
-    long = unpivot(counted.withColumn("__all", _row_sum(levels)), ["__all"], levels, name="CLASS")
-    return long.select("CLASS", F.try_divide("VALUE", "__all").alias("FREQ"))
+    """One row per group, or one of all: a zero-filled count column per class, one of samples
+    without a class, and the number of all samples, N_GROUP."""
+    return df.groupBy(*([] if group is None else [group])).agg(*_class_counts(cls, levels))
 
 
-def class_proportions_above(
+def class_tables(
     df: DataFrame,
-    low: float,
+    groups: Sequence[str],
     cls: str = "CLASS",
-    x: str = VALUE,
     levels: Sequence[str] = CLASS_LABELS_INCLUSIVE,
 ) -> DataFrame:
-    """Class shares among samples above ``low``; classes that cannot occur are left out."""
-    return class_proportions(df.filter(not_nan(x) > low), cls, levels).filter(F.col("FREQ") > 0)
+    """The class tables by each of ``groups``, and of all samples, from one pass: GROUPED_BY
+    names the group, NULL for all."""
+    by = F.coalesce(*[F.when(F.grouping(g) == 0, g) for g in groups]).alias("GROUPED_BY")
+    sets = [*[[F.col(g)] for g in groups], []]
+    return df.groupingSets(sets, *groups).agg(by, *_class_counts(cls, levels))
 
 
-def _row_sum(cols: Sequence[str]) -> Column:
-    total = F.lit(0).cast("long")
-    for c in cols:
-        total = total + F.col(f"`{c}`")
-    return total
+def table_of(tables: DataFrame, group: str | None = None) -> DataFrame:
+    """One of :func:`class_tables`, as :func:`class_table` gives it."""
+    own = tables.filter(F.col("GROUPED_BY").eqNullSafe(F.lit(group)))
+    counts = tables.columns[tables.columns.index("GROUPED_BY") + 1 :]
+    return own.select(*([] if group is None else [group]), *counts)
 
 
-def class_table(
+def _by_class(wide: DataFrame, keys: Sequence[str], levels: Sequence[str], value: str) -> DataFrame:
+    """(keys, CLASS, value): a row per class, and one of CLASS NULL where samples lack one."""
+    long = unpivot(wide, keys, [*levels, UNKNOWN], name="CLASS", value=value)
+    known = F.when(F.col("CLASS") != UNKNOWN, F.col("CLASS"))
+    return long.filter((F.col("CLASS") != UNKNOWN) | (F.col(value) > 0)).withColumn("CLASS", known)
+
+
+def proportions(wide: DataFrame, levels: Sequence[str] = CLASS_LABELS_INCLUSIVE) -> DataFrame:
+    """Share of each declared class, empty ones included, and of samples without one."""
+    long = _by_class(wide, ["N_GROUP"], levels, "N")
+    return long.select("CLASS", F.try_divide("N", "N_GROUP").alias("FREQ"))
+
+
+def class_proportions(
+    df: DataFrame, cls: str = "CLASS", levels: Sequence[str] = CLASS_LABELS_INCLUSIVE
+) -> DataFrame:
+    return proportions(class_table(df, None, cls, levels), levels)
+
+
+def proportions_above(wide: DataFrame, levels: Sequence[str] = CLASS_LABELS_INCLUSIVE) -> DataFrame:
+    """Class shares among samples above the low limit, thus in any class but the lowest."""
+    above = wide.select(*[F.col(f"`{v}`") for v in levels[1:]])
+    total = sum((F.col(f"`{v}`") for v in levels[2:]), F.col(f"`{levels[1]}`"))
+    long = unpivot(above.withColumn("__all", total), ["__all"], levels[1:], name="CLASS", value="N")
+    return long.filter("N > 0").select("CLASS", F.try_divide("N", "__all").alias("FREQ"))
+
+
+def class_proportions_above(
     df: DataFrame,
-    group: str,
+    low: float,
     cls: str = "CLASS",
+    x: str = VALUE,
     levels: Sequence[str] = CLASS_LABELS_INCLUSIVE,
 ) -> DataFrame:
-    """One row per group: a zero-filled count column per class, and their sum N_GROUP."""
-    counted = df.groupBy(group).agg(*[F.count_if(F.col(cls) == v).alias(v) for v in levels])
-    return counted.withColumn("N_GROUP", _row_sum(levels))
+    """Class shares among samples above ``low``; classes that cannot occur are left out."""
+    return class_proportions(df.filter(not_nan(x) > low), cls, levels).filter(F.col("FREQ") > 0)
 
 
 def class_counts_present(
@@ -62,12 +105,13 @@ def class_counts_present(
     cls: str = "CLASS",
     levels: Sequence[str] = CLASS_LABELS_INCLUSIVE,
 ) -> DataFrame:
-    """(group, CLASS, N, N_GROUP, FRAC) of the classes a group has; FRAC is within the group.
+    """(group, CLASS, N, N_GROUP, FRAC) of the classes a group has, NULL among them; FRAC is
+    within the group.
 
     All from one row per group, so the samples are read once and no group is gathered.
     """
     wide = class_table(df, group, cls, levels)
-    long = unpivot(wide, [group, "N_GROUP"], levels, name="CLASS", value="N").filter(F.col("N") > 0)
+    long = _by_class(wide, [group, "N_GROUP"], levels, "N").filter(F.col("N") > 0)
     return long.withColumn("FRAC", F.try_divide("N", "N_GROUP"))
 
 
@@ -75,59 +119,88 @@ def _shares(wide: DataFrame, levels: Sequence[str]) -> DataFrame:
     return wide.withColumns({v: F.try_divide(F.col(f"`{v}`"), F.col("N_GROUP")) for v in levels})
 
 
-def class_counts_filled(
-    df: DataFrame,
-    group: str,
-    cls: str = "CLASS",
-    levels: Sequence[str] = CLASS_LABELS_INCLUSIVE,
+def counts_filled(
+    wide: DataFrame, group: str, levels: Sequence[str] = CLASS_LABELS_INCLUSIVE
 ) -> DataFrame:
     """Zero-filled counts per group and class; FRAC is of all samples of all groups.
 
     Groups are ordered by size.
     """
-    ranked = rank_levels(class_table(df, group, cls, levels), group, "N_GROUP", name="group_rank")
+    ranked = rank_levels(wide, group, "N_GROUP", name="group_rank")
     everything = ranked.agg(F.sum("N_GROUP")).scalar()
     long = unpivot(ranked, [group, "N_GROUP", "group_rank"], levels, name="CLASS", value="N")
     return long.withColumn("FRAC", F.try_divide(F.col("N"), everything))
 
 
-def class_shares_filled(
+def class_counts_filled(
     df: DataFrame,
     group: str,
-    order_class: str = ">104",
     cls: str = "CLASS",
     levels: Sequence[str] = CLASS_LABELS_INCLUSIVE,
+) -> DataFrame:
+    return counts_filled(class_table(df, group, cls, levels), group, levels)
+
+
+def shares_filled(
+    wide: DataFrame,
+    group: str,
+    order_class: str = ">104",
+    levels: Sequence[str] = CLASS_LABELS_INCLUSIVE,
 ) -> DataFrame:
     """Zero-filled class shares within each group, groups ordered by one class's share."""
-    shares = _shares(class_table(df, group, cls, levels), levels)
+    shares = _shares(wide, levels)
     ranked = rank_levels(shares, group, F.col(f"`{order_class}`"), name="group_rank")
     return unpivot(ranked, [group, "group_rank"], levels, name="CLASS", value="FRAC")
 
 
-def class_share_of(
+def class_shares_filled(
     df: DataFrame,
     group: str,
-    which: str = "70-104",
+    order_class: str = ">104",
     cls: str = "CLASS",
     levels: Sequence[str] = CLASS_LABELS_INCLUSIVE,
+) -> DataFrame:
+    return shares_filled(class_table(df, group, cls, levels), group, order_class, levels)
+
+
+def share_of(
+    wide: DataFrame,
+    group: str,
+    which: str = "70-104",
+    levels: Sequence[str] = CLASS_LABELS_INCLUSIVE,
 ) -> DataFrame:
     """One class's share per group, zero where absent, groups ordered by it."""
-    shares = _shares(class_table(df, group, cls, levels), levels)
+    shares = _shares(wide, levels)
     one = shares.select(group, F.lit(which).alias("CLASS"), F.col(f"`{which}`").alias("FRAC"))
     return rank_levels(one, group, "FRAC", name="group_rank")
 
 
+def class_share_of(
+    df: DataFrame,
+    group: str,
+    which: str = "70-104",
+    cls: str = "CLASS",
+    levels: Sequence[str] = CLASS_LABELS_INCLUSIVE,
+) -> DataFrame:
+    return share_of(class_table(df, group, cls, levels), group, which, levels)
+
+
 def share_cdf(
     df: DataFrame,
     group: str,
     cls: str = "CLASS",
     levels: Sequence[str] = CLASS_LABELS_INCLUSIVE,
+) -> DataFrame:
+    return cdf_of_shares(class_table(df, group, cls, levels), group, levels)
+
+
+def cdf_of_shares(
+    wide: DataFrame, group: str, levels: Sequence[str] = CLASS_LABELS_INCLUSIVE
 ) -> DataFrame:
     """Empirical distribution over groups of each class's share.
 
     A group without samples of a class takes no part in that class's curve.
     """
-    wide = class_table(df, group, cls, levels)
     long = unpivot(wide, [group, "N_GROUP"], levels, name="CLASS", value="N").filter("N > 0")
     shares = long.select(group, "CLASS", "N", F.try_divide("N", "N_GROUP").alias("FRAC"))
     placed = row_numbers(
@@ -201,11 +274,13 @@ def _box_parts(df: DataFrame, group: Sequence[str], x: str, log10: bool) -> Data
     """Distinct values with counts, next to their group's quartiles."""
     if log10:
         df = df.filter(F.col(x) > 0).withColumn(x, F.log10(x))
-    counts = value_counts(df, group, x)
-    quartiles = quantiles_of_counts(counts, group, x, (0.25, 0.5, 0.75), ("q1", "median", "q3"))
+    counts = ranked_counts(value_counts(df, group, x), group, x)
+    quartiles = quantiles_of_ranked(counts, group, x, (0.25, 0.5, 0.75), ("q1", "median", "q3"))
     reach = (F.col("q3") - F.col("q1")) * 1.5
     inside = F.col(x).between(F.col("q1") - reach, F.col("q3") + reach)
-    return null_safe_join(counts, quartiles, group).withColumn("__inside", inside)
+    return null_safe_join(counts.select(*group, x, "w"), quartiles.drop("n"), group).withColumn(
+        "__inside", inside
+    )
 
 
 def box_stats(
@@ -226,7 +301,6 @@ def box_stats(
         *[F.max(c).alias(c) for c in ("q1", "median", "q3")],
         F.min(end).alias("whisker_lo"),
         F.max(end).alias("whisker_hi"),
-        # From the counts, so that all parts of the plan read the same shuffled table.
         F.sum("w").alias("n"),
     )
     return stats if levels is None else _with_all_levels(stats, group, levels)

@@ -15,7 +15,12 @@ from strandline.functions.classify import above, add_flags, routine
 from strandline.functions.text import not_nan
 from strandline.model import SAMPLE_TYPES, Limits
 from strandline.operators.joins import null_safe_join
-from strandline.operators.quantiles import quantiles_of_counts, value_counts
+from strandline.operators.quantiles import (
+    interpolated,
+    rank_values,
+    ranked_counts,
+    value_counts,
+)
 from strandline.operators.ranking import rank_by, rank_levels
 from strandline.operators.reshape import unpivot
 
@@ -171,10 +176,10 @@ def site_statistics(
 ) -> DataFrame:
     """Per site, over all sample types: count, shares, median and geometric mean.
 
-    Everything comes from the site's distinct values with their counts. The middle share
+    Everything comes from one pass over the site's distinct values with counts and ranks. The middle share
     excludes both limits. The geometric mean is 0 with a zero and NULL with a negative.
     """
-    counts = value_counts(df, [site], x)
+    counts = ranked_counts(value_counts(df, [site], x), [site], x)
     value, weight = F.col(x), F.col("w")
 
     def share(condition: Column) -> Column:
@@ -191,7 +196,8 @@ def site_statistics(
         share(value > limits.low).alias("FRAC_GT_BAV"),
         share((value > limits.low) & (value < limits.high)).alias("FRAC_BAV_SSM"),
         geomean.alias("GEOMEAN"),
+        *rank_values(x, [0.5]),
     )
-    medians = quantiles_of_counts(counts, [site], x, [0.5], ["MEDIAN"]).drop("n")
-    return null_safe_join(stats, medians, [site])
+    shown = [site, "COUNT", "FRAC_GT_SSM", "FRAC_GT_BAV", "FRAC_BAV_SSM", "GEOMEAN"]
+    return stats.select(*shown, *interpolated("COUNT", [0.5], ["MEDIAN"]))
 

@@ -14,6 +14,7 @@ from strandline.model import (
     WEEKDAYS,
     Limits,
 )
+from strandline.operators.handover import written_once
 from strandline.operators.reshape import record_as_rows
 
 SITE = "SAMPLE_POINT_NAME"
@@ -60,20 +61,34 @@ def calendar_full(
 ) -> DataFrame:
     """All cells, and an empty one for each in-season week and weekday a site and year lacks.
 
-    The cells themselves are not shuffled: a site and year only names the places it has, at
-    most the season's, and the missing ones are added.
+    The cells are written once and read twice, so that what they come from is read once. They
+    are not shuffled: a site and year only marks the places it has in a bitmap, which combines
+    before the shuffle, and the places not marked are added.
     """
+    cells = written_once(cells)
+    places = [(w, d) for w in range(weeks[0], weeks[1] + 1) for d in weekdays]
     grid = F.array(
-        *[
-            F.struct(F.lit(w).alias("WEEK"), F.lit(d).alias("WEEKDAY"))
-            for w in range(weeks[0], weeks[1] + 1)
-            for d in weekdays
-        ]
+        *[F.struct(F.lit(w).alias("WEEK"), F.lit(d).alias("WEEKDAY")) for w, d in places]
     )
-    season = F.col("WEEK").between(*weeks) & F.col("WEEKDAY").isin(*weekdays)
-    place = F.struct(F.col("WEEK").cast("int").alias("WEEK"), "WEEKDAY")
-    had = cells.groupBy(site, "YEAR").agg(F.collect_set(F.when(season, place)).alias("had"))
-    missing = had.select(site, "YEAR", F.inline(F.array_except(grid, "had")))
+    day = F.array_position(F.array(*[F.lit(d) for d in weekdays]), F.col("WEEKDAY"))
+    season = F.col("WEEK").between(*weeks) & (day > 0)
+    place = ((F.col("WEEK") - weeks[0]) * len(weekdays) + day - 1).cast("int")
+    bit = F.expr("shiftleft(1L, place % 63)")
+    marks = [
+        F.coalesce(F.bit_or(F.when(F.floor(F.col("place") / 63) == k, bit)), F.lit(0)).alias(f"m{k}")
+        for k in range(-(-len(places) // 63))
+    ]
+    had = (
+        cells.select(site, "YEAR", F.when(season, place).alias("place"))
+        .groupBy(site, "YEAR")
+        .agg(*marks)
+        .withColumn("marks", F.array(*[f"m{k}" for k in range(len(marks))]))
+    )
+    unmarked = F.filter(
+        grid,
+        lambda _, i: F.getbit(F.get("marks", F.floor(i / 63).cast("int")), i % 63) == 0,
+    )
+    missing = had.select(site, "YEAR", F.inline(unmarked))
     return cells.unionByName(missing, allowMissingColumns=True)
 
 

@@ -18,9 +18,11 @@ from strandline.model import (
     NUMERIC_NAMES,
     PAST_WEATHER_LEVELS,
     RAW_DROPPED,
+    SAMPLE_KEYS,
     TIDE_LEVELS,
     Limits,
 )
+from strandline.operators.handover import handovers
 from strandline.operators.ranking import rank_by
 from strandline.operators.reshape import unpivot
 from strandline.plans import checks
@@ -28,7 +30,13 @@ from strandline.plans import distribution as dist
 from strandline.plans import exceedance as ex
 from strandline.plans import explore as xp
 from strandline.plans import persistence as ps
-from strandline.plans.assembly import merged_samples, rejected_cells, with_result
+from strandline.plans.assembly import (
+    extract_categories,
+    extract_numeric,
+    merged_samples,
+    rejected_cells,
+    with_result,
+)
 from strandline.plans.flags import assign_flags
 from strandline.plans.ingest import typed_rows
 from strandline.plans.stations import (
@@ -71,7 +79,9 @@ def assemble(
     """Raw rows to the stages ``samples`` and ``stations``, also exported as CSV.
 
     ``rejects`` holds cells without a column, ``coverage_*`` counts all merged samples, also
-    those without a result. ``drop`` names raw columns, or their positions, to leave out; by
+    those without a result. ``ambiguous_stations`` holds points with more than one station row,
+    which would repeat their samples in tables by town or beach, ``unmatched`` the keys with
+    categorical data only: both are written before any job uses the stages. ``drop`` names raw columns, or their positions, to leave out; by
     default the 31st, or in a narrower file the one called like it.
     """
     raw = read_raw(spark, raw_path, fmt, timestamp_format=timestamp_format)
@@ -79,30 +89,41 @@ def assemble(
         wide = len(raw.columns) > REMARKS_AT
         drop = [REMARKS_AT] if wide else [c for c in RAW_DROPPED if c in raw.columns]
     typed = typed_rows(raw, drop)
-    write_stage(merged_samples(typed), f"{out}/merged", ["YEAR"])
+    with handovers(spark):
+        write_stage(merged_samples(typed), f"{out}/merged", ["YEAR"])
     merged = read_stage(spark, f"{out}/merged")
     write_stage(with_result(merged), f"{out}/samples", ["YEAR"])
     write_stage(build_stations(typed, zone), f"{out}/stations")
+    stations = read_stage(spark, f"{out}/stations")
+    coords = ("LATITUDE", "LONGITUDE")
+    write_stage(checks.ambiguous_stations(stations, coords=coords), f"{out}/ambiguous_stations")
+    keyed = extract_categories(typed).select(*SAMPLE_KEYS).distinct()
+    write_stage(checks.unmatched_keys(keyed, extract_numeric(typed)), f"{out}/unmatched")
     write_stage(rejected_cells(typed), f"{out}/rejects")
     for name, columns in (("categorical", CATEGORICAL_NAMES), ("numeric", NUMERIC_NAMES)):
         write_stage(ex.coverage_by_variable(merged, columns), f"{out}/coverage_{name}")
     write_csv(read_stage(spark, f"{out}/samples"), f"{out}/csv/samples")
-    write_csv(read_stage(spark, f"{out}/stations"), f"{out}/csv/stations")
+    write_csv(stations, f"{out}/csv/stations")
 
 
 def flag(spark: SparkSession, out: str, resamples_path: str, others_path: str) -> None:
-    """Samples and the two flag lists to the stage ``flagged``; inconsistent lists fail."""
+    """Samples and the two flag lists to the stage ``flagged``; inconsistent lists fail.
+
+    The stage is published after its flags are counted; a failed check leaves the former one.
+    """
     samples = read_stage(spark, f"{out}/samples")
     lists = {"RESAMPLE": read_flags(spark, resamples_path), "OTHER": read_flags(spark, others_path)}
     for name, flags in lists.items():
         checks.assert_empty(checks.dangling_flags(flags, samples), f"{name} ids without a sample")
         checks.assert_empty(checks.inconsistent_flags(flags, samples), f"{name} list against samples")
     flagged = assign_flags(samples, lists["RESAMPLE"], lists["OTHER"])
-    write_stage(flagged, f"{out}/flagged", ["YEAR"])
-    written = read_stage(spark, f"{out}/flagged")
-    for name, flags in lists.items():
-        checks.assert_empty(checks.flag_count_gap(flags, written, name), f"{name} count")
-    write_csv(written, f"{out}/csv/flagged")
+
+    def counts_agree(written: DataFrame) -> None:
+        for name, flags in lists.items():
+            checks.assert_empty(checks.flag_count_gap(flags, written, name), f"{name} count")
+
+    write_stage(flagged, f"{out}/flagged", ["YEAR"], check=counts_agree)
+    write_csv(read_stage(spark, f"{out}/flagged"), f"{out}/csv/flagged")
 
 
 def explorer_samples(flagged: DataFrame, limits: Limits = Limits()) -> DataFrame:
@@ -157,6 +178,11 @@ def report_tables(
     def statistics() -> DataFrame:
         return once("statistics", lambda: ex.site_statistics(flagged, limits=limits))
 
+    def classes(group: str | None = None) -> DataFrame:
+        """Class counts by beach, by site and of all, from one pass over the samples."""
+        tables = once("class_counts", lambda: dist.class_tables(routine, (BEACH, SITE)))
+        return dist.table_of(tables, group)
+
     def class_means() -> DataFrame:
         return once("class_means", lambda: ex.class_means_by_site(by_year()))
 
@@ -185,8 +211,8 @@ def report_tables(
         "rank_curve": lambda: dist.rank_curve(class_means()),
         "rank_curve_exceeding": lambda: dist.rank_curve(class_means(), drop=["N_CLEAN"]),
         "site_statistics": statistics,
-        "class_proportions": lambda: dist.class_proportions(routine),
-        "class_proportions_above": lambda: dist.class_proportions_above(routine, limits.low),
+        "class_proportions": lambda: dist.proportions(classes()),
+        "class_proportions_above": lambda: dist.proportions_above(classes()),
         "box_of_class_shares": lambda: dist.box_stats(
             unpivot(by_year(), [SITE, "YEAR"], ["F_CLEAN", "F_70", "F_104"], name="VAR"),
             [SITE, "VAR"],
@@ -221,10 +247,10 @@ def report_tables(
     }
     for group, slug in ((BEACH, "beach"), (SITE, "site")):
         tables |= {
-            f"class_counts_by_{slug}": lambda g=group: dist.class_counts_filled(routine, g),
-            f"class_shares_by_{slug}": lambda g=group: dist.class_shares_filled(routine, g),
-            f"share_between_by_{slug}": lambda g=group: dist.class_share_of(routine, g),
-            f"share_cdf_by_{slug}": lambda g=group: dist.share_cdf(routine, g),
+            f"class_counts_by_{slug}": lambda g=group: dist.counts_filled(classes(g), g),
+            f"class_shares_by_{slug}": lambda g=group: dist.shares_filled(classes(g), g),
+            f"share_between_by_{slug}": lambda g=group: dist.share_of(classes(g), g),
+            f"share_cdf_by_{slug}": lambda g=group: dist.cdf_of_shares(classes(g), g),
         }
     for covariate, levels in COVARIATE_LEVELS.items():
         tables[f"box_by_{covariate.lower()}"] = lambda c=covariate, v=levels: dist.box_stats(
@@ -266,5 +292,6 @@ def report(
     tables = report_tables(
         read_stage(spark, f"{out}/flagged"), read_stage(spark, f"{out}/stations"), limits, keep
     )
-    for name in names or tables:
-        tables[name]().write.mode("overwrite").parquet(f"{out}/reports/{name}")
+    with handovers(spark):
+        for name in names or tables:
+            write_stage(tables[name](), f"{out}/reports/{name}")

@@ -92,13 +92,17 @@ SAMPLE_TYPE_SQL = (
 
 
 def class_sql(lo: float, hi: float, lowest: str, x: str = "ENTEROCOCCI") -> str:
-    return f"CASE WHEN {x} > {hi:.0f} THEN '>104' WHEN {x} > {lo:.0f} THEN '70-104' ELSE '{lowest}' END"
+    known = f"{x} IS NULL OR isnan({x}) THEN NULL"
+    return (
+        f"CASE WHEN {known} WHEN {x} > {hi:.0f} THEN '>104' WHEN {x} > {lo:.0f} THEN '70-104' "
+        f"ELSE '{lowest}' END"
+    )
 
 
 def _decorated_sql(name: str, source: str, lo: float, hi: float) -> str:
     return f"""{name} AS (SELECT *,
-  CAST(ENTEROCOCCI > {hi:.0f} AS INTEGER) AS GT_104,
-  CAST(ENTEROCOCCI > {lo:.0f} AS INTEGER) AS GT_70,
+  CASE WHEN NOT isnan(ENTEROCOCCI) THEN CAST(ENTEROCOCCI > {hi:.0f} AS INTEGER) END AS GT_104,
+  CASE WHEN NOT isnan(ENTEROCOCCI) THEN CAST(ENTEROCOCCI > {lo:.0f} AS INTEGER) END AS GT_70,
   {class_sql(lo, hi, '<=70')} AS CLASS,
   {SAMPLE_TYPE_SQL} AS SAMPLE_TYPE,
   NOT RESAMPLE AND NOT OTHER AS routine

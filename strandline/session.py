@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def get_spark(app: str = "strandline", master: str | None = None, **conf: str) -> SparkSession:
@@ -48,9 +48,3 @@ def shared_dir(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="strandline-"))
     return context.getCheckpointDir()
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder once, and continue from the written copy."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()

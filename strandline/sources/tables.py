@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -96,16 +97,47 @@ def write_stage(
     df: DataFrame,
     path: str,
     partition_by: Sequence[str] = (),
-    mode: str = "overwrite",
+    check: Callable[[DataFrame], None] | None = None,
 ) -> None:
-    """A stage hand-over table; the flagged samples are partitioned by YEAR.
+    """A stage hand-over table in place of an earlier one; flagged samples go by YEAR.
 
     Rows are spread over (partition columns, and within them evenly) before the write,
     so that a heavy year does not become one task and a task does not open every year.
+
+    The rows are written to a fresh folder, which ``check`` may read, and only then take the
+    place of the old stage. If the write or the check fails the old stage stays as it was.
     """
     if partition_by:
         df = df.hint("rebalance", *partition_by)
-    df.write.mode(mode).partitionBy(*partition_by).parquet(path)
+    spark, path = df.sparkSession, path.rstrip("/")
+    fresh = f"{path}.new-{uuid4().hex}"
+    try:
+        df.write.partitionBy(*partition_by).parquet(fresh)
+        if check is not None:
+            check(read_stage(spark, fresh))
+        _publish(spark, fresh, path)
+    finally:
+        _folder(spark, fresh)[0].delete(_folder(spark, fresh)[1], True)
+
+
+def _folder(spark: SparkSession, path: str) -> tuple:
+    """The file system of a folder, and the folder as it knows it."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), found
+
+
+def _publish(spark: SparkSession, fresh: str, path: str) -> None:
+    fs, there = _folder(spark, path)
+    aside = _folder(spark, f"{path}.old-{uuid4().hex}")[1]
+    had = fs.exists(there)
+    if had and not fs.rename(there, aside):
+        raise OSError(f"cannot move {path} aside")
+    if not fs.rename(_folder(spark, fresh)[1], there):
+        if had:
+            fs.rename(aside, there)
+        raise OSError(f"cannot publish {path}")
+    if had:
+        fs.delete(aside, True)
 
 
 def read_stage(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -10,7 +12,8 @@ from strandline.plans import jobs
 from strandline.plans.checks import CheckFailed
 from strandline.model import RAW_COLUMNS
 from strandline.queries import bindings as b
-from strandline.sources.tables import read_flags, read_raw, read_stage, write_csv
+from strandline.sources.tables import read_flags, read_raw, read_stage, write_csv, write_stage
+from tests.conftest import plan_of
 
 
 @pytest.fixture(scope="module")
@@ -113,6 +116,53 @@ def test_every_report_table(spark, out):
     assert proportions.agg(F.sum("FREQ")).first()[0] == pytest.approx(1.0)
 
 
+def test_failed_count_leaves_the_former_stage(spark, out, monkeypatch):
+    former = sorted(read_stage(spark, f"{out}/flagged").select("id", "RESAMPLE").collect())
+    wrong = lambda flags, written, name: spark.range(1)
+    monkeypatch.setattr(jobs.checks, "flag_count_gap", wrong)
+    with pytest.raises(CheckFailed, match="RESAMPLE count"):
+        jobs.flag(spark, out, f"{out}/others", f"{out}/resamples")
+    assert sorted(read_stage(spark, f"{out}/flagged").select("id", "RESAMPLE").collect()) == former
+    assert [x for x in os.listdir(out) if ".new-" in x or ".old-" in x] == []
+
+
+def test_failed_write_leaves_the_former_stage(spark, tmp_path):
+    path = str(tmp_path / "stage")
+    write_stage(spark.range(3), path)
+    with pytest.raises(PySparkException):
+        write_stage(spark.range(5).select(F.raise_error(F.lit("broken")).alias("id")), path)
+    assert read_stage(spark, path).count() == 3
+    write_stage(read_stage(spark, path).where("id > 0"), path)  # also from what it replaces
+    assert read_stage(spark, path).count() == 2 and os.listdir(tmp_path) == ["stage"]
+
+
+def test_class_tables_read_the_samples_once(spark, out, tmp_path):
+    kept = []
+
+    def keep(name, df):
+        kept.append(name)
+        write_stage(df, f"{tmp_path}/{name}")
+        return read_stage(spark, f"{tmp_path}/{name}")
+
+    tables = jobs.report_tables(
+        read_stage(spark, f"{out}/flagged"), read_stage(spark, f"{out}/stations"), keep=keep
+    )
+    names = [n for n in tables if n.startswith(("class_counts", "class_shares", "share_"))]
+    names += ["class_proportions", "class_proportions_above"]
+    assert len(names) == 10
+    for name in names:
+        assert f"{out}/flagged" not in plan_of(tables[name]())
+    assert kept == ["class_counts"]
+
+
+def test_ambiguous_stations_and_unmatched_keys(spark, out):
+    unmatched = read_stage(spark, f"{out}/unmatched")
+    keys = ["SAMPLE_POINT_NAME", "DEP_SAMPLE_ID", "SAMPLE_DATE"]
+    merged = read_stage(spark, f"{out}/merged")
+    assert unmatched.count() > 0 and unmatched.subtract(merged.select(keys)).count() == 0
+    assert "n" in read_stage(spark, f"{out}/ambiguous_stations").columns
+
+
 def test_inconsistent_lists_stop_the_job(spark, out, tmp_path):
     first = read_stage(spark, f"{out}/samples").select(F.min("id").alias("id"))
     bad = first.withColumn("stn", F.lit("nowhere"))

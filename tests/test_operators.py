@@ -98,19 +98,38 @@ def test_quantiles_equal_numpy(spark):
 
 
 def test_quantiles_of_values_that_share_a_bucket(spark):
-    # Distinct seconds of a day and a bit: all lie in one value bucket.
+    # Distinct seconds of a day and a bit: all lie in one slice of an octave.
     df = spark.range(100_000).select(F.lit("g").alias("g"), (F.col("id") * 0.5 + 1.7e9).alias("x"))
-    counts = quantiles.value_counts(df, ["g"], "x")
-    bucket = counts.withColumn("b", quantiles.value_bucket("x"))
-    assert bucket.select("b").distinct().count() == 1
-    hit = bucket.select("g", "b", "x", "w", F.lit(0).alias("__start"), F.lit(100_000).alias("__n"),
-                        F.expr("array(named_struct('i', 0, 'side', 0, 'rank', 49999L))").alias("__wanted"))
-    assert quantiles._refined(hit, ["g", "b"], "x").count() < 10
     got = group_quantiles(df, ["g"], "x", [0.1, 0.5, 0.99], ["a", "b", "c"]).first()
     values = np.arange(100_000) * 0.5 + 1.7e9
     assert [got.a, got.b, got.c] == pytest.approx(np.quantile(values, [0.1, 0.5, 0.99]), rel=1e-12)
 
 
+def test_ranks_over_chunks(spark):
+    """A group over many range chunks, groups within one, and NULL: ranks cover 0 .. n - 1."""
+    hot = spark.range(900).select(F.lit("m").alias("g"), (F.col("id") % 300).cast("double").alias("x"))
+    few = spark.createDataFrame(
+        [(g, float(k)) for g in ("a", "z", None) for k in range(7)], "g string, x double"
+    )
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        counts = quantiles.value_counts(hot.unionByName(few), ["g"], "x")
+        ranked = quantiles.ranked_counts(counts, ["g"], "x")
+        rows = ranked.collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for g, n in (("m", 900), ("a", 7), ("z", 7), (None, 7)):
+        own = sorted((r["__start"], r.w, r.x) for r in rows if r.g == g)
+        assert {r["__total"] for r in rows if r.g == g} == {n}
+        assert [s for s, _, _ in own] == [sum(w for _, w, _ in own[:k]) for k in range(len(own))]
+        assert [x for _, _, x in own] == sorted(x for _, _, x in own)
+    plan = plan_of(ranked, "simple").split("== Initial Plan ==")[-1]
+    assert "rangepartitioning(g" not in plan  # the ordered copy is read in place
+    assert plan.count("Exchange hashpartitioning") <= 1  # of two rows a chunk
+
+
 def test_quantiles_of_null_group_and_of_all(spark):
     df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 5.0)], "g string, x double")
     got = {r.g: r.m for r in group_quantiles(df, ["g"], "x", [0.5], ["m"]).collect()}
@@ -120,6 +139,12 @@ def test_quantiles_of_null_group_and_of_all(spark):
 # --- previous row ------------------------------------------------------------------------
 
 
+def test_previous_rows_are_shuffled_once(spark, visits):
+    plan = plan_of(with_previous(visits, ["s"], ["x"], "ts", "id"), "simple")
+    assert "Exchange rangepartitioning" not in plan  # done before the copy was written
+    assert "Exchange hashpartitioning" not in plan
+
+
 @pytest.fixture(scope="module")
 def visits(spark):
     rng = random.Random(11)

@@ -57,9 +57,7 @@ def main() -> None:
     samples = decorate(df)
     jobs = {
         "site_year": lambda: ex.class_counts_by_site_year(df),
-        "previous_window": lambda: ps.with_previous_sample(samples, grain="WHOLE"),
-        "previous_measured": lambda: ps.with_previous_sample(samples, max_rows=200_000),
-        "previous_day": lambda: ps.with_previous_sample(samples, grain="DAY"),
+        "previous_row": lambda: ps.with_previous_sample(samples),
         "site_statistics": lambda: ex.site_statistics(df),
         "percentile": lambda: df.groupBy("SAMPLE_POINT_NAME").agg(F.median("ENTEROCOCCI")),
         "box_stats": lambda: dist.box_stats(df, ["SAMPLE_POINT_NAME"], log10=True),
