@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -34,3 +34,14 @@ def positions(count: Column) -> Column:
 
 def gram_hash(words: Column, at: Column, size: int) -> Column:
     return F.xxhash64(*[F.get(words, at + k) for k in range(size)])
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before those that ``df`` has a column of."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name in taken:
+            name = "_" + name
+        taken.add(name)
+        out.append(name)
+    return out

@@ -18,7 +18,9 @@ from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from strandline.llm.arrays import free_names
 from strandline.llm.staging import staged, staging_dir
 
 BLANKS = " \t\n\x0b\x0c\r"
@@ -139,6 +141,8 @@ def drop_repeated_lines(
     other columns pass.
     """
     spark = docs.sparkSession
+    if not isinstance(docs.schema[id_col].dataType, T.NumericType):
+        raise TypeError(f"ids must be numbers, {id_col} is {docs.schema[id_col].dataType.simpleString()}")
     line = F.btrim(F.col("col"), F.lit(BLANKS))
     lines = staged(
         docs.where(F.col(id_col).isNotNull())
@@ -171,25 +175,24 @@ def drop_repeated_lines(
             .groupBy(*KEY)
             .agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc").alias("keep"))
         )
+    doc, row, gone, own = free_names(docs, "lost_doc", "lost_row", "lost_lines", "text_row")
     lost = (
         lines.join(runs.repeated(min_docs), KEY)
         .where(F.col("doc") != F.col("keep"))
-        .groupBy(F.col("doc").alias("__doc"), F.col("row").alias("__row"))
-        .agg(F.array_sort(F.collect_set("pos")).alias("__lost"))
+        .groupBy(F.col("doc").alias(doc), F.col("row").alias(row))
+        .agg(F.array_sort(F.collect_set("pos")).alias(gone))
     )
     text = F.col(text_col)
-    joined = docs.withColumn("__text_row", F.xxhash64(text_col)).join(
+    joined = docs.withColumn(own, F.xxhash64(text_col)).join(
         lost.hint("shuffle_hash"),
-        (F.col(id_col) == F.col("__doc")) & (F.col("__text_row") == F.col("__row")),
+        (F.col(id_col) == F.col(doc)) & (F.col(own) == F.col(row)),
         "left",
     )
-    kept = F.get(
-        F.transform(F.array(lines_of(text)), lambda w: without(w, F.col("__lost"))), 0
-    )
+    kept = F.get(F.transform(F.array(lines_of(text)), lambda w: without(w, F.col(gone))), 0)
     return joined.withColumns(
         {
             counts[0]: F.size(lines_of(text)).cast("long"),
-            counts[1]: F.coalesce(F.size("__lost"), F.lit(0)).cast("long"),
-            text_col: F.when(F.col("__lost").isNull(), text).otherwise(kept),
+            counts[1]: F.coalesce(F.size(gone), F.lit(0)).cast("long"),
+            text_col: F.when(F.col(gone).isNull(), text).otherwise(kept),
         }
-    ).drop("__doc", "__row", "__lost", "__text_row")
+    ).drop(doc, row, gone, own)

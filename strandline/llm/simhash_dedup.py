@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandline.llm.arrays import free_names
 from strandline.llm.components import components
 from strandline.llm.staging import staged
 
@@ -234,7 +235,7 @@ def links(nodes: DataFrame, radius: int = 2, bucket_rows: int = 32) -> DataFrame
     return paired.unionByName(starred)
 
 
-def near_duplicates(
+def grouped(
     docs: DataFrame,
     *,
     id_col: str = "doc_id",
@@ -243,13 +244,8 @@ def near_duplicates(
     shingle: int = 3,
     bucket_rows: int = 32,
 ) -> DataFrame:
-    """(doc_id, fingerprint, component_id) per row of ``docs``.
-
-    ``component_id`` is the least id that links reach, the row's own included. Texts without a
-    word (NULL, empty, blank) have fingerprint zero and are linked like any other. Rows with a
-    NULL id get the component of their fingerprint (NULL if no row in it has an id). Repeated
-    rows stay. Other columns are not read.
-    """
+    """(doc_id, fp, root, component_id) per row: ``root`` is the least fingerprint that links
+    reach, ``component_id`` the least id."""
     found = staged(fingerprints(docs, id_col=id_col, text_col=text_col, shingle=shingle))
     nodes = staged(found.groupBy("fp").agg(F.min("doc_id").alias("least")))
     labels = staged(components(links(nodes, radius, bucket_rows)))
@@ -257,20 +253,62 @@ def near_duplicates(
         "fp", F.coalesce("root", "fp").alias("root"), "least"
     )
     linked = members.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = members.join(linked, "root").select("fp", "component_id")
-    return found.join(of_fp, "fp").select(
+    of_fp = members.join(linked, "root").select("fp", "root", "component_id")
+    return found.join(of_fp, "fp").select("doc_id", "fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """(doc_id, fingerprint, component_id) per row of ``docs``; options as for ``grouped``.
+
+    ``component_id`` is the least id that links reach, the row's own included. Texts without a
+    word (NULL, empty, blank) have fingerprint zero and are linked like any other. Rows with a
+    NULL id get the component of their fingerprint (NULL if no row in it has an id). Repeated
+    rows stay. Other columns are not read.
+    """
+    return grouped(docs, **options).select(
         "doc_id",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",
     )
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each near-duplicate group: the least id. Rows without an
-    id stay; of rows that repeat an id one stays."""
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col)
-    kept = found.where(F.col("doc_id") == F.col("component_id")).select(
-        F.col("doc_id").alias("__kept")
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with one document of each near-duplicate group: the least id, and of rows that
+    repeat it one with the group's least fingerprint. So a row that repeats an id stays if its
+    text is a near copy of no other. Rows without an id stay. All columns pass. Further options
+    as for ``grouped``."""
+    found = staged(
+        grouped(docs, id_col=id_col, text_col=text_col, **options).where(F.col("doc_id").isNotNull())
+    )
+    kept = found.groupBy("root").agg(F.min(F.struct("doc_id", "fp")).alias("kept")).select("kept.*")
+    several = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    own, print_, other = free_names(docs, "kept_id", "fp", "kept_fp")
+    by_id = F.col(id_col) == F.col(own)
+    ids = lambda df: df.select(F.col("doc_id").alias(own)).distinct()
+    known = docs.where(F.col(id_col).isNotNull())
+    single = known.join(ids(several), by_id, "left_anti").join(ids(kept), by_id, "left_semi")
+    again = known.join(ids(several), by_id, "left_semi")
+    printed = with_fingerprints(again, print_, text_col=text_col, shingle=options.get("shingle", 3))
+    pairs = kept.select(F.col("doc_id").alias(own), F.col("fp").alias(other))
+    chosen = printed.dropDuplicates([id_col, print_]).join(
+        pairs, by_id & (F.col(print_) == F.col(other)), "left_semi"
     )
-    named = docs.join(kept.distinct(), F.col(id_col) == F.col("__kept"), "left_semi")
-    return named.dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
+    return single.unionByName(chosen.drop(print_)).unionByName(docs.where(F.col(id_col).isNull()))
+
+
+def with_fingerprints(
+    docs: DataFrame, name: str, *, text_col: str = "text", shingle: int = 3
+) -> DataFrame:
+    """``docs`` and the fingerprint of each row's text, as a signed long, in column ``name``."""
+    schema = T.StructType([*docs.schema.fields]).add(name, "long")
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at).cast(pa.binary()).to_pylist()
+            found = np.array([fingerprint(t or b"", shingle) for t in texts], np.uint64)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(found.view(np.int64))], names=schema.names
+            )
+
+    return docs.mapInArrow(run, schema)

@@ -93,3 +93,16 @@ def test_query_equals_its_sql(spark, small):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
     empty = hashlib.sha256(b"").hexdigest()
     assert all(r["kept_sha256"] != empty for r in got.to_pylist() if not r["n_dropped"] and texts[r["doc_id"]])
+
+
+def test_clashing_columns_and_text_ids(spark):
+    line = "a line that is long enough"
+    names = "doc_id long, text string, lost_doc string, lost_row string, lost_lines string, text_row string"
+    df = spark.createDataFrame([(k, line, "a", "b", "c", "d") for k in range(3)], names)
+    got = line_dedup.drop_repeated_lines(df)
+    assert got.columns == [*df.columns, "n_lines", "n_dropped"]
+    assert sorted(tuple(r) for r in got.collect()) == [
+        (k, line if k == 2 else "", "a", "b", "c", "d", 1, int(k < 2)) for k in range(3)
+    ]
+    with pytest.raises(TypeError, match="numbers"):
+        line_dedup.drop_repeated_lines(spark.createDataFrame([("x", line)], "doc_id string, text string"))

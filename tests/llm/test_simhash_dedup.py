@@ -133,6 +133,15 @@ def test_documents(rows):
     assert set(kept[0].asDict()) == set(df.columns)
 
 
+def test_repeated_ids_with_other_texts(rows):
+    other = "quite another text that no row is a near copy of"
+    data = [(1, "a b c d"), (1, other), (0, "a b c d"), (7, "seven w x y"), (7, "seven w x y"), (7, None), (3, "")]
+    kept = sd.keep_one(rows("doc_id long, text string, kept_id int, fp int", [(*r, 1, 2) for r in data]))
+    assert kept.columns == ["doc_id", "text", "kept_id", "fp"]
+    got = sorted((r.doc_id, r.text) for r in kept.collect())
+    assert got == [(0, "a b c d"), (1, other), (3, ""), (7, "seven w x y")]
+
+
 def test_empty_table(rows):
     assert sd.near_duplicates(rows(SCHEMA, [])).collect() == []
 
