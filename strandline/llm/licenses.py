@@ -3,15 +3,19 @@
 Every rolling k-word gram of a text is joined to its positions in the license templates. A hit
 at word p of the text and word t of a template votes for diagonal p - t. Votes are counted per
 diagonal; neighbouring diagonals, which an inserted or missing word separates, are merged into
-a span, and a span counts if its grams, compared word by word, cover enough of the template.
-Where spans overlap, those with the best cover stay. Exact phrases need all their grams on one
-diagonal. The templates are a fixed table, so its broadcast has a fixed size.
+a chain. From every hit of a chain a span is laid of up to twice the template's length, and it
+counts if its grams, compared word by word, cover enough of the template. Of a text's spans the
+best are taken as long as they do not overlap. Exact phrases need all their grams on one diagonal.
+The templates are a fixed table, so its broadcast has a fixed size.
 """
 
 from __future__ import annotations
 
+import bisect
+import re
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -109,6 +113,31 @@ def template_grams(spark: SparkSession, templates: tuple[Template, ...], k: int)
     )
 
 
+def _words(text: str) -> list[str]:
+    return re.sub(r"[^a-z0-9]+", " ", text.lower()).split()
+
+
+def _taken(spans: pd.DataFrame) -> pd.DataFrame:
+    """The spans of one text from the best down, by score, then grams. One that overlaps a taken
+    span is left, unless it is as good as all those."""
+    spans = spans.sort_values(
+        ["score", "grams", "start", "end", "template"], ascending=[False, False, True, True, True]
+    )
+    taken: list[tuple[int, int, tuple]] = []  # disjoint but for ties, in order of their starts
+    reach, rows = int((spans["end"] - spans["start"]).max()), []
+    for s in spans.itertuples(index=False):
+        rank = (s.score, s.grams)
+        at = bisect.bisect_left(taken, (s.end,))
+        clear = True
+        while clear and at and taken[at - 1][0] + reach > s.start:
+            at -= 1
+            clear = taken[at][1] <= s.start or taken[at][2] == rank
+        if clear:
+            bisect.insort(taken, (int(s.start), int(s.end), rank))
+            rows.append((s.row, s.label, False, int(s.start), float(s.score)))
+    return pd.DataFrame(rows, columns=["row", "label", "base", "start", "score"])
+
+
 def scan(
     docs: DataFrame,
     *,
@@ -151,50 +180,59 @@ def scan(
             F.monotonically_increasing_id().alias("row"), "doc_id", "found.*"
         )
     )
-    votes = (
+    met = staged(
         read.select("row", F.inline("hits"))
         .withColumn("h", F.xxhash64(*[F.get("gram", i) for i in range(k)]))
         .join(F.broadcast(grams), ["h", "gram"])
-        .groupBy("row", "template", (F.col("pos") - F.col("tpos")).alias("diagonal"))
+        .select("row", "template", "label", "exact", "grams", "pos", "tpos",
+                (F.col("pos") - F.col("tpos")).alias("diagonal"))
+    )
+    votes = (
+        met.where("exact")
+        .groupBy("row", "template", "diagonal")
         .agg(
             F.first("label").alias("label"),
-            F.first("exact").alias("exact"),
             F.first("grams").alias("grams"),
-            F.collect_set("tpos").alias("covered"),
+            F.count_distinct("tpos").alias("covered"),
             F.min("pos").alias("low"),
-            F.max("pos").alias("high"),
         )
     )
-    base = votes.where("exact AND size(covered) = grams").select(
+    base = votes.where("covered = grams").select(
         "row", "label", F.lit(True).alias("base"), F.col("low").alias("start"), F.lit(1.0).alias("score")
     )
     along = Window.partitionBy("row", "template").orderBy("diagonal")
     apart = F.col("diagonal") - F.lag("diagonal").over(along) > max_shift
-    spans = (
-        votes.where("NOT exact")
+    chained = (
+        met.where("NOT exact")
         .withColumn("apart", F.coalesce(apart, F.lit(False)).cast("int"))
-        .withColumn("span", F.sum("apart").over(along))
-        .groupBy("row", "template", "span")
-        .agg(
-            F.first("label").alias("label"),
-            F.size(F.array_distinct(F.flatten(F.collect_list("covered")))).alias("covered"),
-            F.first("grams").alias("grams"),
-            F.min("low").alias("start"),
-            (F.max("high") + k).alias("end"),
+        # Equal diagonals are one step: the default frame ends with the last of them.
+        .withColumn("chain", F.sum("apart").over(along))
+    )
+    longest = max(len(_words(t.text)) for t in templates)
+    ahead = (
+        Window.partitionBy("row", "template", "chain").orderBy("pos").rangeBetween(0, 2 * longest)
+    )
+    last = F.col("pos") + 2 * (F.col("grams") + k - 1) - k
+    near = F.filter("ahead", lambda x: x["pos"] <= F.col("last"))
+    spans = (
+        chained.withColumn("ahead", F.collect_set(F.struct("pos", "tpos")).over(ahead))
+        .withColumn("last", last)
+        .withColumn("near", near)
+        .select(
+            "row",
+            "template",
+            "label",
+            "grams",
+            F.col("pos").alias("start"),
+            (F.array_max(F.transform("near", lambda x: x["pos"])) + k).alias("end"),
+            F.size(F.array_distinct(F.transform("near", lambda x: x["tpos"]))).alias("covered"),
         )
+        .distinct()
         .withColumn("score", F.col("covered") / F.col("grams"))
         .where(F.col("score") >= cover)
-        .where(F.col("end") - F.col("start") <= 2 * (F.col("grams") + k - 1))
     )
-    ordered = Window.partitionBy("row").orderBy("start", "end", "template")
-    earlier = ordered.rowsBetween(Window.unboundedPreceding, -1)
-    fresh = F.coalesce(F.col("start") >= F.max("end").over(earlier), F.lit(False)).cast("int")
-    best = (
-        spans.withColumn("fresh", fresh)
-        .withColumn("overlap", F.sum("fresh").over(ordered))
-        .withColumn("best", F.max(F.struct("score", "grams")).over(Window.partitionBy("row", "overlap")))
-        .where(F.struct("score", "grams") == F.col("best"))
-        .select("row", "label", F.lit(False).alias("base"), F.col("start"), "score")
+    best = spans.groupBy("row").applyInPandas(
+        _taken, "row long, label string, base boolean, start int, score double"
     )
     place = F.when(F.col("base"), F.col("start").cast("long"))
     named = lambda c: F.array_join(F.array_sort(F.coalesce(c, F.array())), ",")

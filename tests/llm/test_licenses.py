@@ -29,6 +29,45 @@ def brute(text):
     return (len(words), len(places), *ends, ",".join(sorted(labels)))
 
 
+def brute_spans(text, k=3, cover=0.8, shift=3):
+    """Labels and score of the templates that are no exact phrases, by plain loops."""
+    words, spans = words_of(text), []
+    for number, t in enumerate(licenses.TEMPLATES):
+        own = words_of(t.text)
+        grams = [tuple(own[i : i + k]) for i in range(len(own) - k + 1)]
+        hits = [
+            (p - q, p, q)
+            for p in range(len(words) - k + 1)
+            for q, gram in enumerate(grams)
+            if not t.exact and tuple(words[p : p + k]) == gram
+        ]
+        chain, last, chains = [], None, []
+        for diagonal, p, q in sorted(hits):
+            if last is not None and diagonal - last > shift:
+                chains, chain = [*chains, chain], []
+            chain.append((p, q))
+            last = diagonal
+        for chain in [*chains, chain]:
+            for start in {p for p, _ in chain}:
+                inside = [(p, q) for p, q in chain if start <= p <= start + 2 * len(own) - k]
+                score = len({q for _, q in inside}) / len(grams)
+                if score >= cover:
+                    end = max(p for p, _ in inside) + k
+                    spans.append((-score, -len(grams), start, end, number))
+    taken = []
+    for s in sorted(set(spans)):
+        if all(s[3] <= x[2] or x[3] <= s[2] or x[:2] == s[:2] for x in taken):
+            taken.append(s)
+    return {licenses.TEMPLATES[s[4]].label for s in taken}, max((-s[0] for s in taken), default=0.0)
+
+
+def brute_all(text):
+    found = brute(text)
+    labels, score = brute_spans(text)
+    base = set(found[4].split(",")) - {""}
+    return (*found, ",".join(sorted(labels | base)), 1.0 if base else score)
+
+
 MIT, APACHE, BSD = (t.text for t in (licenses.TEMPLATES[3], licenses.TEMPLATES[4], licenses.TEMPLATES[5]))
 CASES = [
     (1, None, ""), (2, "", ""), (3, "ü", ""), (4, "The MIT-License the mit license!", "mit"),
@@ -43,6 +82,8 @@ CASES = [
     (14, " ".join(reversed(MIT.split())), ""), (15, "the mit license " * 20_000, "mit"),
     (16, "cc by nc by nc cc by ncs", "cc-by-nc"), (17, "THE MİT LICENSE the mıt license", ""),
     (18, "software without restriction " * 500, ""),
+    (19, "gnu general public " * 8 + "license version 2", "gpl-2"),
+    (20, BSD + " " + MIT + " and " + "in source and binary " * 30 + BSD, "bsd,mit"),
 ]
 
 
@@ -51,6 +92,9 @@ def test_base_and_labels(rows):
     got = sorted((tuple(r)[:6] + (r.labels,) for r in licenses.scan(df).collect()), key=repr)
     want = [(d, *brute(t), labels) for d, t, labels in CASES]
     assert got == sorted(want, key=repr)
+    whole = sorted(((*tuple(r)[:7], round(r.score, 9)) for r in licenses.scan(df).collect()), key=repr)
+    brutes = [(d, *brute_all(t)) for d, t, _ in CASES if d != 15]
+    assert [r for r in whole if r[0] != 15] == sorted(((*b[:7], round(b[7], 9)) for b in brutes), key=repr)
     scores = {r.doc_id: r.score for r in licenses.scan(df).collect()}
     assert scores[1] == 0 and scores[4] == 1 and 0.8 <= scores[7] < 1
 
@@ -66,5 +110,7 @@ def test_empty_table(rows):
 
 def test_query_against_brute_force(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").collect()
-    got = {r.doc_id: tuple(r)[1:6] for r in QUERIES["op5_license_scan"](spark, small).collect()}
-    assert got == {r.doc_id: brute(r.text) for r in docs}
+    found = QUERIES["op5_license_scan"](spark, small).collect()
+    got = {r.doc_id: (*tuple(r)[1:7], round(r.score, 9)) for r in found}
+    want = {r.doc_id: brute_all(r.text) for r in docs}
+    assert got == {d: (*w[:6], round(w[6], 9)) for d, w in want.items()}
