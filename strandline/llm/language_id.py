@@ -8,7 +8,9 @@ language is its share of n-grams in that filter, corrected for the filter's fals
 
 A filter holds the n-grams typical of its language: of the languages' relative frequencies, at
 least ``typical`` times the highest. The model is learned from a sample bounded by
-``texts_per_language``; what reaches the driver is bounded by ``grams_per_language``.
+``texts_per_language``; what reaches the driver is one row per language and ``MAX_GRAMS``
+n-grams at most. Of a language with few texts rare n-grams are kept as well, so that it is learned
+however small it is.
 """
 
 from __future__ import annotations
@@ -29,6 +31,10 @@ from strandline.llm.staging import staged
 SIZES = (3, 4)
 #: Languages in a mask.
 WORD = 64
+#: N-grams that a model holds in all; beyond 80 languages each has fewer than 50,000.
+MAX_GRAMS = 4_000_000
+#: A language's n-grams must occur once for so many that were read of it, and thrice at most.
+RARE_PER = 20_000
 #: Characters worked on at a time.
 BLOCK = 1 << 20
 #: Odd multipliers of the hashes.
@@ -194,7 +200,8 @@ def fit(
     typical: float = 0.2,
 ) -> Model:
     """Learn all languages of rows with a text, a language and an id that are not held out. About
-    ``texts_per_language`` whole texts of each language are read, chosen by a hash of the id."""
+    ``texts_per_language`` whole texts of each language, or all of a smaller one, are read, chosen
+    by a hash of the id."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     rows = rows.where(F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     rows = rows.where(~held_out(F.col("id")))
@@ -220,7 +227,12 @@ def fit(
                         )
 
     counts = sample.mapInArrow(run, schema).groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    counts = staged(counts.where("n >= 3"))
+    counts = staged(counts)
+    read = {r["lang"]: float(r["n"]) for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    # N-grams met once or twice are left out where a language's texts are many enough.
+    rare = F.least(F.lit(3), F.ceil(_by_language(read) / F.lit(RARE_PER)))
+    counts = counts.where(F.col("n") >= rare)
+    most = max(1, min(grams_per_language, MAX_GRAMS // len(languages)))
     totals = {r["lang"]: float(r["n"]) for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     shares = counts.withColumn("share", F.col("n") / _by_language(totals))
     highest = shares.groupBy("code").agg(F.max("share").alias("highest"))
@@ -228,9 +240,9 @@ def fit(
         shares.join(highest, "code")
         .where(F.col("share") >= typical * F.col("highest"))
         .withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code")))
-        .where(F.col("rank") <= grams_per_language)
+        .where(F.col("rank") <= most)
     )
-    table = ranked.select("lang", "code").toArrow()  # bounded by languages x grams_per_language
+    table = ranked.select("lang", "code").toArrow()  # at most MAX_GRAMS rows
     which = pc.index_in(table.column(0), pa.array(languages, pa.string())).to_numpy().astype(np.int64)
     codes = table.column(1).to_numpy().astype(np.int64).view(np.uint64)
     masks = np.uint64(1) << (which % WORD).astype(np.uint64)

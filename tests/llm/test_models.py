@@ -194,3 +194,27 @@ def test_more_languages_than_bits_of_a_mask(spark):
     truth = {d: lang for d, _, lang, *_ in data}
     got = li.predict(docs, model).collect()
     assert len(got) == len(data) and all(r.lang_pred == truth[r.doc_id] for r in got)
+
+
+def test_small_language_is_learned(spark):
+    """One or two texts beside many: their n-grams are met once, and still make a filter."""
+    russian = ["собака идёт домой по улице", "кошка спит на тёплой крыше дома"]
+    data = [(3 * i, f"the dog walks home along the street {i} and sleeps", "en", None, "h", "s", "y") for i in range(60)]
+    ids = [i for i in range(1000, 1100) if remainder(i) != 1][:2]
+    data += [(d, t, "ru", None, "h", "s", "y") for d, t in zip(ids, russian, strict=True)]
+    docs = spark.createDataFrame(data, DOCS)
+    model = li.fit(docs)
+    assert model.languages == ["en", "ru"] and model.density()[1] > 0
+    got = {r.doc_id: r for r in li.predict(docs, model).collect()}
+    assert all(got[d].lang_pred == "ru" and got[d].score > 0.5 for d in ids)
+    assert sum(r.lang_pred == "en" for r in got.values()) == 60
+
+
+def test_model_size_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(li, "MAX_GRAMS", 100)
+    data = [(3 * i, f"some text {i} of a language", f"l{i % 4}", None, "h", "s", "y") for i in range(40)]
+    calls = []
+    build = li.build_model
+    monkeypatch.setattr(li, "build_model", lambda langs, codes, *a, **k: calls.append(len(codes)) or build(langs, codes, *a, **k))
+    li.fit(spark.createDataFrame(data, DOCS))
+    assert calls and calls[0] <= 100
