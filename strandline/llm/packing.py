@@ -50,7 +50,8 @@ class WordIds(dict):
         super().__init__()
         self.marks = functools.lru_cache(maxsize=4096)(self.text)
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True  # their strings in a text are plain text
+        #: Strings in a text that the tokenizer reads as one token of their own.
+        self._special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
 
     def text(self, s: str) -> bytes:
         found = self._tokenizer.encode_batch_fast([s], add_special_tokens=False)[0]
@@ -68,8 +69,9 @@ class WordIds(dict):
 
     def document(self, s: str) -> bytes:
         """The ids of a whole text. A blank between two printing characters always starts a
-        token, so such texts are looked up word by word."""
-        if touching(s):
+        token, so such texts are looked up word by word. Special strings may hold a blank or
+        reach over one, so texts with one are encoded whole."""
+        if touching(s) or any(x in s for x in self._special):
             return self.text(s)
         first, *rest = s.split(" ")
         if len(self) > self.LIMIT:

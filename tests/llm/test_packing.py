@@ -23,9 +23,7 @@ TEXTS = [
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    found = Tokenizer.from_file(PATH)
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(PATH)
 
 
 def ids_of(tokenizer, text):
@@ -34,7 +32,8 @@ def ids_of(tokenizer, text):
 
 def test_ids_equal_the_tokenizer(spark, small, tokenizer):
     encode = packing.word_ids(PATH).document
-    texts = [t for _, t in TEXTS if t]
+    texts = [t for _, t in TEXTS if t] + ["a <|endoftext|> b", "<|endoftext|><|endoftext|>x", "y<|endoftext|>."]
+    assert tokenizer.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
     texts += ["a word, word. é!! x'|| 9.. don't.) ½* ʰ. ... ,a ª. 漢。 漢,", "l'été, d'*** a1### ②! ǅ?"]
     texts += [r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
     for text in texts:

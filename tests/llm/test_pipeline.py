@@ -76,7 +76,6 @@ def test_benchmark(spark, small, steps):
 
 def test_packing(spark, small, steps):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     docs, pieces, filled = as_rows(steps[4][0]), defaultdict(list), defaultdict(int)
     for r in steps[4][1].collect():
         pieces[r.doc_id].append(r)
