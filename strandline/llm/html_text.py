@@ -3,10 +3,11 @@
 A page is cut into blocks at block-level tags; inline markup, comments, scripts and styles go.
 Pass one labels blocks from their stop-word density, length and link density. Blocks inside
 elements that by tag, role or class are page furniture (menus, footers, adverts, forms, reader
-comments) are boilerplate; blocks of a marked article are held to the link rule only. Short
-blocks without evidence stay open. Pass two gives an open block the label of its nearest decided
+comments) are boilerplate. Inside a marked article the limits are lower, and a block below them
+stays open. Short blocks stay open everywhere. Pass two gives an open block the label of its nearest decided
 neighbour on either side: the deeper common container, then fewer blocks away, then the one that
-follows. Furniture is no neighbour: it says nothing about the text around it.
+follows. Furniture is no neighbour: it says nothing about the text around it. Open blocks of an
+article look for neighbours within articles only, and stay without any.
 """
 
 from __future__ import annotations
@@ -87,6 +88,8 @@ class Rules:
     long: int = 200
     stop_low: float = 0.08
     stop_high: float = 0.2
+    #: What the lengths and stop-word densities are multiplied by in a marked article.
+    in_article: float = 0.5
 
 
 class _Element:
@@ -206,16 +209,25 @@ def first_labels(blocks: list[Block], rules: Rules) -> list[int | None]:
         links = b.linked / solid
         words = [w.lower() for w in _WORD.findall(b.text)]
         stops = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
+        size = len(b.text)
+
+        def dense(share: float, stops: float = stops, size: int = size) -> bool:
+            if size < share * rules.short:
+                return False
+            low = stops >= share * rules.stop_low and size >= share * rules.long
+            return low or stops >= share * rules.stop_high
+
         if b.furniture:
             label = BAD
         elif b.article:
             # A lone link may be a reference; a block of links in an article is open at most.
-            label = GOOD if links <= rules.max_links else OPEN
+            good = links <= rules.max_links and not b.heading and dense(rules.in_article)
+            label = GOOD if good else OPEN
         elif links > rules.max_links:
             label = BAD
-        elif len(b.text) < rules.short or b.heading:
+        elif size < rules.short or b.heading:
             label = OPEN
-        elif stops >= rules.stop_high or (stops >= rules.stop_low and len(b.text) >= rules.long):
+        elif dense(1.0):
             label = GOOD
         elif stops >= rules.stop_low:
             label = OPEN
@@ -235,15 +247,17 @@ def _shared(a: tuple[int, ...], b: tuple[int, ...]) -> int:
 
 
 def settled(blocks: list[Block], labels: list[int | None]) -> list[int]:
-    """Open blocks take the label of the nearest decided one; pages without any keep none."""
+    """Open blocks take the label of the nearest decided one; without any, those of an article
+    stay and others go."""
     n = len(blocks)
     before, after = [None] * n, [None] * n
     for order, nearest in ((range(n), before), (range(n - 1, -1, -1), after)):
-        last = None
+        last, last_article = None, None
         for i in order:
-            nearest[i] = last
+            nearest[i] = last_article if blocks[i].article else last
             if labels[i] is not OPEN and not blocks[i].furniture:
                 last = i
+                last_article = i if blocks[i].article else last_article
     out = []
     for i, label in enumerate(labels):
         if label is OPEN:
@@ -255,7 +269,7 @@ def settled(blocks: list[Block], labels: list[int | None]) -> list[int]:
             if blocks[i].heading and after[i] is not None and labels[after[i]] == GOOD:
                 label = GOOD
             else:
-                label = labels[max(near)[2]] if near else BAD
+                label = labels[max(near)[2]] if near else (GOOD if blocks[i].article else BAD)
         out.append(label)
     return out
 

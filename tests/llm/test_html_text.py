@@ -75,3 +75,32 @@ def test_query_gives_the_articles(spark, small):
         want = [" ".join(html.unescape(p).split()) for p in parts]
         assert r.text == "\n\n".join(p for p in want if p)
         assert r.n_chars == len(r.text)
+
+
+def test_rules_decide_inside_articles():
+    """The article tag lowers the limits; density, length and neighbours decide."""
+    code = "x1 q2 z3 " * 40
+    page = f"<main><p>{LONG}</p><p>ok</p><p>{code}</p></main><div><p>{code}</p><p>no</p></div>"
+    blocks = page_blocks(page)
+    labels = first_labels(blocks, Rules())
+    assert labels == [1, None, None, 0, None]
+    assert settled(blocks, labels) == [1, 1, 1, 0, 0]
+    assert main_text("<article><p>only this</p></article>") == "only this"
+    half = LONG[:40]
+    assert first_labels(page_blocks(f"<article>{half}</article>"), Rules()) == [1]
+    assert first_labels(page_blocks(f"<div>{half}</div>"), Rules()) == [None]
+
+
+def test_pages_without_article_marks(spark, small):
+    """Without the tag nearly all texts are the same: most blocks are decided by the rules."""
+    pages = [r.html for r in spark.read.parquet(f"{small.replace('0.001', '0.01')}/pages.parquet").collect()]
+    same, decided, total = 0, 0, 0
+    for page in pages:
+        bare = re.sub(r"</?(?:article|main)[^>]*>", "", page)
+        same += main_text(bare) == main_text(page)
+        blocks = page_blocks(page)
+        total += sum(not b.furniture for b in blocks)
+        labels = first_labels(blocks, Rules())
+        decided += sum(x is not None and not b.furniture for x, b in zip(labels, blocks, strict=True))
+    assert same >= 0.8 * len(pages)
+    assert 0.5 * total < decided < total  # the others follow their neighbours
