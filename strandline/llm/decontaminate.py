@@ -5,7 +5,7 @@ sum(w * min) / sum(w * max) over the multisets of five-word shingles, where a sh
 code points. Steps:
 
 1. Windows. Every window that reaches the similarity holds one of the item's seed shingles
-   (the heaviest ones, until their weight exceeds the share that may be missing), at any offset:
+   (those that fewest items have, until their weight exceeds the share that may be missing), at any offset:
    words may be inserted, left out or moved before it. So wherever a text meets a seed, all
    windows of the item's size that hold it are laid, each once. A bitmap of fixed size, whatever
    the benchmark's, thins the texts' shingles in the scan; the exact join follows.
@@ -24,7 +24,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.arrays import gram_hash, let, positions, split_words
+from strandline.llm.arrays import free_names, gram_hash, let, positions, split_words
 from strandline.llm.staging import staged
 
 SEPARATORS = r"[^\p{L}\p{N}]+"
@@ -93,12 +93,13 @@ def prepared_items(
 
 
 def seeds(items: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """(h, item_id, size): the heaviest shingles of every item, until those left out weigh less than
-    the similarity needs."""
-    ranked = F.reverse(
-        F.array_sort(
-            F.transform("parts", lambda s: F.struct(F.length(s).alias("n"), s.alias("s")))
-        )
+    """(h, item_id, size): shingles of every item, those that fewest items have first and among
+    these the heaviest, until what is left out weighs less than the similarity needs. A phrase that
+    many items share is thus a seed only of items that have little else."""
+    each = items.select("item_id", "size", "weight", F.explode("parts").alias("s"))
+    spread = each.groupBy("s").agg(F.count_distinct("item_id", "size").alias("n_items"))
+    ranked = F.array_sort(
+        F.collect_list(F.struct("n_items", (-F.length("s")).alias("lighter"), "s"))
     )
     start = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("taken"))
     spare = (1 - similarity + 1e-9) * F.col("weight")  # rounding may not end the list early
@@ -106,12 +107,14 @@ def seeds(items: DataFrame, similarity: float, shingle: int) -> DataFrame:
         "ranked",
         start,
         lambda acc, x: F.struct(
-            (acc["sum"] + x["n"]).alias("sum"),
+            (acc["sum"] - x["lighter"]).alias("sum"),
             (acc["taken"] + F.when(acc["sum"] <= spare, 1).otherwise(0)).alias("taken"),
         ),
     )
     return (
-        items.select("item_id", "size", "weight", ranked.alias("ranked"))
+        each.join(spread, "s")
+        .groupBy("item_id", "size", "weight")
+        .agg(ranked.alias("ranked"))
         .select("item_id", "size", F.inline(F.slice("ranked", 1, counted["taken"])))
         .select(
             let(F.split("s", " "), lambda w: gram_hash(w, F.lit(0), shingle)).alias("h"), "item_id", "size"
@@ -261,8 +264,9 @@ def matches(
 def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """``docs`` without the rows whose text matches an item; all columns pass."""
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
+    own, hashed = free_names(docs, "match_id", "match_hash")
     found = matches(docs, items, **options).select(
-        F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash")
+        F.col("doc_id").alias(own), F.col("text_hash").alias(hashed)
     )
-    same = F.col(id_col).eqNullSafe(F.col("__doc")) & (F.xxhash64(text_col) == F.col("__hash"))
+    same = F.col(id_col).eqNullSafe(F.col(own)) & (F.xxhash64(text_col) == F.col(hashed))
     return docs.join(found.distinct(), same, "left_anti")

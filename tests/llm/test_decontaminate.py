@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 from collections import Counter, defaultdict
 
 import pytest
@@ -163,3 +164,18 @@ def test_seeds_outweigh_what_may_be_missing(rows):
     for item in (words, words[::-1]):
         docs, items = [(1, " ".join(item[5:]), "", "")], [(1, " ".join(item), "")]
         assert [r.similarity for r in dc.matches(rows(DOCS, docs), rows(ITEMS, items)).collect()] == [0.8]
+
+
+def test_phrase_shared_by_many_items(rows):
+    """A phrase of all items is no seed of theirs: texts with it alone meet no item."""
+    phrase = "according to the latest report we know"
+    items = [(i, f"{phrase} " + " ".join(f"own{i}x{k}" for k in range(20))) for i in range(200)]
+    docs = [(d, " ".join(f"w{d}x{k}" for k in range(100)) + f" {phrase} ") for d in range(20)]
+    docs.append((99, "before it " + items[7][1] + " and after"))
+    df = rows("doc_id long, text string, match_id int, match_hash int", [(*r, 1, 1) for r in docs])
+    table = rows("item_id long, text string", items)
+    began = time.time()
+    found = [(r.doc_id, r.item_id) for r in dc.matches(df, table).collect()]
+    assert found == [(99, 7)] and time.time() - began < 30
+    left = dc.clean(df, table)
+    assert left.columns == df.columns and sorted(r.doc_id for r in left.collect()) == list(range(20))
