@@ -12,10 +12,12 @@ The templates are a fixed table, so its broadcast has a fixed size.
 from __future__ import annotations
 
 import bisect
+import itertools
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -117,25 +119,43 @@ def _words(text: str) -> list[str]:
     return re.sub(r"[^a-z0-9]+", " ", text.lower()).split()
 
 
-def _taken(spans: pd.DataFrame) -> pd.DataFrame:
+def taken(spans: list[dict]) -> list[dict]:
     """The spans of one text from the best down, by score, then grams. One that overlaps a taken
     span is left, unless it is as good as all those."""
-    spans = spans.sort_values(
-        ["score", "grams", "start", "end", "template"], ascending=[False, False, True, True, True]
+    order = sorted(
+        spans, key=lambda s: (-s["score"], -s["grams"], s["start"], s["end"], s["template"])
     )
-    taken: list[tuple[int, int, tuple]] = []  # disjoint but for ties, in order of their starts
-    reach, rows = int((spans["end"] - spans["start"]).max()), []
-    for s in spans.itertuples(index=False):
-        rank = (s.score, s.grams)
-        at = bisect.bisect_left(taken, (s.end,))
+    found: list[tuple[int, int, tuple]] = []  # disjoint but for ties, in order of their starts
+    reach, out = max(s["end"] - s["start"] for s in spans), []
+    for s in order:
+        rank = (s["score"], s["grams"])
+        at = bisect.bisect_left(found, (s["end"],))
         clear = True
-        while clear and at and taken[at - 1][0] + reach > s.start:
+        while clear and at and found[at - 1][0] + reach > s["start"]:
             at -= 1
-            clear = taken[at][1] <= s.start or taken[at][2] == rank
+            clear = found[at][1] <= s["start"] or found[at][2] == rank
         if clear:
-            bisect.insort(taken, (int(s.start), int(s.end), rank))
-            rows.append((s.row, s.label, False, int(s.start), float(s.score)))
-    return pd.DataFrame(rows, columns=["row", "label", "base", "start", "score"])
+            bisect.insort(found, (s["start"], s["end"], rank))
+            out.append(s)
+    return out
+
+
+def best_spans(spans: DataFrame) -> DataFrame:
+    """(row, label, base, start, score) of the spans that ``taken`` leaves of each text."""
+    names = ["row", "label", "base", "start", "score"]
+    types = [pa.int64(), pa.string(), pa.bool_(), pa.int32(), pa.float64()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for batch in batches for row in batch.to_pylist())
+        for _, own in itertools.groupby(rows, key=lambda r: r["row"]):
+            kept = taken(list(own))
+            columns = [[s.get(n, False) for s in kept] for n in names]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names
+            )
+
+    dealt = spans.repartition("row").sortWithinPartitions("row")
+    return dealt.mapInArrow(run, "row long, label string, base boolean, start int, score double")
 
 
 def scan(
@@ -231,9 +251,7 @@ def scan(
         .withColumn("score", F.col("covered") / F.col("grams"))
         .where(F.col("score") >= cover)
     )
-    best = spans.groupBy("row").applyInPandas(
-        _taken, "row long, label string, base boolean, start int, score double"
-    )
+    best = best_spans(spans)
     place = F.when(F.col("base"), F.col("start").cast("long"))
     named = lambda c: F.array_join(F.array_sort(F.coalesce(c, F.array())), ",")
     summary = (
