@@ -24,6 +24,7 @@ from strandline.llm import (
     simhash_dedup,
 )
 from strandline.llm.divergence_sql import divergence_sql
+from strandline.llm.prefix_trie_sql import prefix_trie_sql
 
 Job = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Job] = {}
@@ -146,7 +147,7 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bucket_digest.fingerprints(table(spark, sf_dir, "documents"))
 
 
-@query("op13_prefix_trie")
+@query("op13_prefix_trie", prefix_trie_sql())
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = prefix_trie.turn_ids(table(spark, sf_dir, "conversations"))
     return prefix_trie.prefix_trie(prefix_trie.with_shared_starts(turns))

@@ -9,9 +9,11 @@ import re
 import zlib
 from collections import defaultdict
 
+import check
 import pytest
 
 from strandline.llm import prefix_trie as pt
+from strandline.llm.queries import QUERIES, SQL
 
 SCHEMA = "conv_id long, turn long, role string, text string, node string, parent string, key int"
 
@@ -154,3 +156,12 @@ def test_paths_are_compressed():
 
 def test_empty_table(rows):
     assert got(table(rows, [])) == []
+
+
+@pytest.mark.parametrize("size", ["0.001", "0.01"])
+def test_query_matches_sql(spark, small, size):
+    sf = small.replace("0.001", size)
+    con = check.connect(sf)
+    got = sorted((tuple(r) for r in QUERIES["op13_prefix_trie"](spark, sf).collect()), key=repr)
+    want = con.execute(SQL["op13_prefix_trie"]).fetchall()
+    assert got == sorted(want, key=repr)
