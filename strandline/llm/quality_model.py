@@ -3,19 +3,20 @@
 A word has two tokens: its letters and digits in lower case, hashed into a bucket, and its shape
 (capitals, digits, marks), hashed too. Every bucket has a fixed sparse index vector of -1, 0
 and 1; a bucket's context vector is the sum of the index vectors of both tokens of the words
-beside it, over the training texts. A text is the mean and the spread of its words' context
+beside it, over all texts. A text is the mean and the spread of its words' context
 vectors, with the share of words equal to their predecessor and the length. The network is one
 hidden layer of numpy. A temperature calibrates it: it is fitted on a fifth of the training
 texts, with a network trained on the others; the final network has all of them.
 
-All that is learned comes from at most about ``labelled_texts`` labelled texts, whole ones.
-Context sums are integers, so they do not depend on the order of rows.
+Context vectors come from every row; the network and the temperature from at most about
+``labelled_texts`` labelled texts, whole ones. Context sums are integers, so they do not depend
+on the order of rows.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,6 +30,9 @@ from strandline.llm.sampling import held_out, spread_sample
 WORDS, SHAPES, WIDTH = 1 << 13, 1 << 8, 32
 #: Words worked on at a time.
 BLOCK = 1 << 12
+#: Words whose contexts are summed at a time.
+JOINED = 1 << 15
+_GAP = np.array([-1])
 SEED = 20
 #: What a word's own vector counts for beside its shape's: words tell topics and languages apart
 #: first, which a small training set would otherwise mistake for quality.
@@ -78,17 +82,44 @@ def index_vectors() -> np.ndarray:
     return (set_ * rng.choice([-1, 1], (WORDS + SHAPES, WIDTH))).astype(np.int64)
 
 
-def context_sums(texts: list[str | None]) -> np.ndarray:
-    """The context vectors' sums over ``texts``."""
-    index, sums = index_vectors(), np.zeros((WORDS + SHAPES, WIDTH), np.int64)
+def context_sums(texts: Iterable[str | None], index: np.ndarray) -> np.ndarray:
+    """The context vectors' sums over ``texts``, for the index vectors ``index``."""
+    small, sums = index.astype(np.int8), np.zeros(index.shape, np.int64)
+    for codes in _joined(texts):
+        word, shape = codes // SHAPES, codes % SHAPES
+        own = small[word] + small[WORDS + shape]
+        real = codes >= 0
+        own[~real] = 0
+        beside = np.zeros_like(own)
+        beside[1:] = own[:-1]
+        beside[:-1] += own[1:]
+        beside = beside[real]
+        _add_by(sums[:WORDS], word[real], beside)
+        _add_by(sums[WORDS:], shape[real], beside)
+    return sums
+
+
+def _joined(texts: Iterable[str | None]) -> Iterator[np.ndarray]:
+    """The codes of many blocks in one array, -1 after each block, so that short texts do not
+    cost an array each."""
+    held, size = [], 0
     for text in texts:
         for codes in _codes.blocks(text):
-            word, shape = codes // SHAPES, WORDS + codes % SHAPES
-            own = index[word] + index[shape]
-            for tokens in (word, shape):
-                np.add.at(sums, tokens[1:], own[:-1])
-                np.add.at(sums, tokens[:-1], own[1:])
-    return sums
+            held += [codes, _GAP]
+            size += len(codes) + 1
+            if size >= JOINED:
+                yield np.concatenate(held)
+                held, size = [], 0
+    if held:
+        yield np.concatenate(held)
+
+
+def _add_by(sums: np.ndarray, buckets: np.ndarray, rows: np.ndarray) -> None:
+    """Add each of ``rows`` to its bucket's row of ``sums``."""
+    order = np.argsort(buckets.astype(np.int16), kind="stable")
+    ordered = buckets[order]
+    starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
+    sums[ordered[starts]] += np.add.reduceat(rows[order], starts, axis=0, dtype=np.int64)
 
 
 @dataclass(frozen=True)
@@ -182,9 +213,10 @@ def fit(
     labelled_texts: int = 6000,
     tasks: int = 6,
 ) -> Model | None:
-    """Learn from about ``labelled_texts`` labelled rows that are not held out, chosen by a hash
-    of the id. Labels are 0 or 1; an id labelled twice counts as the rounded mean. Without any
-    labelled text there is no model (None)."""
+    """Learn word vectors from all of ``docs`` and the network from about ``labelled_texts``
+    labelled rows that are not held out, chosen by a hash of the id. Labels are 0 or 1; an id
+    labelled twice counts as the rounded mean, and of an id with several texts the one of least
+    hash is learned from. Without any labelled text there is no model (None)."""
     marked = (
         labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y"))
         .where(F.col("id").isNotNull() & F.col("y").isNotNull() & ~held_out(F.col("id")))
@@ -194,17 +226,22 @@ def fit(
     count = marked.count()
     chosen = spread_sample(marked, F.col("id"), F.lit(labelled_texts / max(count, 1)))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    # The sample is bounded by labelled_texts, so its broadcast is, too.
-    sample = texts.join(F.broadcast(chosen), "id").repartition(tasks)
+    # The chosen ids are bounded by labelled_texts, so their broadcast is, too; with one text an
+    # id the sample is as well.
+    sample = (
+        texts.join(F.broadcast(chosen), "id")
+        .groupBy("id", "y")
+        .agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+        .repartition(tasks)
+    )
     names = [f"v{j}" for j in range(WIDTH)]
     schema = T.StructType().add("bucket", "integer")
     for name in names:
         schema = schema.add(name, "long")
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((WORDS + SHAPES, WIDTH), np.int64)
-        for batch in batches:
-            total += context_sums(batch.column(0).to_pylist())
+        rows = (text.as_py() for batch in batches for text in batch.column(0))
+        total = context_sums(rows, index_vectors())
         met = np.flatnonzero(total.any(axis=1))
         yield pa.RecordBatch.from_arrays(
             [pa.array(met, pa.int32()), *(pa.array(total[met, j]) for j in range(WIDTH))],
@@ -212,7 +249,7 @@ def fit(
         )
 
     table = (
-        sample.select("text")
+        texts.select("text")
         .mapInArrow(sums, schema)
         .groupBy("bucket")
         .agg(*[F.sum(n).alias(n) for n in names])

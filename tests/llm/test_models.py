@@ -119,18 +119,39 @@ def test_language_held_out_accuracy(spark, small):
     assert len(own) > 250 and np.mean(own) > 0.98
 
 
-def test_context_sums_by_hand():
-    index = qm.index_vectors()
-    text = "one Two two one"
-    tokens = [divmod(qm._codes[w], qm.SHAPES) for w in text.split()]
-    own = [index[a] + index[qm.WORDS + b] for a, b in tokens]
+def context_by_hand(index, texts):
     want = np.zeros((qm.WORDS + qm.SHAPES, qm.WIDTH), np.int64)
-    for i, (a, b) in enumerate(tokens):
-        for j in (i - 1, i + 1):
-            if 0 <= j < len(tokens):
-                want[a] += own[j]
-                want[qm.WORDS + b] += own[j]
-    assert (qm.context_sums([text, None, "", "single"]) == want).all()
+    for text in texts:
+        tokens = [divmod(qm._codes[w], qm.SHAPES) for w in (text or "").split()]
+        own = [index[a] + index[qm.WORDS + b] for a, b in tokens]
+        for i, (a, b) in enumerate(tokens):
+            for j in (i - 1, i + 1):
+                if 0 <= j < len(tokens):
+                    want[a] += own[j]
+                    want[qm.WORDS + b] += own[j]
+    return want
+
+
+def test_context_sums_by_hand():
+    rng = np.random.default_rng(4)
+    index, pool = qm.index_vectors(), ["one", "Two", "two", "9!", *map(str, range(40))]
+    long = [" ".join(rng.choice(pool, n)) for n in (qm.BLOCK, qm.BLOCK + 1, 9000, qm.JOINED + 5)]
+    texts = ["one Two two one", None, "", "single", *long, *[f"a b{i}" for i in range(500)], None]
+    assert (qm.context_sums(texts, index) == context_by_hand(index, texts)).all()
+    assert not qm.context_sums([], index).any()
+
+
+def test_vectors_come_from_all_rows_and_the_network_from_one_text_an_id(rows):
+    """Unlabelled and held-out rows count in the word vectors; a repeated id is learned once."""
+    docs = [(i, f"plain text {i} here" if i % 2 else f"X{i}!! Y!!", None, None, "a", "b", "c") for i in range(60)]
+    docs += [(900 + i, f"unlabelled zebra {i}", None, None, "a", "b", "c") for i in range(20)]
+    docs += [(3, f"repeated {i}", None, None, "a", "b", "c") for i in range(5)]
+    labels = rows("doc_id long, quality int, toxic int, text string", [(i, i % 2, 0, "") for i in range(60)])
+    model = qm.fit(rows(DOCS, docs), labels)
+    want = qm.unit_vectors(context_by_hand(qm.index_vectors(), [d[1] for d in docs]))
+    assert (model.vectors == want).all()
+    again = qm.fit(rows(DOCS, docs + docs), labels)
+    assert np.allclose(again.center, model.center) and again.temperature == model.temperature
 
 
 def test_long_texts_pool_like_short_ones():
