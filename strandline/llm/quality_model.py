@@ -42,6 +42,13 @@ _OF_WORDS = np.r_[0:WIDTH, 2 * WIDTH : 3 * WIDTH]
 
 def shape_of(word: str) -> str:
     """Runs of like characters: ``Word,`` is ``Aa,``; a mark that repeats is written twice."""
+    end = word[-1:]
+    plain, end = (word, "") if end.isalnum() or end.isupper() else (word[:-1], end)
+    rest = plain[1:]
+    if plain.islower() and plain.isalpha():  # most words are plain ones, perhaps with a mark
+        return "a" + end
+    if plain[:1].isupper() and rest.islower() and rest.isalpha():
+        return "Aa" + end
     out = []
     for c in word:
         kind = "A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c
@@ -56,9 +63,9 @@ class WordCodes(dict):
     LIMIT = 500_000
 
     def __missing__(self, word: str) -> int:
-        core = "".join(c for c in word if c.isalnum()).lower()
+        core = word if word.isalnum() else "".join(filter(str.isalnum, word))
         shape = zlib.crc32(shape_of(word).encode("utf-8", "replace")) % SHAPES
-        code = zlib.crc32(core.encode("utf-8", "replace")) % WORDS * SHAPES + shape
+        code = zlib.crc32(core.lower().encode("utf-8", "replace")) % WORDS * SHAPES + shape
         if len(word) <= 64:
             self[word] = code
         return code

@@ -154,6 +154,25 @@ def test_vectors_come_from_all_rows_and_the_network_from_one_text_an_id(rows):
     assert np.allclose(again.center, model.center) and again.temperature == model.temperature
 
 
+def test_shapes_by_characters(spark, small):
+    """The short way for plain words gives what character runs give."""
+
+    def runs(word):
+        out = []
+        for c in word:
+            kind = "A" if c.isupper() else "a" if c.isalpha() else "9" if c.isdigit() else c
+            if out[-1:] != [kind] or (not kind.isalnum() and out[-2:] != [kind, kind]):
+                out.append(kind)
+        return "".join(out[:12])
+
+    words = {w for r in spark.read.parquet(f"{small}/documents.parquet").collect() for w in (r.text or "").split()}
+    rng = np.random.default_rng(6)
+    signs = list("aZ9,-.!\u24b6\u01c5\u00df\u00bd\u00b2\u4e2d\u0301\u02b0\u00aa")
+    words |= {"".join(rng.choice(signs, n)) for n in rng.integers(1, 6, 20_000)} | {""}
+    assert [w for w in words if qm.shape_of(w) != runs(w)] == []
+    assert qm.shape_of("Word,") == "Aa," and qm.shape_of("x!!!!") == "a!!"
+
+
 def test_long_texts_pool_like_short_ones():
     rng = np.random.default_rng(2)
     vectors = rng.random((qm.WORDS + qm.SHAPES, qm.WIDTH)).astype(np.float32)
