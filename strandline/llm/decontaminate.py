@@ -9,10 +9,15 @@ code points. Steps:
    words may be inserted, left out or moved before it. So wherever a text meets a seed, all
    windows of the item's size that hold it are laid, each once. A bitmap of fixed size, whatever
    the benchmark's, thins the texts' shingles in the scan; the exact join follows.
-2. Fingerprints. Windows and items get a 64-bit SimHash of their weighted shingles. A window meets
-   the items of its seeds alone, and pairs within ``radius`` bits go on. Shingle sets at a
-   similarity of 0.8 differ in 9 bits on average; 3 in 10,000 exceed the radius of 20.
-3. Verification by the exact similarity.
+2. Fingerprints. Windows and items get a 64-bit SimHash of their weighted shingles. Windows that
+   touch are fingerprinted together: the 64 sums slide by one shingle from window to window.
+3. Multi-index. A fingerprint is cut into ``BLOCKS`` blocks; block b has a threshold t_b, and the
+   sum of t_b + 1 is radius + 1, so two fingerprints within the radius agree in some block up to
+   its threshold. Every item is indexed under (size, block, value) for all such values; distinct
+   fingerprints of windows look their own blocks up, which finds all items of the window's size
+   within ``radius`` bits. Shingle sets at a similarity of 0.8 differ in 9 bits on average; 3 in
+   10,000 exceed the radius of 20.
+4. Verification by the exact similarity.
 
 Everything is built-in column functions and joins.
 """
@@ -29,6 +34,10 @@ from strandline.llm.staging import staged
 
 SEPARATORS = r"[^\p{L}\p{N}]+"
 BITS = 64
+BLOCKS = 4
+WIDTH = BITS // BLOCKS
+#: Two 32-bit lanes in a long: bit j of a hash counts in the lower one, bit j + 32 in the upper.
+LANES = (1 << 32) + 1
 #: log2 of the bitmap's size at most: half a megabyte.
 MAX_BITMAP = 22
 
@@ -77,6 +86,115 @@ def _shift_right(value: Column, by: Column) -> Column:
     return F.call_function("shiftrightunsigned", value, by)
 
 
+def _shift_left(value: Column, by: Column) -> Column:
+    return F.call_function("shiftleft", value, by)
+
+
+def sliding_simhashes(pairs: Column, first: Column, last: Column, width: Column) -> Column:
+    """The ``simhash`` of the windows of ``width`` parts that start at ``first`` .. ``last``, in
+    order. Starts may be negative and windows may pass the end of ``pairs``: what lies outside is
+    not in them. A window's weight must be below 2**30.
+
+    One pass over the parts: the part that enters is added, the one that leaves is taken off.
+    """
+    none = F.lit(0).cast("long")
+    lanes = F.lit(LANES)
+
+    def share(h: Column, w: Column, j: Column) -> Column:
+        return _shift_right(h, j).bitwiseAND(lanes) * w
+
+    def moved(at: Column) -> Column:
+        new, old = F.get(pairs, at), F.get(pairs, at - width)
+        return F.struct(
+            *[
+                F.coalesce(x[part].cast("long"), none).alias(name)
+                for x, part, name in [(new, "h", "h"), (new, "w", "w"), (old, "h", "g"), (old, "w", "v")]
+            ]
+        )
+
+    def fingerprint(sums: Column, total: Column) -> Column:
+        """Bit 30 of a lane of 2 * sum - total - 1 + 2**30 is set if the sum is over half."""
+        half = (F.lit(1 << 30) - F.lit(1) - total) * lanes
+        bits = F.transform(
+            sums,
+            lambda x, j: _shift_left(
+                _shift_right(_shift_left(x, F.lit(1)) + half, F.lit(30)).bitwiseAND(lanes), j
+            ),
+        )
+        return F.aggregate(bits, none, lambda acc, x: acc.bitwiseOR(x))
+
+    def step(acc: Column, at: Column) -> Column:
+        def added(x: Column) -> Column:
+            sums = F.transform(
+                acc["sums"], lambda s, j: s + share(x["h"], x["w"], j) - share(x["g"], x["v"], j)
+            )
+            return F.struct(sums.alias("sums"), (acc["total"] + x["w"] - x["v"]).alias("total"))
+
+        def out(now: Column) -> Column:
+            full = F.concat(acc["out"], F.array(fingerprint(now["sums"], now["total"])))
+            return F.struct(
+                now["sums"].alias("sums"),
+                now["total"].alias("total"),
+                F.when(at >= first + width - 1, full).otherwise(acc["out"]).alias("out"),
+            )
+
+        return let(let(moved(at), added), out)
+
+    start = F.struct(
+        F.array_repeat(none, 32).alias("sums"),
+        none.alias("total"),
+        F.array().cast("array<bigint>").alias("out"),
+    )
+    steps = F.sequence(F.greatest(first, F.lit(0)), last + width - 1)
+    return F.aggregate(steps, start, step, lambda acc: acc["out"])
+
+
+def thresholds(radius: int) -> list[int]:
+    """Of every block; -1: the block is not looked at."""
+    each, more = divmod(radius + 1, BLOCKS)
+    return [each + (b < more) - 1 for b in range(BLOCKS)]
+
+
+def _block(fp: Column, b: Column | int) -> Column:
+    by = F.lit(b * WIDTH) if isinstance(b, int) else b * WIDTH
+    return _shift_right(fp, by).bitwiseAND(F.lit((1 << WIDTH) - 1))
+
+
+def near_items(prints: DataFrame, items: DataFrame, radius: int) -> DataFrame:
+    """(size, fp, item_fp): all pairs of ``prints`` and ``items``, both (size, fp), of equal size
+    that differ in at most ``radius`` bits, each once."""
+    most = [min(t, WIDTH) for t in thresholds(radius)]
+    flips = sorted((x for x in range(1 << WIDTH) if x.bit_count() <= max(most)), key=int.bit_count)
+    known = F.from_json(F.lit(json.dumps(flips)), "array<bigint>")
+    blocks = [
+        F.struct(F.lit(b).alias("block"), F.lit(sum(x.bit_count() <= t for x in flips)).alias("n"))
+        for b, t in enumerate(most)
+        if t >= 0
+    ]
+    index = (
+        items.select("size", F.col("fp").alias("item_fp"))
+        .distinct()
+        .select("size", "item_fp", F.inline(F.array(*blocks)))
+        .select("size", "item_fp", "block", F.explode(F.slice(known, F.lit(1), F.col("n"))).alias("flip"))
+        .select(
+            "size", "block", "item_fp",
+            _block(F.col("item_fp"), F.col("block")).bitwiseXOR(F.col("flip")).alias("value"),
+        )
+    )
+    own = [
+        F.struct(F.lit(b).alias("block"), _block(F.col("fp"), b).alias("value"))
+        for b, t in enumerate(most)
+        if t >= 0
+    ]
+    probes = prints.select("size", "fp").distinct().select("size", "fp", F.inline(F.array(*own)))
+    return (
+        probes.join(index, ["size", "block", "value"])
+        .where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
+        .select("size", "fp", "item_fp")
+        .distinct()
+    )
+
+
 def prepared_items(
     items: DataFrame, *, id_col: str, text_col: str, shingle: int
 ) -> DataFrame:
@@ -204,53 +322,86 @@ def matches(
     laid = (
         read.select("row", F.inline("hits"))
         .join(wanted, "h")
-        .groupBy("row", "item_id", "size")
+        .groupBy("row", "size")
         .agg(F.array_sort(F.collect_set("pos")).alias("pos"))
     )
+    # A hit is in the windows that start in the `width` places up to its own. Runs of such starts
+    # that touch are cut into stretches, so that what is held at once grows with the item alone.
+    width = F.col("size") - (shingle - 1)
+    long = 2 * width + 64
+
+    def runs(heads: Column) -> Column:
+        return F.transform(
+            heads,
+            lambda i, k: F.struct(
+                (F.get("pos", i) - width + 1).alias("low"),
+                F.get("pos", F.coalesce(F.get(heads, k + 1), F.size("pos")) - 1).alias("high"),
+            ),
+        )
 
-    def span(pos: Column, i: Column) -> Column:
-        """Starts of the windows that hold the hit at ``pos`` and no hit before it."""
-        low = pos - F.col("size") + shingle
-        before = F.when(i > 0, F.get("pos", i - 1) + 1)
-        return F.struct(F.greatest(low, before).alias("low"), pos.alias("high"))
+    def stretches(run: Column) -> Column:
+        return F.transform(
+            F.sequence(run["low"], run["high"], long),
+            lambda low: F.struct(low.alias("low"), F.least(low + long - 1, run["high"]).alias("high")),
+        )
+
+    def with_words(x: Column) -> Column:
+        base = F.greatest(x["low"], F.lit(0))
+        length = F.least(x["high"] + F.col("size"), "n_words") - base
+        return F.struct(x["low"], x["high"], base.alias("base"),
+                        F.slice("words", base + 1, length).alias("near"))
 
-    base = F.greatest("low", F.lit(0))
-    length = F.least(F.col("high") + F.col("size"), "n_words") - base
-    spans = (
+    heads = F.filter(
+        positions(F.size("pos")),
+        lambda i: (i == 0) | (F.get("pos", i) - F.get("pos", i - 1) > width),
+    )
+    spans = staged(
         laid.join(read.drop("hits"), "row")
-        .select("doc_id", "text_hash", "item_id", "size", "words", F.size("words").alias("n_words"),
-                F.inline(F.transform("pos", span)))
-        .select("*", F.transform(positions(length), lambda i: F.get("words", base + i)).alias("near"))
-        .select("doc_id", "text_hash", "item_id", "size", "n_words", "low", "high",
-                base.alias("base"), shingles(F.col("near"), shingle).alias("parts"))
-        .select("*", weighted(F.col("parts")).alias("pairs"))
-        .join(
-            known.select("item_id", "size", F.col("parts").alias("item_parts"),
-                         F.col("weight").alias("item_weight"), F.col("fp").alias("item_fp")),
-            ["item_id", "size"],
+        .withColumn("n_words", F.size("words"))
+        .select("doc_id", "text_hash", "size", "n_words",
+                F.inline(F.transform(F.flatten(F.transform(let(heads, runs), stretches)), with_words)))
+        .select(
+            F.monotonically_increasing_id().alias("span"), "*",
+            let(
+                weighted(shingles(F.col("near"), shingle)),
+                lambda pairs: sliding_simhashes(
+                    pairs, F.col("low") - F.col("base"), F.col("high") - F.col("base"), width
+                ),
+            ).alias("fps"),
         )
     )
-    first = F.greatest("start", F.lit(0))
-    inside = first - F.col("base") + 1
-    count = F.least(F.col("start") + F.col("size"), "n_words") - first - (shingle - 1)
-    fp = simhash(F.slice("pairs", inside, count))
+    windows = spans.select("span", "size", F.posexplode("fps").alias("k", "fp"))
+    start = F.col("low") + F.col("k")
+    first = F.greatest(start, F.lit(0))
+    inside = F.slice("near", first - F.col("base") + 1, F.least(start + F.col("size"), "n_words") - first)
     candidates = (
-        spans.select("*", F.explode(F.sequence("low", "high")).alias("start"))
-        .where(F.bit_count(fp.bitwiseXOR(F.col("item_fp"))) <= radius)
-        .withColumn("first", first)
-        .withColumn("parts", F.slice("parts", inside, count))
+        windows.join(near_items(windows, known, radius), ["size", "fp"])
+        .select("span", "k", "item_fp")
+        .join(spans.drop("fps"), "span")
+        .join(
+            known.select("size", F.col("fp").alias("item_fp"), "item_id",
+                         F.col("parts").alias("item_parts"), F.col("weight").alias("item_weight")),
+            ["size", "item_fp"],
+        )
     )
     times = lambda parts, s: F.size(F.filter(parts, lambda x: x == s))
-    shared = F.aggregate(
-        F.array_distinct("item_parts"),
-        F.lit(0),
-        lambda total, s: total
-        + F.length(s) * F.least(times(F.col("parts"), s), times(F.col("item_parts"), s)),
-    )
-    both = weights(F.col("parts")) + F.col("item_weight")
-    similar = let(shared, lambda n: n / (both - n))
+
+    def similar(parts: Column) -> Column:
+        item = F.col("item_parts")
+        common = F.array_intersect(parts, item)
+        single = [F.size(F.array_distinct(x)) == F.size(x) for x in (parts, item)]
+        several = F.aggregate(
+            common,
+            F.lit(0),
+            lambda total, s: total + F.length(s) * F.least(times(parts, s), times(item, s)),
+        )
+        shared = F.when(single[0] | single[1], weights(common)).otherwise(several)
+        both = weights(parts) + F.col("item_weight")
+        return let(shared, lambda n: n / (both - n))
+
     return (
-        candidates.select("doc_id", "text_hash", "item_id", "first", similar.alias("similarity"))
+        candidates.select("doc_id", "text_hash", "item_id", first.alias("first"),
+                          let(let(inside, lambda x: shingles(x, shingle)), similar).alias("similarity"))
         .where(F.col("similarity") >= similarity)
         .groupBy("doc_id", "text_hash", "item_id")
         .agg(
