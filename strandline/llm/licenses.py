@@ -29,11 +29,13 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 @dataclass(frozen=True)
 class Template:
-    """``exact`` phrases count wherever their words stand consecutively."""
+    """``exact`` phrases count wherever their words stand consecutively; those that are not
+    ``base`` only give their label."""
 
     label: str
     text: str
     exact: bool = False
+    base: bool = True
 
 
 # Phrases that must be found, then wordings of public licenses.
@@ -95,9 +97,11 @@ TEMPLATES = (
 
 
 def template_grams(spark: SparkSession, templates: tuple[Template, ...], k: int) -> DataFrame:
-    """(template, label, exact, grams, tpos, gram, h): one row per gram of every template."""
-    rows = [(i, t.label, t.exact, t.text) for i, t in enumerate(templates)]
-    table = spark.createDataFrame(rows, "template int, label string, exact boolean, text string")
+    """(template, label, exact, base, grams, tpos, gram, h): one row per gram of every template."""
+    rows = [(i, t.label, t.exact, t.base, t.text) for i, t in enumerate(templates)]
+    table = spark.createDataFrame(
+        rows, "template int, label string, exact boolean, base boolean, text string"
+    )
     words = split_words(lower_ascii(F.col("text")), SEPARATORS)
     return (
         table.withColumn("words", words)
@@ -107,6 +111,7 @@ def template_grams(spark: SparkSession, templates: tuple[Template, ...], k: int)
             "template",
             "label",
             "exact",
+            "base",
             "grams",
             "tpos",
             F.slice("words", F.col("tpos") + 1, k).alias("gram"),
@@ -171,7 +176,7 @@ def scan(
     """One row per row of ``docs``: doc_id, n_words, n_base, first_word, last_word, base_labels,
     labels, score.
 
-    ``n_base`` counts the places of the exact phrases, ``first_word`` and ``last_word`` are
+    ``n_base`` counts the places of the exact base phrases, ``first_word`` and ``last_word`` are
     their least and greatest start. Labels are distinct, sorted, comma-joined; none is an empty
     string. ``score`` is the best share of a template's grams found (1 for an exact phrase, 0
     without a label). A NULL text counts as empty. Repeated rows and NULL ids are rows like any
@@ -204,7 +209,7 @@ def scan(
         read.select("row", F.inline("hits"))
         .withColumn("h", F.xxhash64(*[F.get("gram", i) for i in range(k)]))
         .join(F.broadcast(grams), ["h", "gram"])
-        .select("row", "template", "label", "exact", "grams", "pos", "tpos",
+        .select("row", "template", "label", "exact", "base", "grams", "pos", "tpos",
                 (F.col("pos") - F.col("tpos")).alias("diagonal"))
     )
     votes = (
@@ -212,13 +217,14 @@ def scan(
         .groupBy("row", "template", "diagonal")
         .agg(
             F.first("label").alias("label"),
+            F.first("base").alias("base"),
             F.first("grams").alias("grams"),
             F.count_distinct("tpos").alias("covered"),
             F.min("pos").alias("low"),
         )
     )
     base = votes.where("covered = grams").select(
-        "row", "label", F.lit(True).alias("base"), F.col("low").alias("start"), F.lit(1.0).alias("score")
+        "row", "label", "base", F.col("low").alias("start"), F.lit(1.0).alias("score")
     )
     along = Window.partitionBy("row", "template").orderBy("diagonal")
     apart = F.col("diagonal") - F.lag("diagonal").over(along) > max_shift

@@ -114,3 +114,32 @@ def test_query_against_brute_force(spark, small):
     got = {r.doc_id: (*tuple(r)[1:7], round(r.score, 9)) for r in found}
     want = {r.doc_id: brute_all(r.text) for r in docs}
     assert got == {d: (*w[:6], round(w[6], 9)) for d, w in want.items()}
+
+
+def test_query_takes_the_base_phrases_of_the_contract(spark, tmp_path):
+    """The mit phrase begins with "under"; the shorter one gives its label, but is no base place."""
+    texts = [
+        "Released UNDER the MIT-License.", "the mit license", "under\u0301 the mit license",
+        "x under the mit license, or the mit license under the mit license", "Under\x00the\x7fmit\tlicense",
+        "under the mit licenses", "cc by nc under the apache license version 2", None, "",
+        "under under the mit license cc by nc by nc",
+    ]
+    phrases = {"mit": "under the mit license", "apache-2": "apache license version 2", "cc-by-nc": "cc by nc"}
+    data = list(enumerate(texts))
+    spark.createDataFrame(data, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def base(text):
+        words = words_of(text)
+        at = [
+            (i, label)
+            for label, phrase in phrases.items()
+            for i in range(len(words))
+            if words[i : i + len(phrase.split())] == phrase.split()
+        ]
+        places = [i for i, _ in at]
+        ends = (min(places), max(places)) if places else (None, None)
+        return (len(words), len(places), *ends, ",".join(sorted({label for _, label in at})))
+
+    got = {r.doc_id: r for r in QUERIES["op5_license_scan"](spark, str(tmp_path)).collect()}
+    assert {d: tuple(r)[1:6] for d, r in got.items()} == {d: base(t) for d, t in data}
+    assert (got[1].n_base, got[1].base_labels, got[1].labels, got[1].score) == (0, "", "mit", 1.0)
