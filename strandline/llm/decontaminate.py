@@ -187,8 +187,10 @@ def near_items(prints: DataFrame, items: DataFrame, radius: int) -> DataFrame:
         if t >= 0
     ]
     probes = prints.select("size", "fp").distinct().select("size", "fp", F.inline(F.array(*own)))
+    # The planner sees the size of the items' table, not of the index made from it, and would
+    # broadcast all of the index through the driver.
     return (
-        probes.join(index, ["size", "block", "value"])
+        probes.join(index.hint("merge"), ["size", "block", "value"])
         .where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
         .select("size", "fp", "item_fp")
         .distinct()

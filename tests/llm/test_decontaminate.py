@@ -226,3 +226,15 @@ def test_item_of_thousands_of_words(rows):
         rows("doc_id long, text string", docs), rows("item_id long, text string", [(5, " ".join(words))])
     ).collect()
     assert [(r.doc_id, r.item_id) for r in got] == [(1, 5)] and time.time() - began < 120
+
+
+def test_the_index_does_not_pass_the_driver(spark, tmp_path):
+    """Few items make a small file and an index of 14,000 rows each, which must be shuffled."""
+    path = str(tmp_path / "prints")
+    spark.createDataFrame([(9, x * 7_919) for x in range(40)], "size int, fp long").write.parquet(path)
+    prints = spark.read.parquet(path)
+    found = dc.near_items(prints, prints, 20)
+    assert "BroadcastHashJoin" not in plan_of(found)
+    near = {(x * 7_919, y * 7_919) for x in range(40) for y in range(40)
+            if (x * 7_919 ^ y * 7_919).bit_count() <= 20}
+    assert {(r.fp, r.item_fp) for r in found.collect()} == near
