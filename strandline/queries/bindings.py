@@ -41,13 +41,17 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for a row-multiplying step over a table that has fewer splits.
+#: Orders in one task; each gives about a dozen raw rows, which a task may sort or hash whole.
+ORDERS_PER_TASK = 50_000
 
-    A large table has more splits than that and is left as it is.
+
+def spread(df: DataFrame, rows: int) -> DataFrame:
+    """Use all cores for a row-multiplying step, in tasks of about ``ORDERS_PER_TASK`` of ``rows``.
+
+    Splits and joined partitions go by compressed bytes: one may hold many millions of rows.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(max(cores, -(-rows // ORDERS_PER_TASK)))
 
 
 # --- events -------------------------------------------------------------------
@@ -211,10 +215,12 @@ def raw_rows(spark: SparkSession, sf: str) -> DataFrame:
     """
     orders, customer = table(spark, sf, "orders"), table(spark, sf, "customer")
     site = nations(spark, sf)
-    base = spread(orders).join(
+    joined = orders.join(
         customer.select("c_custkey", "c_nationkey", "c_mktsegment"),
         F.col("o_custkey") == F.col("c_custkey"),
     ).join(site, F.col("c_nationkey") == F.col("n_nationkey"))
+    # After the joins, whose shuffles would undo it.
+    base = spread(joined.drop("o_custkey", "c_custkey", "n_nationkey"), orders.count())
 
     def part(divisor: int) -> Column:
         return F.floor(F.col("o_totalprice") / divisor).cast("bigint").cast("string")

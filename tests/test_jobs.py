@@ -175,3 +175,21 @@ def test_missing_raw_column_is_an_error(spark, tmp_path):
     write_csv(spark.createDataFrame([("a",)], "TOWN string"), str(tmp_path / "raw"))
     with pytest.raises(ValueError, match="SAMPLE DATE"):
         read_raw(spark, str(tmp_path / "raw"))
+
+
+def test_raw_rows_come_from_tasks_of_bounded_size(spark, small, monkeypatch):
+    """However orders are split and joined, a task multiplies about ORDERS_PER_TASK of them."""
+    whole = b.raw_rows(spark, small).count()
+    monkeypatch.setattr(b, "ORDERS_PER_TASK", 100, raising=False)
+    for limit in ("-1", "10m"):  # customers by a shuffle, and broadcast
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        try:
+            raw = b.raw_rows(spark, small)
+            orders = raw.groupBy(F.spark_partition_id().alias("task")).agg(
+                F.count(F.lit(1)).alias("rows"), F.count_distinct("DEP SAMPLE ID").alias("n")
+            )
+            seen = orders.collect()
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        assert sum(r.rows for r in seen) == whole
+        assert max(r.n for r in seen) <= 200
