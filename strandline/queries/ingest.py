@@ -69,7 +69,8 @@ RAW_OUT_SQL = f"""SELECT c_nationkey || '.0' AS SITE_SEQUENCE_NUMBER, CAST(o_ord
 def _(spark, sf):
     path = _scratch(spark, "raw")
     raw = b.raw_rows(spark, sf)
-    write_csv(raw.select(*[F.col(f"`{c}`") for c in RAW_COLUMNS]), path)
+    # Raw rows repeat their names and sites: plain text would be many times the orders' size.
+    write_csv(raw.select(*[F.col(f"`{c}`") for c in RAW_COLUMNS]), path, compression="gzip")
     return standardise_names(read_raw(spark, path), drop=["REMARKS"])
 
 

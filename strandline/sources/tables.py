@@ -86,10 +86,18 @@ def read_flags(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.when(number.isNull(), F.raise_error(bad)).otherwise(number).alias("id"), "stn")
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """CSV with a header; text keeps its own blanks."""
+def write_csv(
+    df: DataFrame, path: str, mode: str = "overwrite", compression: str = "none"
+) -> None:
+    """CSV with a header; text keeps its own blanks.
+
+    A compressed file is read in one task, so its rows should come from a bounded partition.
+    """
     df.write.mode(mode).options(
-        header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+        header=True,
+        ignoreLeadingWhiteSpace=False,
+        ignoreTrailingWhiteSpace=False,
+        compression=compression,
     ).csv(path)
 
 

@@ -12,6 +12,8 @@ from strandline.plans import jobs
 from strandline.plans.checks import CheckFailed
 from strandline.model import RAW_COLUMNS
 from strandline.queries import bindings as b
+from strandline.queries import ingest
+from strandline.queries.registry import REGISTRY
 from strandline.sources.tables import read_flags, read_raw, read_stage, write_csv, write_stage
 from tests.conftest import plan_of
 
@@ -193,3 +195,12 @@ def test_raw_rows_come_from_tasks_of_bounded_size(spark, small, monkeypatch):
             spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         assert sum(r.rows for r in seen) == whole
         assert max(r.n for r in seen) <= 200
+
+
+def test_raw_scan_writes_compressed_text(spark, small, monkeypatch, tmp_path):
+    monkeypatch.setattr(ingest, "_scratch", lambda spark, name: str(tmp_path / name))
+    found = REGISTRY["io1_raw_scan"].job(spark, small)
+    written = sum(f.stat().st_size for f in (tmp_path / "raw").glob("part-*"))
+    rows = found.count()
+    assert rows == b.raw_rows(spark, small).count()
+    assert written < 40 * rows  # 150 as plain text
