@@ -13,8 +13,10 @@ import os
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import filterfalse
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,11 +39,33 @@ def touching(s: str) -> bool:
     return "  " in s or " \n" in s or "\n " in s
 
 
+def core(word: str) -> str:
+    """The word without marks behind its last letter, which are tokens of their own."""
+    bare = word.rstrip(_MARKS)
+    return bare if bare[-1:].isalpha() else word
+
+
+def stretches(texts: Iterable[str | None], rows: int = 64, chars: int = 1 << 20) -> Iterator[list[str]]:
+    """Successive texts, NULL as empty: at most ``rows``, and ``chars`` unless one text is longer."""
+    out, held = [], 0
+    for s in texts:
+        s = s or ""
+        if out and (len(out) == rows or held + len(s) > chars):
+            yield out
+            out, held = [], 0
+        out.append(s)
+        held += len(s)
+    if out:
+        yield out
+
+
 class WordIds(dict):
     """Blank-led word -> its token ids as little-endian uint32 bytes, encoded when first met."""
 
-    #: Entries kept; beyond it the table is emptied before the next text.
+    #: Entries kept; beyond it the table is emptied before the next texts.
     LIMIT = 1_000_000
+    #: Longer words, in characters, are encoded anew each time.
+    LONGEST = 64
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks share the cores
@@ -52,31 +76,65 @@ class WordIds(dict):
         self._tokenizer = Tokenizer.from_file(path)
         #: Strings in a text that the tokenizer reads as one token of their own.
         self._special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self._tokenizer.get_vocab(with_added_tokens=True)
+        #: Whether a token, by id, begins with a blank.
+        self._blank_led = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self._blank_led[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
 
     def text(self, s: str) -> bytes:
         found = self._tokenizer.encode_batch_fast([s], add_special_tokens=False)[0]
         return array("I", found.ids).tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        core = word.rstrip(_MARKS)
-        if core != word and core[-1:].isalpha():  # marks after a letter are tokens of their own
-            ids = self[core] + self.marks(word[len(core) :])
+        bare = core(word)
+        if bare != word:
+            ids = self[bare] + self.marks(word[len(bare) :])
         else:
             ids = self.text(" " + word)
-        if len(word) <= 64:
+        if len(word) <= self.LONGEST:
             self[word] = ids
         return ids
 
-    def document(self, s: str) -> bytes:
-        """The ids of a whole text. A blank between two printing characters always starts a
+    def special(self, s: str) -> bool:
+        return any(x in s for x in self._special)
+
+    def learn(self, words: Iterable[str]) -> None:
+        """Encode new words together, in one call: the blanks between them start tokens, which
+        tell their ids apart. Words not learned here are encoded alone when looked up."""
+        new = [
+            w
+            for w in filterfalse(self.__contains__, dict.fromkeys(map(core, words)))
+            if w and len(w) <= self.LONGEST and not (w[0].isspace() or w[-1].isspace())
+        ]
+        joined = " " + " ".join(new)
+        if not new or self.special(joined):
+            return
+        data = self.text(joined)
+        starts = np.flatnonzero(self._blank_led[np.frombuffer(data, "<u4")]) * 4
+        if len(starts) == len(new):
+            at = [*starts.tolist(), len(data)]
+            self.update(zip(new, (data[i:j] for i, j in zip(at, at[1:]))))
+
+    def documents(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """The ids of whole texts. A blank between two printing characters always starts a
         token, so such texts are looked up word by word. Special strings may hold a blank or
         reach over one, so texts with one are encoded whole."""
-        if touching(s) or any(x in s for x in self._special):
-            return self.text(s)
-        first, *rest = s.split(" ")
-        if len(self) > self.LIMIT:
-            self.clear()
-        return self.text(first) + b"".join(map(self.__getitem__, rest))
+        for some in stretches(texts):
+            if len(self) > self.LIMIT:
+                self.clear()
+            split = [[] if touching(s) or self.special(s) else s.split(" ") for s in some]
+            new: dict[str, None] = {}
+            for words in split:
+                new.update(dict.fromkeys(filterfalse(self.__contains__, words[1:])))
+            self.learn(new)
+            for s, words in zip(some, split):
+                if words:
+                    yield self.text(words[0]) + b"".join(map(self.__getitem__, words[1:]))
+                else:
+                    yield self.text(s)
+
+    def document(self, s: str) -> bytes:
+        return next(self.documents([s]))
 
 
 @functools.lru_cache(maxsize=2)
@@ -122,11 +180,11 @@ def tokenized_pieces(
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = word_ids(tokenizer).document
+        encoded = word_ids(tokenizer).documents
         for batch in batches:
             rows, piece, start, length, crc, ids = [], [], [], [], [], []
-            for row, text in enumerate(batch.column(1).to_pylist()):
-                data = (encode(text) if text else b"") + end
+            for row, found in enumerate(encoded(batch.column(1).to_pylist())):
+                data = found + end
                 for k, at, n in cuts(len(data) // 4, capacity):
                     part = data[4 * at : 4 * (at + n)]
                     rows.append(row)

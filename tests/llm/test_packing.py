@@ -41,6 +41,19 @@ def test_ids_equal_the_tokenizer(spark, small, tokenizer):
         assert np.frombuffer(encode(text), "<u4").tolist() == want
 
 
+def test_new_words_are_encoded_together(tokenizer):
+    """A call for each text's first word and one for each stretch of texts, not one a word."""
+    odd = ["end\n", "", "x" * 70, "(a)", "it's,", "1.5.", "é!", "漢。漢", "a\nb", "y\u00a0z", "Ġx"]
+    texts = [f"{w} n{k}w {w} q{k}. {w}" for k, w in enumerate(odd * 18)] + [None, "", "a  b", " "]
+    ids = packing.WordIds(PATH)
+    calls = []
+    plain = ids.text
+    ids.text = lambda s: calls.append(s) or plain(s)
+    got = list(ids.documents(texts))
+    assert [np.frombuffer(g, "<u4").tolist() + [2] for g in got] == [ids_of(tokenizer, t) for t in texts]
+    assert len(calls) < 2 * len(texts)  # each has two words of its own
+
+
 def test_pieces_and_places(rows, tokenizer):
     df = rows(SCHEMA, [(*r, "a", "b", "c") for r in TEXTS])
     got = packing.pack(df, PATH, capacity=64, with_ids=True).collect()
