@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions.text import to_integer, to_number, trimmed
 from strandline.model import RAW_DROPPED, RAW_RENAMES, RAW_TYPES
+from strandline.operators.joins import KEY, as_one_key
 
 _CONVERSIONS = {"number": to_number, "integer": to_integer, "trim": trimmed}
 
@@ -33,9 +34,19 @@ def standardise_types(df: DataFrame, spec: Mapping[str, str] = RAW_TYPES) -> Dat
     return df.withColumns({c: _CONVERSIONS[kind](c) for c, kind in spec.items()})
 
 
-def dedup_rows(df: DataFrame) -> DataFrame:
-    """Whole-row distinct; copies combine before the shuffle."""
-    return df.distinct()
+def dedup_rows(
+    df: DataFrame, by: Sequence[str] = (), tasks: int | None = None
+) -> DataFrame:
+    """Whole-row distinct; copies combine before the shuffle.
+
+    With ``by``, these columns become one, see :func:`as_one_key`, and rows are dealt by it, into
+    ``tasks`` if given. Groups and joins on it then need no further shuffle. Copies meet behind
+    the shuffle only.
+    """
+    if not by:
+        return df.distinct()
+    keyed = as_one_key(df, by)
+    return keyed.repartition(*([tasks] if tasks else []), KEY).distinct()
 
 
 def distinct_values(df: DataFrame, col: str) -> DataFrame:
@@ -48,6 +59,11 @@ def typed_rows(raw: DataFrame, drop: Sequence[int | str] = RAW_DROPPED) -> DataF
     return standardise_types(standardise_names(raw, drop))
 
 
-def standardise(raw: DataFrame, drop: Sequence[int | str] = RAW_DROPPED) -> DataFrame:
-    """Names, then types, then duplicates."""
-    return dedup_rows(typed_rows(raw, drop))
+def standardise(
+    raw: DataFrame,
+    drop: Sequence[int | str] = RAW_DROPPED,
+    by: Sequence[str] = (),
+    tasks: int | None = None,
+) -> DataFrame:
+    """Names, then types, then duplicates; ``by`` and ``tasks`` as in :func:`dedup_rows`."""
+    return dedup_rows(typed_rows(raw, drop), by, tasks)

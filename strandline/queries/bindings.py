@@ -7,6 +7,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,13 +47,17 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 ORDERS_PER_TASK = 50_000
 
 
+def tasks_for(spark: SparkSession, rows: int) -> int:
+    """All cores at least, and tasks of about ``ORDERS_PER_TASK`` of ``rows``."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // ORDERS_PER_TASK))
+
+
 def spread(df: DataFrame, rows: int) -> DataFrame:
     """Use all cores for a row-multiplying step, in tasks of about ``ORDERS_PER_TASK`` of ``rows``.
 
     Splits and joined partitions go by compressed bytes: one may hold many millions of rows.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(max(cores, -(-rows // ORDERS_PER_TASK)))
+    return df.repartition(tasks_for(df.sparkSession, rows))
 
 
 # --- events -------------------------------------------------------------------
@@ -427,8 +433,14 @@ def typed(spark: SparkSession, sf: str) -> DataFrame:
     return typed_rows(raw_rows(spark, sf))
 
 
-def clean_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return standardise(raw_rows(spark, sf))
+def clean_rows(spark: SparkSession, sf: str, by: Sequence[str] = ()) -> DataFrame:
+    """Distinct typed rows; with ``by``, dealt by these columns, as one, as in ``dedup_rows``.
+
+    A task then holds half as many orders as one that makes rows, as it hashes whole rows and may
+    do more with them in place.
+    """
+    tasks = tasks_for(spark, 2 * table(spark, sf, "orders").count()) if by else None
+    return standardise(raw_rows(spark, sf), by=by, tasks=tasks)
 
 
 def wide_samples(spark: SparkSession, sf: str) -> DataFrame:

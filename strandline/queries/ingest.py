@@ -16,6 +16,7 @@ from strandline.model import (
     SAMPLE_DEPTH_RULE,
     SAMPLE_KEYS,
 )
+from strandline.operators.joins import KEY, as_columns
 from strandline.operators.ranking import row_numbers
 from strandline.operators.reshape import (
     pivot_fill,
@@ -330,19 +331,20 @@ WIDE_COLUMNS_SQL = f"{b.KEYS_SQL}, {', '.join(CATEGORICAL_NAMES + NUMERIC_NAMES)
 
 
 def _two_sides(spark, sf):
-    clean = b.clean_rows(spark, sf)
+    """Both wide tables by ``KEY``: distinct rows, pivots and a merge share one shuffle by sample."""
+    clean = b.clean_rows(spark, sf, SAMPLE_KEYS)
     categorical = pivot_strict(
-        extract_categories(clean), SAMPLE_KEYS, "PARAMETER_NAME", "VALUE", CATEGORICAL_NAMES
+        extract_categories(clean, keys=[KEY]), [KEY], "PARAMETER_NAME", "VALUE", CATEGORICAL_NAMES
     )
     numeric = pivot_strict(
-        extract_numeric(clean), SAMPLE_KEYS, "PARAMETER_NAME", "VALUE", NUMERIC_NAMES
+        extract_numeric(clean, keys=[KEY]), [KEY], "PARAMETER_NAME", "VALUE", NUMERIC_NAMES
     )
     return categorical, numeric
 
 
 @query("j1_full_outer_merge", f"WITH {b.WIDE_SQL} SELECT {WIDE_COLUMNS_SQL}, NUMERIC_ONLY FROM w0")
 def _(spark, sf):
-    return merge_variables(*_two_sides(spark, sf))
+    return as_columns(merge_variables(*_two_sides(spark, sf), keys=[KEY]))
 
 
 @query(

@@ -8,6 +8,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from strandline.model import (
     CATEGORICAL_NAMES,
     CATEGORY_RULES,
@@ -17,6 +18,7 @@ from strandline.model import (
     SAMPLE_DEPTH_RULE,
     SAMPLE_KEYS,
 )
+from strandline.operators.joins import KEY, as_columns
 from strandline.operators.reshape import pivot_strict, unlisted
 from strandline.plans import checks
 from strandline.plans.assembly import (
@@ -132,6 +134,45 @@ def test_single_pivot_equals_two_pivots_and_a_merge(rows):
     assert wide.count() == 7
 
 
+def _merged(clean, keys):
+    def wide(cells, names):
+        return pivot_strict(cells, keys, "PARAMETER_NAME", "VALUE", names)
+
+    return merge_variables(
+        wide(extract_categories(clean, keys=keys), CATEGORICAL_NAMES),
+        wide(extract_numeric(clean, keys=keys), NUMERIC_NAMES),
+        keys,
+    )
+
+
+def test_keys_as_one_give_what_keys_apart_give(spark, rows):
+    """NULLs in some and in all keys, copies in other tasks, samples of one side only."""
+    lost = [raw(None, None, *r, point=None) for r in FULL]
+    lost += [raw(None, DAY1, *FULL[0]), raw("D9", None, *FULL[9]), raw("D9", DAY1, *FULL[9], point=None)]
+    odd = spark.createDataFrame([*lost, *ROWS[:5], *lost], raw_schema())
+    more = rows.unionByName(odd).repartition(5).localCheckpoint()
+    apart = _merged(standardise(more), list(SAMPLE_KEYS))
+    for tasks in (None, 1, 7):
+        together = as_columns(_merged(standardise(more, by=SAMPLE_KEYS, tasks=tasks), [KEY]))
+        assert together.dtypes == apart.dtypes
+        assert sorted(map(repr, together.collect())) == sorted(map(repr, apart.collect()))
+    assert apart.count() == 11
+    one = standardise(more, by=SAMPLE_KEYS, tasks=3)
+    assert sorted(map(repr, as_columns(one).select(*standardise(more).columns).collect())) == sorted(
+        map(repr, standardise(more).collect())
+    )
+
+
+def test_full_merge_shuffles_raw_rows_once(spark, small):
+    """Distinct rows, both pivots and the merge find a sample's rows where one shuffle put them."""
+    merged = entry.queries()["j1_full_outer_merge"](spark, small)
+    merged.collect()
+    tree = plan_of(merged, "simple").split("== Initial Plan ==")
+    final = tree[0]
+    assert final.count("Exchange hashpartitioning") - final.count("ReusedExchange") <= 1
+    assert tree[-1].count("hashpartitioning") == tree[-1].count(f"hashpartitioning({KEY}") == 2
+
+
 def test_differing_rows_in_one_cell_fail(spark, rows):
     clash = spark.createDataFrame([raw("D1", DAY1, WATER, "ENTEROCOCCI", "76")], raw_schema())
     with pytest.raises(PySparkException, match="ENTEROCOCCI"):
