@@ -31,9 +31,9 @@ def similarity(a, b):
     return sum(len(k) * min(a[k], b[k]) for k in keys) / total if total else 0.0
 
 
-def brute(docs, items, least=0.8):
+def brute(docs, items, least=0.8, cut=True):
     """Best similarity over all windows of the item's size, those that the text's ends shorten
-    among them, per (doc, item) that reaches it."""
+    among them unless ``cut`` is false, per (doc, item) that reaches it."""
     out = {}
     holders = defaultdict(set)
     prepared = {i: words_of(t) for i, t in items if i is not None}
@@ -45,7 +45,8 @@ def brute(docs, items, least=0.8):
         close = set().union(*(holders.get(g, ()) for g in grams(words)))
         for i in close:
             n, want = len(prepared[i]), grams(prepared[i])
-            for start in range(-n + 5, len(words) - 4):
+            inside = range(0, max(1, len(words) - n + 1))
+            for start in range(-n + 5, len(words) - 4) if cut else inside:
                 s = similarity(grams(words[max(start, 0) : start + n]), want)
                 if s >= least:
                     out[doc, i] = max(s, out.get((doc, i), 0))
